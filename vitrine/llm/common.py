@@ -65,7 +65,7 @@ def map_texts(
     """Apply a per-batch function to every text; id_col is carried along unchanged.
 
     make() is called once per task and returns a function from a batch of texts to lists by column name.
-    schema: (name, Spark type, Arrow type) of the columns that it makes.
+    schema: (name, Spark type, Arrow type) of the columns that it makes, as lists or Arrow arrays.
     """
     src = docs.select(id_col, text_col)
     kind = dict(src.dtypes)[id_col]
@@ -76,7 +76,7 @@ def map_texts(
         for batch in batches:
             got = fn(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(got[n], t) for n, _, t in schema)],
+                [batch.column(0), *(x if isinstance(x := got[n], pa.Array) else pa.array(x, t) for n, _, t in schema)],
                 names=[id_col, *(n for n, _, _ in schema)],
             )
 

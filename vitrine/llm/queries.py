@@ -3,16 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vitrine.llm.common import table
 from vitrine.llm.exact_dedup import exact_dedup
+from vitrine.llm.pieces import count_tokens, encode_decode
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest").drop("_row")
 
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_decode(table(spark, sf_dir, "documents"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op10_sentencepiece": op10_sentencepiece,
+    "op7_token_counts": op7_token_counts,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
