@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +57,18 @@ def _remove_staged() -> None:
             return
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, as --py-files would."""
+    if spark.sparkContext.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[2]
+        base = Path(tempfile.mkdtemp(prefix="vitrine-"), "vitrine_package")
+        spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", root, "vitrine"))
+        _SHIPPED.add(spark.sparkContext.applicationId)
+
+
 def map_texts(
     docs: DataFrame,
     make: Callable[[], Callable[[list[str | None]], dict[str, list]]],
@@ -67,6 +81,7 @@ def map_texts(
     make() is called once per task and returns a function from a batch of texts to lists by column name.
     schema: (name, Spark type, Arrow type) of the columns that it makes, as lists or Arrow arrays.
     """
+    ship(docs.sparkSession)
     src = docs.select(id_col, text_col)
     kind = dict(src.dtypes)[id_col]
     ddl = ", ".join([f"`{id_col}` {kind}", *(f"`{n}` {t}" for n, t, _ in schema)])

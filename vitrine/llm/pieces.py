@@ -177,7 +177,9 @@ class Vocabulary:
         return count[n], int(best[n]) if done or n else 0
 
 
-vocabulary = lru_cache(2)(Vocabulary)
+@lru_cache(2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
 
 def words_of(text: str | None) -> list[str]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.common import table
 from vitrine.llm.exact_dedup import exact_dedup
+from vitrine.llm.packing import pack_documents
 from vitrine.llm.pieces import count_tokens, encode_decode
 
 
@@ -29,7 +30,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op10_sentencepiece": op10_sentencepiece,
     "op7_token_counts": op7_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
