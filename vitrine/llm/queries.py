@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.common import table
 from vitrine.llm.exact_dedup import exact_dedup
+from vitrine.llm.langid import held_out, predict_language, training_text
+from vitrine.llm.media import media_digests
 from vitrine.llm.packing import pack_documents
 from vitrine.llm.pieces import count_tokens, encode_decode
 
@@ -34,7 +36,19 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out("doc_id", 3, 1)
+    return predict_language(docs, training_text(docs, ~out)).withColumn("held_out", out)
+
+
 QUERIES = {
+    "op4_media_columns": op4_media_columns,
+    "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_sentencepiece": op10_sentencepiece,
     "op7_token_counts": op7_token_counts,
