@@ -11,6 +11,7 @@ from vitrine.llm.langid import held_out, predict_language, training_text
 from vitrine.llm.media import media_digests
 from vitrine.llm.packing import pack_documents
 from vitrine.llm.pieces import count_tokens, encode_decode
+from vitrine.llm.toxicity import fit_toxicity
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, training_text(docs, ~out)).withColumn("held_out", out)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = held_out("doc_id", 5, 0)
+    return fit_toxicity(docs, labels.filter(~out)).score(docs).withColumn("held_out", out)
+
+
 QUERIES = {
+    "op8_toxicity": op8_toxicity,
     "op4_media_columns": op4_media_columns,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
