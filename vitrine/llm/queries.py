@@ -10,6 +10,7 @@ from vitrine.llm.exact_dedup import exact_dedup
 from vitrine.llm.langid import held_out, predict_language, training_text
 from vitrine.llm.media import media_digests
 from vitrine.llm.packing import pack_documents
+from vitrine.llm.pii import BASE, find_pii
 from vitrine.llm.pieces import count_tokens, encode_decode
 from vitrine.llm.toxicity import fit_toxicity
 
@@ -53,7 +54,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_toxicity(docs, labels.filter(~out)).score(docs).withColumn("held_out", out)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x.kind == kind)).cast("long")
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans")
+    )
+
+
 QUERIES = {
+    "op3_pii": op3_pii,
     "op8_toxicity": op8_toxicity,
     "op4_media_columns": op4_media_columns,
     "op5_language_id": op5_language_id,
