@@ -37,9 +37,9 @@ def with_row(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row", F.monotonically_increasing_id())
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: bool = True) -> DataFrame:
     """One narrow row per input row: _row, _id, run, digest, length and second hash of the text."""
-    norm = ascii_lower(F.col(text_col))
+    norm = ascii_lower(F.col(text_col)) if fold else F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         "_row",
         F.col(id_col).alias("_id"),
@@ -64,13 +64,15 @@ def merge_runs(entries: DataFrame, fan_in: int) -> DataFrame:
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", fan_in: int = 16
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", fan_in: int = 16, fold: bool = True
 ) -> DataFrame:
     """One row per input row: _row, id, keep_id, group_size, kept, text_sha256.
 
+    fold: whether texts that differ in the case of A-Z alone are equal.
+
     keep: "smallest" or "largest" identifier of each group stays.  docs as for with_row().
     """
-    rows = stage(digests(with_row(docs), id_col, text_col), "digests")
+    rows = stage(digests(with_row(docs), id_col, text_col, fold), "digests")
     # max() takes the best; the row number breaks ties between rows with one identifier
     rank = F.col("_id") if keep == "largest" else -F.col("_id")
     best = F.struct(rank.alias("rank"), F.col("_id").alias("id"), (-F.col("_row")).alias("row"))

@@ -12,6 +12,7 @@ from vitrine.llm.media import media_digests
 from vitrine.llm.packing import pack_documents
 from vitrine.llm.pii import BASE, find_pii
 from vitrine.llm.pieces import count_tokens, encode_decode
+from vitrine.llm.substring import remove_repeats
 from vitrine.llm.toxicity import fit_toxicity
 
 
@@ -63,7 +64,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_pii": op3_pii,
     "op8_toxicity": op8_toxicity,
     "op4_media_columns": op4_media_columns,
