@@ -9,6 +9,7 @@ from vitrine.llm.common import table
 from vitrine.llm.exact_dedup import exact_dedup
 from vitrine.llm.langid import held_out, predict_language, training_text
 from vitrine.llm.media import media_digests
+from vitrine.llm.ngram_join import ngram_join
 from vitrine.llm.packing import pack_documents
 from vitrine.llm.pii import BASE, find_pii
 from vitrine.llm.pieces import count_tokens, encode_decode
@@ -68,7 +69,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_pii": op3_pii,
     "op8_toxicity": op8_toxicity,
