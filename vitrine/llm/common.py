@@ -75,10 +75,11 @@ def map_texts(
     schema: list[tuple[str, str, pa.DataType]],
     id_col: str = "doc_id",
     text_col: str = "text",
+    rows: int = 512,
 ) -> DataFrame:
     """Apply a per-batch function to every text; id_col is carried along unchanged.
 
-    make() is called once per task and returns a function from a batch of texts to lists by column name.
+    A batch has at most `rows` texts, which bounds the memory of a task.  make() is called once per task and returns a function from a batch of texts to lists by column name.
     schema: (name, Spark type, Arrow type) of the columns that it makes, as lists or Arrow arrays.
     """
     ship(docs.sparkSession)
@@ -88,7 +89,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
+        for batch in (whole.slice(at, rows) for whole in batches for at in range(0, whole.num_rows, rows)):
             got = fn(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(x if isinstance(x := got[n], pa.Array) else pa.array(x, t) for n, _, t in schema)],
