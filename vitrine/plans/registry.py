@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vitrine.plans import analytics
+from vitrine.plans import analytics, ranking
 
-PARTS = [analytics]
+PARTS = [analytics, ranking]
 
 
 def queries() -> dict:
