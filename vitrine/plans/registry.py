@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vitrine.plans import analytics, ranking
+from vitrine.plans import analytics, ranking, state
 
-PARTS = [analytics, ranking]
+PARTS = [analytics, ranking, state]
 
 
 def queries() -> dict:

@@ -1,0 +1,104 @@
+"""Readers and guarded writers of the catalogue, its dimensions and the event logs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+VARIANT = T.StructType([
+    T.StructField("color", T.StringType()), T.StructField("hex", T.StringType()), T.StructField("imgs", T.ArrayType(T.IntegerType())), T.StructField("sizes", T.ArrayType(T.StringType())),
+    T.StructField("inStock", T.BooleanType()), T.StructField("price", T.DoubleType()), T.StructField("url", T.StringType()),
+])
+PRODUCT = T.StructType([
+    *(T.StructField(n, T.StringType()) for n in ("id", "brand", "brandSlug", "name", "category", "currency", "image", "productUrl", "source")),
+    *(T.StructField(n, T.ArrayType(T.StringType())) for n in ("genders", "styles", "images", "sizes", "colors", "colorTags")),
+    *(T.StructField(n, T.DoubleType()) for n in ("price", "priceMin", "priceMax")),
+    T.StructField("variants", T.ArrayType(VARIANT)), T.StructField("inStock", T.BooleanType()), T.StructField("pop", T.IntegerType()), T.StructField("day", T.IntegerType()),
+])
+EVENT = "at TIMESTAMP, kind STRING, brand STRING, brandSlug STRING, productId STRING, productName STRING, category STRING, targetHost STRING, price DOUBLE, session STRING"
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """A catalogue of JSON arrays, one or many files, gzip or not; an empty one is an error, never a result."""
+    df = spark.read.schema(PRODUCT).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    if df.isEmpty():
+        raise ValueError(f"empty catalogue: {path}")
+    return df
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """Event logs, one JSON object a line; lines that don't parse are skipped; day comes from the folder."""
+    return spark.read.schema(EVENT).option("mode", "DROPMALFORMED").json(path)
+
+
+def read_brands(spark: SparkSession, path: str) -> DataFrame:
+    """The brand roster (name,style,url), styles separated by semicolons."""
+    df = spark.read.option("header", True).schema("name STRING, style STRING, url STRING").csv(path)
+    return df.withColumn("styles", F.filter(F.split("style", ";"), lambda s: s != "")).drop("style")
+
+
+def shopify_records(pages: DataFrame) -> DataFrame:
+    """Landed product pages (brand, body JSON) to one record per product and colour.
+
+    Sizes and price come from the variants in stock, from all if none is.
+    """
+    variant = "struct<option1:string,option2:string,price:string,available:boolean>"
+    schema = f"products array<struct<id:long,title:string,handle:string,variants:array<{variant}>,images:array<struct<src:string>>>>"
+    p = pages.select("brand", F.explode(F.from_json("body", schema)["products"]).alias("p"))
+    v = p.select("brand", F.col("p.id").alias("id"), F.col("p.title").alias("name"), F.col("p.images.src").alias("images"), F.posexplode("p.variants").alias("at", "v"))
+    v = v.select("brand", "id", "name", "images", "at", F.coalesce("v.option1", F.lit("")).alias("color"), F.col("v.option2").alias("size"), F.col("v.price").cast("double").alias("price"), F.coalesce("v.available", F.lit(False)).alias("live"))
+    any_live = F.max("live")
+    g = v.groupBy("brand", "id", "name", "images", "color").agg(
+        any_live.alias("in_stock"),
+        F.min(F.when(F.col("live"), F.col("price"))).alias("live_price"), F.min("price").alias("any_price"),
+        F.array_sort(F.collect_set(F.when(F.col("live"), F.col("size")))).alias("live_sizes"), F.array_sort(F.collect_set("size")).alias("any_sizes"),
+    )
+    pick = lambda a, b: F.when(F.col("in_stock"), F.col(a)).otherwise(F.col(b))
+    return g.select("brand", "id", "name", "color", "images", "in_stock", pick("live_price", "any_price").alias("price"), pick("live_sizes", "any_sizes").alias("sizes"))
+
+
+def woo_price(minor: F.Column, digits: F.Column) -> F.Column:
+    """A price in minor units."""
+    return minor.cast("double") / F.pow(F.lit(10.0), digits)
+
+
+def write_catalog(df: DataFrame, path: str, least: float = 0.6, force: bool = False) -> int:
+    """Overwrite a catalogue unless it would shrink below `least` of what is there; returns the rows written."""
+    spark, new = df.sparkSession, df.count()
+    try:
+        old = spark.read.parquet(path).count()
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        old = 0
+    if new < least * old and not force:
+        raise ValueError(f"{new} rows would replace {old}")
+    df.write.mode("overwrite").parquet(path)
+    return new
+
+
+def keep_last_good(old: DataFrame, new: DataFrame, least: float = 0.6) -> DataFrame:
+    """Per brand the new rows, or the old ones where the new ones are too few or lost their prices or sizes."""
+
+    def health(df: DataFrame, tag: str) -> DataFrame:
+        known = F.count_if(F.col("price").isNotNull()), F.count_if(F.size("sizes") > 0)
+        return df.groupBy("brand_slug").agg(F.count("*").alias(f"{tag}_n"), *(c.alias(f"{tag}_{n}") for c, n in zip(known, ("priced", "sized"), strict=True)))
+
+    both = health(old, "o").join(health(new, "n"), "brand_slug", "full").na.fill(0)
+    lost = lambda c: (F.col(f"o_{c}") / F.col("o_n") >= 0.5) & (F.col(f"n_{c}") / F.greatest(F.col("n_n"), F.lit(1)) < 0.2)
+    bad = (F.col("o_n") > 0) & ((F.col("n_n") < least * F.col("o_n")) | lost("priced") | lost("sized"))
+    keep = both.select("brand_slug", bad.alias("keep_old"))
+    stay = old.join(keep.filter("keep_old"), "brand_slug", "left_semi")
+    return stay.unionByName(new.join(keep.filter("keep_old"), "brand_slug", "left_anti"))
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows of both by key; a new value wins where it is not null."""
+    cols = [c for c in old.columns if c != key]
+    n = new.select(key, *(F.col(c).alias(f"_new_{c}") for c in cols))
+    return old.join(n, key, "full").select(key, *(F.coalesce(f"_new_{c}", c).alias(c) for c in cols))
+
+
+def insert_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    return old.unionByName(new.join(old, key, "left_anti"))

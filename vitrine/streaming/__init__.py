@@ -1,0 +1,76 @@
+"""Event streams: landed log files to day and hour counts, votes and upserts by micro-batch."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from vitrine.sources import EVENT
+
+
+def read_event_stream(spark: SparkSession, path: str) -> DataFrame:
+    """New lines of the event logs as they land; malformed ones are dropped."""
+    return spark.readStream.schema(EVENT).option("mode", "DROPMALFORMED").json(path)
+
+
+def day_counts(events: DataFrame, late: str = "2 days") -> DataFrame:
+    """Events by day window and kind; a day is final once the watermark has passed it."""
+    return events.withWatermark("at", late).groupBy(F.window("at", "1 day"), "kind").agg(F.count("*").alias("n"))
+
+
+def session_estimates(events: DataFrame, late: str = "2 days") -> DataFrame:
+    """Distinct sessions by day, approximately, as exact sets would grow with the stream."""
+    return events.withWatermark("at", late).groupBy(F.window("at", "1 day")).agg(F.approx_count_distinct("session").alias("sessions"))
+
+
+def one_vote_each(votes: DataFrame, late: str = "30 days") -> DataFrame:
+    """Votes (product_id, voter, at), the first of each voter for a product."""
+    return votes.withWatermark("at", late).dropDuplicatesWithinWatermark(["product_id", "voter"])
+
+
+def limited(events: DataFrame, seconds: int = 60) -> DataFrame:
+    """(key, accepted, refused) by micro-batch: an event within `seconds` of the last accepted one of its key is refused.
+
+    State is one time stamp per key and leaves after an hour without events.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        accepted = refused = 0
+        times = sorted(t for b in batches for t in b["at"].astype("int64") // 10**3)
+        for t in times:
+            if last is None or t - last >= seconds * 10**6:
+                last, accepted = t, accepted + 1
+            else:
+                refused += 1
+        state.update((int(last),))
+        state.setTimeoutDuration(3_600_000)
+        yield pd.DataFrame({"key": [key[0]], "accepted": [accepted], "refused": [refused]})
+
+    return events.groupBy("key").applyInPandasWithState(
+        run, "key string, accepted long, refused long", "last long", "update", GroupStateTimeout.ProcessingTimeTimeout
+    )
+
+
+def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
+    """Keep the latest row of each key in a Parquet table, rewritten by micro-batch; returns the query's writer.
+
+    Each batch writes a new version folder; the version file of the batch id makes a repeated batch harmless.
+    """
+    from vitrine.operators.userdata import latest
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch
+        if number:
+            rows = spark.read.parquet(f"{path}/v{number - 1}").unionByName(batch)
+        latest(rows, keys, [order]).write.mode("overwrite").parquet(f"{path}/v{number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
