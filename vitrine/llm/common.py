@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: list[tuple[SparkSession, str]] = []
@@ -42,6 +44,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/vitrine/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _STAGED.append((spark, path))
+    # what led here is unreferenced now; collecting it lets Spark remove its shuffle files
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -99,10 +104,30 @@ def map_texts(
     return src.mapInArrow(run, ddl)
 
 
+def packed(rows: DataFrame, text_col: str = "_text") -> DataFrame:
+    """rows with the text compressed, for a shuffle that carries whole texts; unpack() undoes it in the task that reads it."""
+    at = rows.columns.index(text_col)
+    ddl = ", ".join(f"`{n}` {'binary' if n == text_col else t}" for n, t in rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            small = [None if t is None else press.compress(t.encode("utf-8", "replace")) for t in batch.column(at).to_pylist()]
+            cols = [pa.array(small, pa.binary()) if k == at else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+    return rows.mapInArrow(run, ddl)
+
+
+def unpack(texts: list[bytes | None]) -> list[str | None]:
+    open_up = zstandard.ZstdDecompressor()
+    return [None if t is None else open_up.decompress(t).decode("utf-8") for t in texts]
+
+
 class BoundedCache(dict):
     """A word cache of at most `most` entries; it starts again when full, so memory stays bounded."""
 
-    def __init__(self, most: int = 300_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         super().__init__()
         self.most = most
 

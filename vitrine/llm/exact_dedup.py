@@ -37,6 +37,12 @@ def with_row(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row", F.monotonically_increasing_id())
 
 
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose _row is in dropped.  Whatever docs' columns are called, they stay as they are."""
+    whole = with_row(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")))
+    return whole.join(dropped, "_row", "left_anti").select("_doc.*")
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: bool = True) -> DataFrame:
     """One narrow row per input row: _row, _id, run, digest, length and second hash of the text."""
     norm = ascii_lower(F.col(text_col)) if fold else F.coalesce(F.col(text_col), F.lit(""))
@@ -72,7 +78,8 @@ def exact_dedup(
 
     keep: "smallest" or "largest" identifier of each group stays.  docs as for with_row().
     """
-    rows = stage(digests(with_row(docs), id_col, text_col, fold), "digests")
+    rows = with_row(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")))
+    rows = stage(digests(rows, "_id", "_text", fold), "digests")
     # max() takes the best; the row number breaks ties between rows with one identifier
     rank = F.col("_id") if keep == "largest" else -F.col("_id")
     best = F.struct(rank.alias("rank"), F.col("_id").alias("id"), (-F.col("_row")).alias("row"))
@@ -92,4 +99,4 @@ def exact_dedup(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """docs without all but one row of each group of equal texts; the columns stay as they are."""
     dropped = exact_dedup(docs, id_col, text_col, keep).filter(~F.col("kept")).select("_row")
-    return with_row(docs).join(dropped, "_row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return without_rows(docs, dropped)

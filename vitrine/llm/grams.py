@@ -31,7 +31,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def small_groups(texts: list[str | None], most: int = 1_500_000) -> Iterator[tuple[int, list[str | None]]]:
+def small_groups(texts: list[str | None], most: int = 500_000) -> Iterator[tuple[int, list[str | None]]]:
     """(first index, texts) of groups with at most `most` characters or one text."""
     at = size = 0
     for k, t in enumerate(texts):

@@ -34,22 +34,20 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
 
 
 def training_text(
-    docs: DataFrame, usable: Column, per_language: int = 32, most_chars: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, usable: Column, per_language: int = 24, most_chars: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> dict[str, str]:
     """A sample of at most per_language rows of each language, each cut to most_chars: the bound of what is learned from.
 
     The rows are those with the smallest hash of their id in each of per_language buckets, found by a plain
     aggregation of narrow columns, so no language's rows meet in one task.
     """
-    seed = F.xxhash64(F.col(id_col), F.lit("train"))
-    good = usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()
-    chosen = (
-        docs.filter(good)
-        .groupBy(F.col(lang_col).alias("_lang"), F.pmod(F.xxhash64(id_col), F.lit(per_language)).alias("_b"))
-        .agg(F.min_by(id_col, seed).alias("_id"))
-    )
-    picked = docs.join(F.broadcast(chosen), (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_lang")))
-    rows = picked.filter(good).select("_lang", "_id", F.substring(text_col, 1, most_chars).alias("_text")).collect()
+    rows = docs.filter(usable).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{lang_col}`").alias("_lang"), F.col(f"`{text_col}`").alias("_text"))
+    rows = rows.filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & F.col("_id").isNotNull())
+    seed = F.xxhash64(F.col("_id"), F.lit("train"))
+    chosen = rows.groupBy("_lang", F.pmod(F.xxhash64("_id"), F.lit(per_language)).alias("_b")).agg(F.min_by("_id", seed).alias("_id"))
+    # at most per_language rows of each language
+    picked = rows.join(F.broadcast(chosen.select("_lang", "_id")), ["_lang", "_id"])
+    rows = picked.select("_lang", "_id", F.substring("_text", 1, most_chars).alias("_text")).collect()
     found: dict[str, list[str]] = {}
     for lang, _, text in sorted({tuple(r) for r in rows}):
         found.setdefault(lang, []).append(" ".join(letters(text)))

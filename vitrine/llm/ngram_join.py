@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import ship, stage
+from vitrine.llm.common import packed, ship, stage, unpack
 from vitrine.llm.components import components
-from vitrine.llm.exact_dedup import with_row
+from vitrine.llm.exact_dedup import with_row, without_rows
 from vitrine.llm.grams import Words, mix, small_groups
 
 SHINGLE, THRESHOLD, LEVELS = 5, 0.8, 2
@@ -115,7 +115,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for lot in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
                 size, sets, sketches = [], [], []
-                for _, tokens in shingle_sets(lot.column(1).to_pylist()):
+                for _, tokens in shingle_sets(unpack(lot.column(1).to_pylist())):
                     short = (tokens >> np.uint64(32)).astype(np.uint32)  # sorted as the tokens are
                     bins = short >> np.uint32(26)
                     lead = np.append(True, bins[1:] != bins[:-1])[: len(bins)]
@@ -244,7 +244,7 @@ def compare(batches):
             both = np.zeros((len(left), len(right)), np.float32)
             order = np.argsort(token, kind="stable")
             owner, token = owner[order], token[order]
-            width = max(256, min(4096, 4_000_000 // max(1, b - a)))
+            width = max(256, min(4096, 2_000_000 // max(1, b - a)))
             for c in range(0, int(common.sum()), width):
                 lo, hi = np.searchsorted(token, [c, c + width])
                 has = np.zeros((b - a, width), np.float32)
@@ -286,7 +286,7 @@ def shared_nodes(members: DataFrame) -> DataFrame:
     return stage(members.join(counts, "path"), "nodes")
 
 
-def exact_links(sets: DataFrame, clusters: DataFrame, most: int = 2048, most_tokens: int = 4_000_000) -> DataFrame:
+def exact_links(sets: DataFrame, clusters: DataFrame, most: int = 2048, most_tokens: int = 1_000_000) -> DataFrame:
     """(_row, links, to) from exact comparison inside the clusters (node, root)."""
     members = clusters.select(F.col("node").alias("_row"), F.col("root").alias("cluster")).join(sets.select("_row", "size", "tokens"), "_row")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("t"))
@@ -316,7 +316,7 @@ def ngram_join(docs: DataFrame, recall: float = 0.999, small: int = 64, id_col:
     members = first.join(heads.select(F.col("head").alias("_row")), "_row").select(F.explode("paths").alias("path"), "_row").distinct()
     nodes = shared_nodes(members)
     wanted = nodes.select("_row").distinct()
-    sets = stage(full_sets(rows.join(wanted, "_row")), "sets")
+    sets = stage(full_sets(packed(rows).join(wanted, "_row")), "sets")
     clusters = components(candidate_edges(rows, sets, nodes, small))
     found = stage(exact_links(sets, clusters), "links")
     links = found.groupBy("_row").agg(F.sum("links").alias("n_links"))
@@ -340,4 +340,4 @@ def ngram_join(docs: DataFrame, recall: float = 0.999, small: int = 64, id_col:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each class; the columns stay as they are."""
     gone = ngram_join(docs, id_col=id_col, text_col=text_col).filter("class_row != _row").select("_row")
-    return with_row(docs).join(gone, "_row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return without_rows(docs, gone)

@@ -42,7 +42,7 @@ def stem_of(word: str) -> str:
     """The letters of a word in lower case, disguises undone if it mixes letters and what stands for them."""
     low = word.lower()
     plain = NOT_LETTER.sub("", low)
-    inner = low.strip("!?.,;:*#$%&|\"'()[]")
+    inner = low.lstrip("!?.,;:*#%&|\"'([").rstrip("!?.,;:*#$%&|\"')]")
     return NOT_LETTER.sub("", inner.translate(DISGUISE)) if plain and inner != plain else plain
 
 
