@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vitrine.plans import analytics, ranking, state
+from vitrine.plans import analytics, more, ranking, state
 
-PARTS = [analytics, ranking, state]
+PARTS = [analytics, ranking, state, more]
 
 
 def queries() -> dict:
