@@ -11,7 +11,7 @@ from vitrine.functions.color import FAMILIES
 
 NEUTRAL = ("siyah", "beyaz", "gri", "bej")
 #: Least share of a family, most tags, share and number of families that make a pattern, pale saturation.
-MIN_SHARE, MAX_TAGS, MULTI_SHARE, MULTI_FAMILIES, PALE = 0.18, 2, 0.12, 4, 0.18
+MIN_SHARE, MAX_TAGS, MULTI_SHARE, MULTI_FAMILIES, PALE = 0.12, 3, 0.1, 3, 0.2
 KEYS = list(FAMILIES)
 
 
