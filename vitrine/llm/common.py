@@ -66,7 +66,14 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, as --py-files would."""
+    """Send this package to the executors, once per application, as --py-files would.
+
+    Rows here hold whole texts, so the default of 10,000 rows to an Arrow batch is lowered; a value that the
+    user has chosen stays.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, "1000")
     if spark.sparkContext.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parents[2]
         base = Path(tempfile.mkdtemp(prefix="vitrine-"), "vitrine_package")
