@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vitrine.plans import analytics, more, ranking, state
+from vitrine.plans import analytics, extra, more, ranking, state
 
-PARTS = [analytics, ranking, state, more]
+PARTS = [analytics, ranking, state, more, extra]
 
 
 def queries() -> dict:
