@@ -82,6 +82,18 @@ def test_substrings(docs, batches):
     assert got == Counter(removed(rows))
 
 
+def test_substrings_across_batches(spark, tmp_path):
+    """Passages that only the two rows at an edge of Arrow batches (1000 rows, amid a run of rows) share."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(15)), *[None] * 6) for i in range(2100)]
+    for edge in (1000, 2000):
+        for i in (edge - 1, edge):
+            rows[i] = (i, f"own{i} " + " ".join(f"p{edge}x{k}" for k in range(20)), *[None] * 6)
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/docs")
+    got = remove_repeats(spark.read.schema(SCHEMA).parquet(f"{tmp_path}/docs")).collect()
+    assert Counter(tuple(r) for r in got) == Counter(removed(rows))
+    assert {r.doc_id: r.n_removed for r in got if r.n_removed} == {1000: 20, 2000: 20}
+
+
 def test_kept_text(docs):
     df, _ = docs
     for r in remove_repeats(df, with_text=True).collect():

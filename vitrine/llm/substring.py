@@ -93,7 +93,7 @@ def second_hash(words: Words) -> np.ndarray:
 
 
 def run_grams(docs: DataFrame, text_col: str) -> DataFrame:
-    """(_run, gram, several): the least grams of each run of rows, and whether more than one row has them."""
+    """(_run, gram, several): the least grams of each run of rows in a batch, and whether more than one row there has them."""
 
     def run(batches):
         for batch in batches:
@@ -128,11 +128,13 @@ def run_grams(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def shared_grams(rows: DataFrame) -> DataFrame:
-    """(_run, gram) of the grams that more than one row of the corpus has."""
+    """(_run, gram) of the grams that more than one row of the corpus has.
+
+    A run that an Arrow batch or a split of a file cuts in two has an entry from each part; as a row is in one
+    part only, two entries of a gram are two rows, whatever their runs.
+    """
     same = Window.partitionBy("gram")
-    both = rows.select(
-        "_run", "gram", (F.min("_run").over(same) < F.max("_run").over(same)).alias("_far"), F.max("several").over(same).alias("_near")
-    )
+    both = rows.select("_run", "gram", (F.count(F.lit(1)).over(same) > 1).alias("_far"), F.max("several").over(same).alias("_near"))
     return both.filter(F.col("_far") | F.col("_near")).select("_run", "gram")
 
 
