@@ -1,13 +1,17 @@
 """Exact, substring and near-duplicate operators against brute force."""
 
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
+from urllib.parse import unquote, urlparse
 
 import pytest
 from helpers import SCHEMA, documents
 from pyspark.sql import functions as F
 
+from vitrine.llm import exact_dedup as exact_module
+from vitrine.llm import ngram_join as near_module
 from vitrine.llm.components import components
 from vitrine.llm.exact_dedup import drop_copies, exact_dedup
 from vitrine.llm.ngram_join import keep_one, ngram_join, trees_for
@@ -52,6 +56,56 @@ def test_drop_copies_keeps_columns(docs):
     assert Counter((r.text or "").translate(FOLD) for r in got.collect()) == dict.fromkeys({(t or "").translate(FOLD) for _, t, *_ in rows}, 1)
 
 
+@pytest.fixture
+def resplit(spark, monkeypatch):
+    """After its first staged result a module's reads are split otherwise, as when executors come or go."""
+    names = ["spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"]
+
+    def use(module, df):
+        sizes = sorted(os.path.getsize(unquote(urlparse(f).path)) for f in df.inputFiles())
+        two = str(sizes[-1] + sizes[-2])  # the two largest files in one task, the third in another
+
+        def staged(df, name, plain=module.stage):
+            out = plain(df, name)
+            for key, value in zip(names, ["1", "0", two], strict=True):
+                spark.conf.set(key, value)
+            return out
+
+        for key, value in zip(names, ["1", "0", str(sizes[-1])], strict=True):
+            spark.conf.set(key, value)
+        monkeypatch.setattr(module, "stage", staged)
+
+    yield use
+    for key in names:
+        spark.conf.unset(key)
+
+
+def test_rows_keep_their_number(docs, resplit):
+    df, rows = docs
+    resplit(exact_module, df)
+    got = drop_copies(df)
+    assert Counter((r.text or "").translate(FOLD) for r in got.collect()) == dict.fromkeys({(t or "").translate(FOLD) for _, t, *_ in rows}, 1)
+
+
+def test_substring_rows_keep_their_number(docs, resplit):
+    df, rows = docs
+    resplit(exact_module, df)
+    assert Counter(tuple(r) for r in remove_repeats(df).collect()) == Counter(removed(rows))
+
+
+def test_near_rows_keep_their_number(docs, resplit):
+    df, rows = docs
+    resplit(near_module, df)
+    got = Counter(tuple(r) for r in ngram_join(df).select("doc_id", "class_id", "n_links", "n_copies").collect())
+    assert got == Counter(near_brute(rows))
+
+
+def test_input_that_is_no_read_of_files(docs):
+    df, rows = docs
+    mixed = df.repartition(5)
+    assert Counter(r.text for r in drop_copies(mixed).collect()).keys() == Counter(r.text for r in drop_copies(df).collect()).keys()
+
+
 def test_empty_tables(empty):
     for df in (exact_dedup(empty), remove_repeats(empty), ngram_join(empty), keep_one(empty)):
         assert df.count() == 0

@@ -17,6 +17,7 @@ gives an empty table; other columns of the input, whatever their names, are not
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from vitrine.llm.common import stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENTRY = ["_sha", "_bytes", "_check"]
+FILE_BITS = 40  # of the row number: the place in the file
 
 
 def ascii_lower(text: Column) -> Column:
@@ -32,14 +34,35 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def with_row(docs: DataFrame) -> DataFrame:
-    """Add _row, a number of the row.  docs has to be a plain read of files, so that each use of it agrees."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+def read_of_files(docs: DataFrame) -> DataFrame:
+    """docs if it is a plain read of Parquet files (each named once), or else a staged copy that is."""
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        try:
+            docs.select(docs.metadataColumn("_metadata").getField("row_index"))
+            return docs
+        except AnalysisException:
+            pass
+    return stage(docs, "documents")
+
+
+def with_row(docs: DataFrame, *cols: Column) -> DataFrame:
+    """cols and _row, a number of the row: the place of its file among the files by name, and its place in the file.
+
+    Both are facts of the files, so every read has the same numbers, however the files are split among tasks.
+    docs is from read_of_files(); one row a file is broadcast.
+    """
+    place = docs.metadataColumn("_metadata")
+    paths = sorted(r[0] for r in docs.select(place.getField("file_path")).distinct().collect())
+    files = docs.sparkSession.createDataFrame([(p, k) for k, p in enumerate(paths)], "_file string, _number long")
+    rows = docs.select(*cols, place.getField("file_path").alias("_file"), place.getField("row_index").alias("_at"))
+    number = F.coalesce(F.col("_number"), F.raise_error(F.lit("a file was added during the job")).cast("long"))
+    row = F.shiftleft(number, FILE_BITS) + F.col("_at")
+    return rows.join(F.broadcast(files), "_file", "left").select(*rows.columns[:-2], row.alias("_row"))
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose _row is in dropped.  Whatever docs' columns are called, they stay as they are."""
-    whole = with_row(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")))
+    whole = with_row(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
     return whole.join(dropped, "_row", "left_anti").select("_doc.*")
 
 
@@ -76,9 +99,9 @@ def exact_dedup(
 
     fold: whether texts that differ in the case of A-Z alone are equal.
 
-    keep: "smallest" or "largest" identifier of each group stays.  docs as for with_row().
+    keep: "smallest" or "largest" identifier of each group stays.  _row as in with_row().
     """
-    rows = with_row(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")))
+    rows = with_row(read_of_files(docs), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     rows = stage(digests(rows, "_id", "_text", fold), "digests")
     # max() takes the best; the row number breaks ties between rows with one identifier
     rank = F.col("_id") if keep == "largest" else -F.col("_id")
@@ -98,5 +121,6 @@ def exact_dedup(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """docs without all but one row of each group of equal texts; the columns stay as they are."""
+    docs = read_of_files(docs)
     dropped = exact_dedup(docs, id_col, text_col, keep).filter(~F.col("kept")).select("_row")
     return without_rows(docs, dropped)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.common import packed, ship, stage, unpack
 from vitrine.llm.components import components
-from vitrine.llm.exact_dedup import with_row, without_rows
+from vitrine.llm.exact_dedup import read_of_files, with_row, without_rows
 from vitrine.llm.grams import Words, mix, small_groups
 
 SHINGLE, THRESHOLD, LEVELS = 5, 0.8, 2
@@ -303,10 +303,10 @@ def ngram_join(docs: DataFrame, recall: float = 0.999, small: int = 64, id_col:
     """One row per document: _row, id, class_id, class_row, n_links, n_copies.
 
     class_id: the smallest id of the class; class_row: the row of the document that stands for it.
-    docs has to be a plain read of files (see with_row).  Ids are integers.
+    _row as in with_row().  Ids are integers.
     """
     ship(docs.sparkSession)
-    rows = with_row(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")))
+    rows = with_row(read_of_files(docs), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     first = stage(first_level(rows, trees_for(recall)), "first_level")
     key = ["k1", "k2", "size"]
     best = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
@@ -339,5 +339,6 @@ def ngram_join(docs: DataFrame, recall: float = 0.999, small: int = 64, id_col:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each class; the columns stay as they are."""
+    docs = read_of_files(docs)
     gone = ngram_join(docs, id_col=id_col, text_col=text_col).filter("class_row != _row").select("_row")
     return without_rows(docs, gone)

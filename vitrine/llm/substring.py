@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vitrine.llm.common import packed, ship, stage, unpack
-from vitrine.llm.exact_dedup import exact_dedup, with_row
+from vitrine.llm.exact_dedup import exact_dedup, read_of_files, with_row
 from vitrine.llm.grams import Words, sliding_min, small_groups
 
 WINDOW, GRAM = 13, 5
@@ -237,10 +237,11 @@ CUT_DDL = "_id long, n_words long, n_removed long, kept string, text string"
 def remove_repeats(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 of each row; with_text: kept_text too, of the rows that lose words (null: as it was).
 
-    docs has to be a plain read of files (see with_row).  Ids are integers.
+    Ids are integers.
     """
     ship(docs.sparkSession)
-    rows = with_row(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")))
+    docs = read_of_files(docs)
+    rows = with_row(docs, F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     by_run = F.shiftright("_row", RUN_BITS).alias("_run")
     copies = exact_dedup(docs, id_col, text_col, fold=False).filter(F.col("keep_id") < F.col(id_col)).select("_row")
     grams = shared_grams(run_grams(rows, "_text"))
