@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from helpers import SCHEMA, documents, texts
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vitrine.llm import langid, media, pii, pieces, toxicity
@@ -101,6 +102,18 @@ def test_language(spark, docs, empty):
     assert kept.columns == SCHEMA.names and kept.count() == sum(any(c.isalpha() for c in t or "") for _, t, *_ in rows)
 
 
+def test_training_learns_whole_texts(spark):
+    """The body after a long header is learned, and copies of a text are one text of the sample."""
+    header = "licence terms " * 100
+    rows = [(i, header + f"korpus{'abcdefghij'[i]}", "aa") for i in range(10)] + [(i, "kopya metin", "bb") for i in range(10, 90)] + [(90, "12 !!", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_text(df, F.lit(True))
+    assert "korpus" in got["aa"] and all(w in " ".join(header.split()) or w.startswith("korpus") for w in got["aa"].split())
+    assert got["bb"] == "kopya metin"
+    one = langid.training_text(df, F.lit(True), enough_chars=1)["aa"].split()
+    assert len(one) == 201 and one[-1].startswith("korpus")
+
+
 def test_suffix_automaton():
     follow = langid.suffix_automaton("abracadabra")
     assert langid.phrases(follow, "abra") == 1 and langid.phrases(follow, "abraabra") == 2 and langid.phrases(follow, "zzab") == 3 and langid.phrases(follow, "") == 0

@@ -34,22 +34,32 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
 
 
 def training_text(
-    docs: DataFrame, usable: Column, per_language: int = 24, most_chars: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, usable: Column, per_language: int = 24, enough_chars: int = 24_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> dict[str, str]:
-    """A sample of at most per_language rows of each language, each cut to most_chars: the bound of what is learned from.
+    """A sample of at most per_language rows of each language: the bound of what is learned from.  Texts are learned whole.
 
-    The rows are those with the smallest hash of their id in each of per_language buckets, found by a plain
-    aggregation of narrow columns, so no language's rows meet in one task.
+    A text with letters goes by its hash to one of per_language buckets, and of each bucket the text with the
+    smallest seed is picked, so copies of a text are one pick; a plain aggregation of narrow columns, so no
+    language's rows meet in one task.  In the order of seeds, rows are taken until they have enough_chars
+    characters together; the row that gets there is whole too, and no row is passed over for its length.
     """
     rows = docs.filter(usable).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{lang_col}`").alias("_lang"), F.col(f"`{text_col}`").alias("_text"))
-    rows = rows.filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & F.col("_id").isNotNull())
-    seed = F.xxhash64(F.col("_id"), F.lit("train"))
-    chosen = rows.groupBy("_lang", F.pmod(F.xxhash64("_id"), F.lit(per_language)).alias("_b")).agg(F.min_by("_id", seed).alias("_id"))
-    # at most per_language rows of each language
-    picked = rows.join(F.broadcast(chosen.select("_lang", "_id")), ["_lang", "_id"])
-    rows = picked.select("_lang", "_id", F.substring("_text", 1, most_chars).alias("_text")).collect()
+    rows = rows.filter(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}") & F.col("_id").isNotNull()).withColumn("_hash", F.xxhash64("_text"))
+    seed = F.xxhash64("_hash", F.lit("train"))
+    pick = F.struct(seed.alias("seed"), "_id", "_hash", F.length("_text").alias("n"))
+    chosen = rows.groupBy("_lang", F.pmod(F.xxhash64("_hash", F.lit("bucket")), F.lit(per_language)).alias("_b")).agg(F.min(pick).alias("p"))
+    left, wanted = {}, []
+    for lang, seed, key, text_hash, n in sorted(tuple(r) for r in chosen.select("_lang", "p.seed", "p._id", "p._hash", "p.n").collect()):
+        if left.setdefault(lang, enough_chars) > 0:
+            left[lang] -= n
+            wanted.append((lang, key, text_hash))
+    if not wanted:
+        return {}
+    kinds = dict(rows.dtypes)
+    some = docs.sparkSession.createDataFrame(wanted, f"_lang {kinds['_lang']}, _id {kinds['_id']}, _hash long")
+    picked = rows.join(F.broadcast(some), ["_lang", "_id", "_hash"]).select("_lang", "_id", "_text").collect()
     found: dict[str, list[str]] = {}
-    for lang, _, text in sorted({tuple(r) for r in rows}):
+    for lang, _, text in sorted({tuple(r) for r in picked}):
         found.setdefault(lang, []).append(" ".join(letters(text)))
     return {lang: " ".join(texts) for lang, texts in found.items()}
 
