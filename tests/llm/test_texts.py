@@ -114,6 +114,11 @@ def test_training_learns_whole_texts(spark):
     assert len(one) == 201 and one[-1].startswith("korpus")
 
 
+def test_nothing_learned_keeps_letters(docs):
+    df, rows = docs
+    assert langid.keep_identified(df, {}).count() == sum(any(c.isalpha() for c in t or "") for _, t, *_ in rows)
+
+
 def test_suffix_automaton():
     follow = langid.suffix_automaton("abracadabra")
     assert langid.phrases(follow, "abra") == 1 and langid.phrases(follow, "abraabra") == 2 and langid.phrases(follow, "zzab") == 3 and langid.phrases(follow, "") == 0

@@ -163,8 +163,11 @@ def predict_language(docs: DataFrame, training: dict[str, str], id_col: str = "d
 
 
 def keep_identified(docs: DataFrame, training: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose language stays undetermined; columns as they are."""
+    """docs without the rows whose language stays undetermined; columns as they are.
+
+    Where nothing could be learned, as when no row has a language, all rows with a letter stay.
+    """
     names = docs.columns
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_doc"), F.col(f"`{text_col}`").alias("_text"))
-    found = predict_language(row, training, "_doc", "_text")
+    found = predict_language(row, training or {"any": ""}, "_doc", "_text")
     return found.filter(F.col("lang_pred") != UNDETERMINED).select("_doc.*")
