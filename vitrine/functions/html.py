@@ -5,25 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vitrine.functions.rules import DANGLING
 from vitrine.functions.text import parse_number
 
 OFFER = "struct<price:string,lowPrice:string,availability:string,priceCurrency:string>"
 NODE = f"struct<`@type`:string,name:string,image:array<string>,offers:array<{OFFER}>,price:string>"
+def _more(n: int) -> str:
+    """Up to n words that go with a perk."""
+    return rf"(?:\s+[^\s|.!?•]+){{0,{n}}}"
+
+
 #: Perk patterns in order of preference, by kind.
-TAIL = r"(?:\s+[^\s|.!?•]+){0,3}"
 PERKS = [
-    ("kargo", r"[0-9][0-9.,]*\s*(?:tl|₺)[^\s|]*" + TAIL + r"\s+(?:ücretsiz|bedava)\s*kargo"),
+    ("kargo", rf"[0-9][0-9.,]*\s*(?:tl|₺)[^\s|]*{_more(4)}\s+(?:ücretsiz|bedava)\s*kargo"),
+    ("kargo", rf"(?:ücretsiz|bedava)\s*kargo{_more(3)}\s+[0-9][0-9.,]*\s*(?:tl|₺){_more(2)}"),
     ("kargo", r"(?:ücretsiz|bedava)\s*kargo"),
     ("kargo", r"kargo\s*(?:bedava|ücretsiz)"),
-    ("hizli", r"(?:aynı gün|24 saat(?:te)?|ertesi gün)\s*(?:içinde\s*)?kargo"),
-    ("taksit", r"[0-9]{1,2}\s*taksit" + TAIL),
-    ("kapida", r"kapıda ödeme" + TAIL),
-    ("iade", r"[0-9]{1,2}\s*(?:iş\s*)?gün(?:ü)?" + TAIL + r"\s+(?:iade|değişim)"),
-    ("iade", r"(?:koşulsuz|ücretsiz|kolay)\s*iade"),
-    ("indirim", r"(?:ilk|yeni)\s*(?:üyelik|üye|alışveriş|sipariş)" + TAIL + r"\s+(?:indirim|kupon)"),
+    ("hizli", r"(?:aynı gün|1 gün(?:de)?|24 saat(?:te)?|ertesi gün)\s*(?:içinde\s*)?kargo(?:ya verilir)?"),
+    ("taksit", rf"[0-9]{{1,2}}\s*taksit{_more(3)}"),
+    ("taksit", rf"taksit(?:li)?\s*(?:seçenek|imkan|avantaj)[^\s|.!?•]*{_more(2)}"),
+    ("kapida", rf"kapıda ödeme{_more(2)}"),
+    ("iade", rf"[0-9]{{1,2}}\s*(?:iş\s*)?gün(?:ü)?{_more(3)}\s+(?:iade|değişim){_more(3)}"),
+    ("iade", rf"(?:koşulsuz|ücretsiz|kolay)\s*iade{_more(3)}"),
+    ("indirim", rf"(?:ilk|yeni)\s*(?:üyelik|üye|üyelere|alışveriş|sipariş){_more(6)}\s+(?:indirim|kupon){_more(2)}"),
+    ("indirim", rf"%\s?[0-9]{{1,2}}\s*indirim\s*kupon{_more(3)}"),
 ]
 
 
+#: Dotless and dotted i match themselves only; two letters without case stand for them while matching.
+APART, STAND_IN = "ıİ", "\ua840\ua841"
+_STAND_IN = str.maketrans(APART, STAND_IN)
+
+
+def tidy(c: Column) -> Column:
+    """A perk of at most 90 characters, without loose ends."""
+    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"^[^\p{L}\p{N}₺%]+", ""), "[|•·,]+$", "")
+    c = F.substring(F.trim(c), 1, 90)
+    for _ in range(3):
+        c = F.regexp_replace(c, rf"(?iu)\s+(?:{'|'.join(DANGLING).translate(_STAND_IN)})$", "")
+    return F.trim(c)
+
+
 def entities(c: Column) -> Column:
     for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(code), F.lit(char))
@@ -74,15 +96,15 @@ def page_record(html: Column) -> Column:
 
 def perks(text: Column) -> Column:
     """array<struct<kind,text>>: for each kind the first pattern that is found, at least 8 characters and no code."""
-    found = []
+    text, found = F.translate(text, APART, STAND_IN), []
     for kind in dict.fromkeys(k for k, _ in PERKS):
         hits = []
         for k, pattern in PERKS:
             if k == kind:
-                t = F.substring(F.trim(F.regexp_replace(F.regexp_extract(text, f"(?iu){pattern}", 0), r"\s+", " ")), 1, 90)
+                t = tidy(F.regexp_extract(text, f"(?iu){pattern.translate(_STAND_IN)}", 0))
                 hits.append(F.when((F.length(t) >= 8) & ~t.rlike(r'[{}<>\\]|":'), t))
         best = F.coalesce(*hits)
-        found.append(F.when(best.isNotNull(), F.struct(F.lit(kind).alias("kind"), best.alias("text"))))
+        found.append(F.when(best.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.translate(best, STAND_IN, APART).alias("text"))))
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 

@@ -5,11 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vitrine.functions import rules
 from vitrine.functions.color import color_label
-from vitrine.functions.text import fold, has_word_start
+from vitrine.functions.text import ACCENTED, BASES, PLAIN, TURKISH, fold, has_word_start
 
-#: A search word and what is searched for besides.
-SYNONYMS = {"tisort": ["t-shirt", "tshirt", "tee"], "kapusonlu": ["hoodie"], "pantolon": ["pant", "trouser"], "siyah": ["black"], "beyaz": ["white"], "ceket": ["jacket"], "canta": ["bag"]}
+_FOLD = str.maketrans(TURKISH + ACCENTED, PLAIN + BASES)
+
+
+def fold_query(text: str) -> str:
+    """fold() for text of one request."""
+    return text.translate(_FOLD).lower()
+
+
+def folded(synonyms: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The table with folded keys and values, each value once."""
+    return {fold_query(k): list(dict.fromkeys(map(fold_query, v))) for k, v in synonyms.items()}
+
+
+SYNONYMS = folded(rules.SYNONYMS)
+
+
+def expand_tokens(tokens: Column, synonyms: dict[str, list[str]] = SYNONYMS) -> Column:
+    """array<array<string>>: each token with its synonyms after it, one step."""
+    table = F.create_map(*[x for k, v in synonyms.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    none = F.array().cast("array<string>")
+    return F.transform(tokens, lambda t: F.concat(F.array(t), F.coalesce(F.try_element_at(table, t), none)))
 
 
 def haystack(name: Column, brand: Column, category: Column, styles: Column, tags: Column) -> Column:
@@ -19,8 +39,7 @@ def haystack(name: Column, brand: Column, category: Column, styles: Column, tags
 
 def parse_search(text: str, synonyms: dict[str, list[str]] = SYNONYMS) -> tuple[str, list[list[str]]]:
     """(the folded query, for each word the word and its synonyms); the query is text of one request."""
-    table = str.maketrans("çÇğĞıİöÖşŞüÜâîû", "cCgGiIoOsSuUaiu")
-    full = text.strip().translate(table).lower()
+    full = fold_query(text.strip())
     return full, [[w, *synonyms.get(w, [])] for w in full.split()]
 
 

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vitrine import sources
-from vitrine.functions import classify, html, score
-from vitrine.functions.color import name_to_tags
+from vitrine.functions import html, score
 from vitrine.functions.sizes import band_of, known_sizes, looks_like_sizes, preview, size_kind
-from vitrine.functions.text import ACCENTED, BASES, PLAIN, TURKISH, fold, has_word_start, parse_number
+from vitrine.functions.text import has_word_start, parse_number
 from vitrine.operators import resolve
 from vitrine.plans.analytics import sql_band
 from vitrine.plans.catalog import PRODUCT_SQL, brand_score, products, rand_sql, sql_list, table
@@ -48,40 +47,20 @@ def parts(spark, sf_dir):
 
 # -- rules on names, sizes, numbers and images -------------------------------------------------------------
 
-#: Raw labels or names, and what the rule makes of them.
-SIZE_CASES = {"Small": "S", "X Large": "XL", "S-M": "S,M", "35-38": "35,36,37,38", "TEK BOYUT": "TEK BEDEN", "9-10 YAŞ": "9-10 YAŞ", "Siyah": "", "42": "42"}
-NAME_CASES = {"Oversize T-Shirt": "TİŞÖRT", "Denim Jacket": "CEKET", "Kargo Pantolon": "PANTOLON", "Foil Beanie": "ŞAPKA", "Köpek Tasması": "-", "Cardigan 002": "HIRKA"}
-GENDER_CASES = {"Erkek Tişört": "ERKEK", "Kadın Tişört": "KADIN", "Oversize Tişört": "UNISEX", "Tişört": "ERKEK"}
-KIDS_CASES = {"Kids Tee": "name", "Stray Kids Tee": "", "Tee": ""}
-STYLE_CASES = {"Çizgili Basic Tee": "y2k|streetwear", "Plain Tee": "basic|y2k", "Cargo Pant": "basic|y2k|techwear"}
-COLOR_CASES = {"GRİ": "gri", "Açık Mavi": "mavi", "Siyah/Beyaz": "siyah|beyaz", "mavisi": "mavi", "-": "", "xyz": ""}
-PERK_CASES = {"ücretsiz kargo": "kargo", "12 taksit imkanı": "taksit", "kolay iade": "iade", "merhaba": ""}
-
-
-def of_cases(name: str, cases: dict[str, str], rule) -> None:
-    """A query of the rule over one of the cases for each part, and the outcome in SQL."""
-    keys, wanted = list(cases), list(cases.values())
-    query(name, f"SELECT {ID}, {sql_cycle(keys)} AS raw, {sql_cycle(wanted)} AS found FROM part")(
-        lambda spark, sf_dir: parts(spark, sf_dir).withColumn("raw", cycle(keys)).select("id", "raw", rule(F.col("raw")).alias("found"))
-    )
-
-
-def worn_category(name: Column) -> Column:
-    category = classify.categorize(name)
-    return F.when(classify.is_non_wearable(name, category), "-").otherwise(category)
-
-
 def words(*values: str) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
-of_cases("F20_known_sizes", SIZE_CASES, lambda c: F.array_join(known_sizes(F.array(c)), ","))
-of_cases("X03_categories", NAME_CASES, worn_category)
-of_cases("X05_genders", GENDER_CASES, lambda c: classify.gender_label(classify.detect_genders(c, F.lit("TİŞÖRT"), words("M", "L", "XL"))))
-of_cases("F21_kids", KIDS_CASES, lambda c: F.coalesce(classify.kids_reason(c, words("S"), F.lit("X")), F.lit("")))
-of_cases("X07_styles", STYLE_CASES, lambda c: F.array_join(classify.product_styles(c, F.lit("TİŞÖRT"), words("basic", "y2k")), "|"))
-of_cases("X15_color_names", COLOR_CASES, lambda c: F.array_join(name_to_tags(c), "|"))
-of_cases("X45_perks", PERK_CASES, lambda c: F.array_join(F.transform(html.perks(c), lambda x: x.kind), "|"))
+#: Raw labels, and the tokens that the size grammar makes of them.
+SIZE_CASES = {"Small": "S", "X Large": "XL", "S-M": "S,M", "35-38": "35,36,37,38", "TEK BOYUT": "TEK BEDEN", "9-10 YAŞ": "9-10 YAŞ", "Siyah": "", "42": "42"}
+
+
+@query("F20_known_sizes", f"SELECT {ID}, CASE WHEN p_size BETWEEN 16 AND 130 THEN CAST(p_size AS VARCHAR) || '|' ELSE '' END || {sql_cycle(list(SIZE_CASES.values()))} AS found FROM part")
+def known(spark, sf_dir):
+    """A number, which is a size from 16 on, and a label in words."""
+    number = F.array_join(known_sizes(F.array(F.col("p_size").cast("string"))), ",")
+    label = F.array_join(known_sizes(F.array(cycle(list(SIZE_CASES)))), ",")
+    return parts(spark, sf_dir).select("id", F.concat(F.when(number != "", F.concat(number, F.lit("|"))).otherwise(""), label).alias("found"))
 
 
 @query("F14_placeholders", f"SELECT {ID}, 'img/' || (p_partkey % 5) || '.jpg|b/' || p_size || '.png' AS photos FROM part")
@@ -105,12 +84,6 @@ def size_like_values(spark, sf_dir):
     return parts(spark, sf_dir).select("id", looks_like_sizes(lists).alias("ok"))
 
 
-@query("X12_fold", f"SELECT doc_id, md5(lower(translate(translate(text, '{TURKISH}', '{PLAIN}'), '{ACCENTED}', '{BASES}'))) AS h FROM documents WHERE NOT contains(text, 'ẞ')")
-def folded(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(~F.contains("text", F.lit("ẞ")))
-    return docs.select("doc_id", F.md5(fold(F.col("text"))).alias("h"))
-
-
 @query("X21_numbers", f"SELECT {ID}, CAST(floor(p_retailprice * 100) AS DOUBLE) / 100 AS price FROM part")
 def numbers(spark, sf_dir):
     """Prices written with a thousands point and a decimal comma."""

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from vitrine.functions import score as S
 from vitrine.functions.color import hex_to_tag, rgb_to_hsl, tone_class
-from vitrine.functions.text import fnv1a, fold, rand01, slugify, tr_lower
+from vitrine.functions.text import fnv1a, fold, rand01, slugify
 from vitrine.operators import catalog_query as C
 from vitrine.operators import feed
 from vitrine.operators.search import haystack, matches, parse_search, relevance
@@ -165,12 +165,6 @@ def hashes(spark, sf_dir):
     return names.select("name", fnv1a(F.col("name")).alias("h"), rand01(SEED, F.col("name")).alias("r"))
 
 
-@query("X01_tr_lower", "SELECT doc_id, md5(lower(replace(replace(translate(text, 'İI', 'iı'), chr(775), ''), 'ẞ', 'ß'))) AS h FROM documents WHERE NOT contains(text, 'ẞ')")
-def lowered(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(~F.contains("text", F.lit("ẞ")))
-    return docs.select("doc_id", F.md5(tr_lower(F.col("text"))).alias("h"))
-
-
 @query("X11_slug", "SELECT DISTINCT p_brand AS brand, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
 def slugs(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand")).distinct().select("brand", slugify(F.col("brand")).alias("slug"))

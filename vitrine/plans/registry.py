@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vitrine.plans import analytics, extra, more, ranking, state
+from vitrine.plans import analytics, extra, more, names, ranking, state
 
-PARTS = [analytics, ranking, state, more, extra]
+PARTS = [analytics, ranking, state, more, extra, names]
 
 
 def queries() -> dict:
