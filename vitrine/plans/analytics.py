@@ -395,13 +395,6 @@ def price_drift(spark, sf_dir):
 # -- pages ---------------------------------------------------------------------------------------------
 
 
-@query("S23_platform", "SELECT page_id, CASE WHEN contains(html, 'cdn.shopify.com') THEN 'shopify' WHEN contains(html, 'woocommerce') THEN 'woocommerce' WHEN contains(html, 'application/ld+json') THEN 'jsonld' ELSE 'generic' END AS platform FROM pages")
-def platform(spark, sf_dir):
-    html = F.col("html")
-    kind = F.when(html.contains("cdn.shopify.com"), "shopify").when(html.contains("woocommerce"), "woocommerce").when(html.contains("application/ld+json"), "jsonld").otherwise("generic")
-    return table(spark, sf_dir, "pages").select("page_id", kind.alias("platform"))
-
-
 @query("X44_visible_text")
 def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", visible_text(F.col("html")).alias("text"))
@@ -413,12 +406,6 @@ def page_probe(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.rlike("<title>").alias("title"), html.rlike("<nav>").alias("nav"), html.rlike("og:image").alias("image"), (F.length(html) < 800).alias("parked"))
 
 
-@query("F18_allowed_hosts", "SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, regexp_matches(regexp_extract(url, '^https?://([^/:?#]+)', 1), '(^|\\.)example\\.com$') AS allowed FROM pages")
-def allowed_hosts(spark, sf_dir):
-    host = F.regexp_extract("url", "^https?://([^/:?#]+)", 1)
-    return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), host.rlike(r"(^|\.)example\.com$").alias("allowed"))
-
-
 @query("X33_emails", "SELECT doc_id, length(text) <= 254 AND regexp_matches(text, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]{2,}$') AS ok FROM documents")
 def emails(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", looks_like_email(F.col("text")).alias("ok"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vitrine.plans import analytics, extra, more, names, ranking, state
+from vitrine.plans import analytics, extra, more, names, ranking, state, stores
 
-PARTS = [analytics, ranking, state, more, extra, names]
+PARTS = [analytics, ranking, state, more, extra, names, stores]
 
 
 def queries() -> dict:
