@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import islice
 from pathlib import Path
 
 import pyarrow as pa
@@ -25,29 +26,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests on one machine) a temporary folder is set for the session.
+    Where it is unset, a session on one machine (tests) gets a temporary folder; a cluster is refused, since
+    its executors would not find the files.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="vitrine-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+#: Spark then removes a query's shuffle files when it ends; a staged result is read from its own files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed when the application ends at the latest."""
+    path = f"{shared_dir(spark)}/vitrine/{name}-{uuid.uuid4().hex}"
+    _STAGED.append((spark, path))
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage there.
 
-    A lost executor costs no more than the tasks after this point.  The files are removed when the
-    application ends.
+    A lost executor costs no more than the tasks after this point.  The files are removed by release() or
+    when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vitrine/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _STAGED.append((spark, path))
-    # what led here is unreferenced now; collecting it lets Spark remove its shuffle files
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_path(spark, name)
+    with own_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._vitrine_path = path
+    return staged
+
+
+def release(*staged: DataFrame) -> None:
+    """Remove the files of results of stage() whose last reader has been written."""
+    for df in staged:
+        _remove(df.sparkSession, df._vitrine_path)
+        _STAGED.remove((df.sparkSession, df._vitrine_path))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
@@ -55,9 +95,7 @@ def _remove_staged() -> None:
     """Best effort: a session that has already stopped leaves its folder to the cluster's clean-up."""
     for spark, path in _STAGED:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001
             return
 
@@ -132,7 +170,7 @@ def unpack(texts: list[bytes | None]) -> list[str | None]:
 
 
 class BoundedCache(dict):
-    """A word cache of at most `most` entries; it starts again when full, so memory stays bounded."""
+    """A word cache of at most `most` entries; when it is full, the half that came first goes."""
 
     def __init__(self, most: int = 200_000) -> None:
         super().__init__()
@@ -140,4 +178,5 @@ class BoundedCache(dict):
 
     def room(self, extra: int) -> None:
         if len(self) + extra > self.most:
-            self.clear()
+            for key in list(islice(self, (len(self) + 1) // 2)):
+                del self[key]

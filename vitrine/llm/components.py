@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import stage
+from vitrine.llm.common import release, stage
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,18 +16,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     The number of rounds grows with the logarithm of the longest path.  Loops count as nodes.
     """
     all_edges = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    links = all_edges.filter("u != v")
+    links = first = all_edges.filter("u != v")
     while True:
         least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         joined = links.join(least, "u")
         moved = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = stage(least.select("u", F.col("m").alias("v")).unionByName(moved).distinct(), "links")
+        links, before = stage(least.select("u", F.col("m").alias("v")).unionByName(moved).distinct(), "links"), links
+        if before is not first:
+            release(before)
         if links.count() == links.select("u").distinct().count():
             break
-    parent = links
+    parent, halved = links, links
     while True:
         up = parent.select(F.col("u").alias("v"), F.col("v").alias("w"))
-        halved = stage(parent.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")), "parents")
+        halved, before = stage(parent.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")), "parents"), halved
+        release(before)
         parent = halved.select("u", "v")
         if halved.filter("moved").isEmpty():
             break

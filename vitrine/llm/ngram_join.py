@@ -29,14 +29,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from vitrine.llm.common import packed, ship, stage, unpack
+from vitrine.llm.common import packed, release, ship, stage, unpack
 from vitrine.llm.components import components
 from vitrine.llm.exact_dedup import read_of_files, with_row, without_rows
 from vitrine.llm.grams import Words, mix, small_groups
 
 SHINGLE, THRESHOLD, LEVELS = 5, 0.8, 2
 BINS = 64
+TILE, TILE_TOKENS = 2048, 1_000_000  # what is compared in memory at once
 
 
 def trees_for(recall: float, levels: int = LEVELS) -> int:
@@ -224,43 +226,80 @@ def children(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(path)), pa.array(np.concatenate(row))], names=["path", "_row"])
 
 
+def links_between(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """Which sets of left are linked to which of right (None: to left itself), by products of membership matrices."""
+    sets = left + (right or [])
+    n, m = len(left), len(sets)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = often >= 2
+    number = np.cumsum(common) - 1
+    keep = common[token]
+    owner, token = owner[keep], number[token[keep]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    both = np.zeros((n, m - n if right else n), np.float32)
+    width = max(256, min(4096, 2_000_000 // m))
+    for c in range(0, int(common.sum()), width):
+        lo, hi = np.searchsorted(token, [c, c + width])
+        has = np.zeros((m, width), np.float32)
+        has[owner[lo:hi], token[lo:hi] - c] = 1
+        both += has[:n] @ (has[n:] if right else has).T
+    size = np.array([len(x) for x in sets], np.float32)
+    linked = both * 9 >= 4 * (size[:n, None] + (size[n:] if right else size)[None, :])  # both / (sum - both) >= 0.8
+    if not right:
+        np.fill_diagonal(linked, False)
+    return linked
+
+
+def tiles(members: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """members in parts of at most TILE sets and TILE_TOKENS tokens (or one set)."""
+    many = np.maximum(np.arange(len(members)) // TILE, (np.cumsum(size[members]) - 1) // TILE_TOKENS)
+    return np.split(members, np.flatnonzero(np.diff(many)) + 1)
+
+
 def compare(batches):
-    """Exact links in a block or between two blocks: (_row, links, to), to: the smallest position it reaches here."""
+    """Exact links in a block or between two blocks, tile by tile: (_row, links, to), to: the smallest position it reaches there."""
     for rows, edge in whole_groups(batches, ["cluster", "i", "j"]):
         row, size = rows.column("_row").to_numpy(), rows.column("size").to_numpy()
         block, i, j = (rows.column(c).to_numpy() for c in ("block", "i", "j"))
         tokens = rows.column("tokens")
-        out = []
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             sets = [np.frombuffer(x, np.uint32) for x in tokens.slice(a, b - a).to_pylist()]
-            owner = np.repeat(np.arange(b - a), [len(x) for x in sets])
-            _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            common = often >= 2
-            number = np.cumsum(common) - 1
-            keep = common[token]
-            owner, token = owner[keep], number[token[keep]]
-            left = np.flatnonzero(block[a:b] == i[a])
-            right = left if i[a] == j[a] else np.flatnonzero(block[a:b] == j[a])
-            both = np.zeros((len(left), len(right)), np.float32)
-            order = np.argsort(token, kind="stable")
-            owner, token = owner[order], token[order]
-            width = max(256, min(4096, 2_000_000 // max(1, b - a)))
-            for c in range(0, int(common.sum()), width):
-                lo, hi = np.searchsorted(token, [c, c + width])
-                has = np.zeros((b - a, width), np.float32)
-                has[owner[lo:hi], token[lo:hi] - c] = 1
-                both += has[left] @ has[right].T
-            sizes = size[a:b].astype(np.float32)
-            linked = both * 9 >= 4 * (sizes[left][:, None] + sizes[right][None, :])  # both / (sum - both) >= 0.8
-            if i[a] == j[a]:
-                np.fill_diagonal(linked, False)
-            x, y = np.nonzero(linked)
-            links = np.bincount(left[x], minlength=b - a) + (0 if i[a] == j[a] else np.bincount(right[y], minlength=b - a))
-            label = spread(left[x], right[y], b - a)
-            hit = np.flatnonzero(links)
-            out.append((row[a + hit], links[hit], row[a + label[hit]]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["_row", "links", "to"])
+            parts = tiles(np.flatnonzero(block[a:b] == i[a]), size[a:b])
+            others = None if i[a] == j[a] else tiles(np.flatnonzero(block[a:b] == j[a]), size[a:b])
+            out = []
+            for k, left in enumerate(parts):
+                for right in [None, *parts[k + 1 :]] if others is None else others:
+                    mine, theirs = [sets[x] for x in left], None if right is None else [sets[x] for x in right]
+                    x, y = np.nonzero(links_between(mine, theirs))
+                    x, y = left[x], (left if right is None else right)[y]
+                    links = np.bincount(x, minlength=b - a) + (0 if right is None else np.bincount(y, minlength=b - a))
+                    label = spread(x, y, b - a)
+                    hit = np.flatnonzero(links)
+                    out.append((row[a + hit], links[hit], row[a + label[hit]]))
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["_row", "links", "to"])
+
+
+def stars(large: DataFrame, slice_rows: int = 1024, levels: int = 3) -> DataFrame:
+    """Edges (a, b) that join all sets of a node, for nodes of any size.  large: (path, _row, n).
+
+    A node is dealt in slices of about slice_rows sets; each slice is a star around its smallest set, and the
+    smallest sets of slices are joined in the same way, so no task has more than a slice of a node.  After
+    `levels` levels what is left of a node is joined as one.
+    """
+    cut = F.ceil(F.col("n") / slice_rows)
+    level = large.select("path", F.col("_row").alias("a"), F.pmod(F.xxhash64("_row"), cut).alias("part"))
+    edges = None
+    for k in range(levels):
+        key = ["path", "part"] if k < levels - 1 else ["path"]
+        low = F.min("a").over(Window.partitionBy(*key))
+        met = level.withColumn("b", low).filter("a != b").select("a", "b")
+        edges = met if edges is None else edges.unionByName(met)
+        heads = level.groupBy("path", "part").agg(F.min("a").alias("a"))
+        level = heads.select("path", "a", F.floor(F.col("part") / slice_rows).alias("part"))
+    return edges
 
 
 def candidate_edges(docs: DataFrame, sets: DataFrame, nodes: DataFrame, small: int, levels: int = LEVELS) -> DataFrame:
@@ -271,7 +310,7 @@ def candidate_edges(docs: DataFrame, sets: DataFrame, nodes: DataFrame, small: i
         met = few.repartition("path").sortWithinPartitions("path").select("path", "_row", "size", "sketch").mapInArrow(settle, "a long, b long")
         large = nodes.filter(F.col("n") > small)
         if level == levels:
-            met = met.unionByName(large.groupBy("path").agg(F.min("_row").alias("b")).join(large, "path").select(F.col("_row").alias("a"), "b"))
+            met = met.unionByName(stars(large))
         else:
             below = large.groupBy("_row").agg(F.collect_list("path").alias("nodes"))  # at most one per tree and token
             below = below.join(sets.select("_row", "tokens"), "_row").select("_row", "nodes", "tokens")
@@ -282,15 +321,23 @@ def candidate_edges(docs: DataFrame, sets: DataFrame, nodes: DataFrame, small: i
 
 def shared_nodes(members: DataFrame) -> DataFrame:
     """(path, _row, n) of the nodes that have more than one set."""
-    counts = members.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return stage(members.join(counts, "path"), "nodes")
+    counts = stage(members.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+    nodes = stage(members.join(counts, "path"), "nodes")  # both sides are read plainly, so that a node with many sets is split
+    release(counts)
+    return nodes
 
 
-def exact_links(sets: DataFrame, clusters: DataFrame, most: int = 2048, most_tokens: int = 1_000_000) -> DataFrame:
-    """(_row, links, to) from exact comparison inside the clusters (node, root)."""
+def exact_links(sets: DataFrame, clusters: DataFrame, most_blocks: int = 64, large: int = 8) -> DataFrame:
+    """(_row, links, to) from exact comparison inside the clusters (node, root).
+
+    A cluster is dealt in blocks of a tile, up to most_blocks of them, then in larger blocks, of up to `large`
+    tiles; so a set is copied most_blocks times at most in clusters of up to most_blocks x large tiles.
+    """
     members = clusters.select(F.col("node").alias("_row"), F.col("root").alias("cluster")).join(sets.select("_row", "size", "tokens"), "_row")
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("t"))
-    blocks = sizes.select("cluster", F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("t") / most_tokens)).cast("int").alias("blocks"))
+    sizes = clusters.select(F.col("node").alias("_row"), F.col("root").alias("cluster")).join(sets.select("_row", "size"), "_row")
+    sizes = sizes.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("t"))
+    parts = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("t") / TILE_TOKENS))
+    blocks = stage(sizes.select("cluster", F.least(parts, F.greatest(F.lit(most_blocks), F.ceil(parts / large))).cast("int").alias("blocks")), "blocks")
     dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("_row"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.select("cluster", "_row", "size", "tokens", "block", other.alias("other"))
@@ -307,18 +354,19 @@ def ngram_join(docs: DataFrame, recall: float = 0.999, small: int = 64, id_col:
     """
     ship(docs.sparkSession)
     rows = with_row(read_of_files(docs), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    first = stage(first_level(rows, trees_for(recall)), "first_level")
+    first = stage(first_level(rows, trees_for(recall)), "first_level")  # a set's nodes are different, as its shingles are
     key = ["k1", "k2", "size"]
     best = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
     some = first.filter("size > 0")
     heads = stage(some.groupBy(*key).agg(F.min(best).alias("h"), F.count(F.lit(1)).alias("copies")), "heads")
     heads = heads.select(*key, F.col("h.row").alias("head"), F.col("h.id").alias("head_id"), "copies")
-    members = first.join(heads.select(F.col("head").alias("_row")), "_row").select(F.explode("paths").alias("path"), "_row").distinct()
+    members = first.join(heads.select(F.col("head").alias("_row")), "_row").select(F.explode("paths").alias("path"), "_row")
     nodes = shared_nodes(members)
     wanted = nodes.select("_row").distinct()
     sets = stage(full_sets(packed(rows).join(wanted, "_row")), "sets")
-    clusters = components(candidate_edges(rows, sets, nodes, small))
+    clusters = stage(components(candidate_edges(rows, sets, nodes, small)), "clusters")
     found = stage(exact_links(sets, clusters), "links")
+    release(sets, nodes, clusters)
     links = found.groupBy("_row").agg(F.sum("links").alias("n_links"))
     classes = components(found.select(F.col("_row").alias("a"), F.col("to").alias("b")))
     named = heads.join(classes.withColumnRenamed("node", "head"), "head", "left").withColumn("root", F.coalesce("root", "head"))
