@@ -17,6 +17,8 @@ gives an empty table; other columns of the input, whatever their names, are not
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,14 +81,14 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
     )
 
 
-def merge_runs(entries: DataFrame, fan_in: int) -> DataFrame:
-    """Rounds of multiway merges until one run is left; entries: _run, *ENTRY, _best, _n."""
+def merge_runs(entries: DataFrame, fan_in: int, best: Callable[[str], Column]) -> DataFrame:
+    """Rounds of multiway merges until one run is left; entries: _run, *ENTRY, _best, _n; best: F.min or F.max."""
     runs = entries.agg(F.coalesce(F.max("_run"), F.lit(0)).alias("m")).first()["m"] + 1
     while runs > 1:
         entries = (
             entries.withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int"))
             .groupBy("_run", *ENTRY)
-            .agg(F.max("_best").alias("_best"), F.sum("_n").alias("_n"))
+            .agg(best("_best").alias("_best"), F.sum("_n").alias("_n"))
         )
         runs = -(-runs // fan_in)
     return entries.select(*ENTRY, F.col("_best").alias("_root"), F.col("_n").alias("_size"))
@@ -99,22 +101,22 @@ def exact_dedup(
 
     fold: whether texts that differ in the case of A-Z alone are equal.
 
-    keep: "smallest" or "largest" identifier of each group stays.  _row as in with_row().
+    keep: "smallest" or "largest" identifier (of any type that has an order) of each group stays.  _row as in with_row().
     """
     rows = with_row(read_of_files(docs), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     rows = stage(digests(rows, "_id", "_text", fold), "digests")
-    # max() takes the best; the row number breaks ties between rows with one identifier
-    rank = F.col("_id") if keep == "largest" else -F.col("_id")
-    best = F.struct(rank.alias("rank"), F.col("_id").alias("id"), (-F.col("_row")).alias("row"))
-    rows = rows.withColumn("_best", best)
-    level0 = rows.groupBy("_run", *ENTRY).agg(F.max("_best").alias("_best"), F.count(F.lit(1)).alias("_n"))
-    found = level0.select("_run", *ENTRY).join(merge_runs(level0, fan_in), ENTRY)
+    # the row number breaks ties between rows with one identifier; null identifiers come last either way
+    best = F.max if keep == "largest" else F.min
+    order = (F.col("_id").isNotNull(), -F.col("_row")) if keep == "largest" else (F.col("_id").isNull(), F.col("_row"))
+    rows = rows.withColumn("_best", F.struct(order[0].alias("null"), F.col("_id").alias("id"), order[1].alias("row")))
+    level0 = rows.groupBy("_run", *ENTRY).agg(best("_best").alias("_best"), F.count(F.lit(1)).alias("_n"))
+    found = level0.select("_run", *ENTRY).join(merge_runs(level0, fan_in, best), ENTRY)
     return rows.join(found, ["_run", *ENTRY]).select(
         "_row",
         F.col("_id").alias(id_col),
         F.col("_root.id").alias("keep_id"),
         F.col("_size").alias("group_size"),
-        (F.col("_root.row") == -F.col("_row")).alias("kept"),
+        (F.col("_root.row") == order[1]).alias("kept"),
         F.lower(F.hex("_sha")).alias("text_sha256"),
     )
 
