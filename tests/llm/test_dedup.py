@@ -2,12 +2,13 @@
 
 import hashlib
 import os
+import random
 import re
 from collections import Counter, defaultdict
 from urllib.parse import unquote, urlparse
 
 import pytest
-from helpers import SCHEMA, documents
+from helpers import SCHEMA, documents, texts
 from pyspark.sql import functions as F
 
 from vitrine.llm import exact_dedup as exact_module
@@ -15,7 +16,7 @@ from vitrine.llm import ngram_join as near_module
 from vitrine.llm.components import components
 from vitrine.llm.exact_dedup import drop_copies, exact_dedup
 from vitrine.llm.ngram_join import keep_one, ngram_join, trees_for
-from vitrine.llm.substring import FingerprintIndex, remove_repeats
+from vitrine.llm.substring import LONG, FingerprintIndex, remove_repeats
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -129,23 +130,40 @@ def removed(rows):
         yield i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("batches", [1, 3])
+@pytest.mark.parametrize("batches", [1, 3, 7])
 def test_substrings(docs, batches):
     df, rows = docs
     got = Counter(tuple(r) for r in remove_repeats(df, batches=batches).collect())
     assert got == Counter(removed(rows))
 
 
-def test_substrings_across_batches(spark, tmp_path):
+@pytest.mark.parametrize("arrow_rows", [300, 1000, 5000])
+def test_substrings_across_batches(spark, tmp_path, arrow_rows, monkeypatch):
     """Passages that only the two rows at an edge of Arrow batches (1000 rows, amid a run of rows) share."""
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(15)), *[None] * 6) for i in range(2100)]
-    for edge in (1000, 2000):
-        for i in (edge - 1, edge):
+    edges = [300, 512, 600, 990, 1000, 1024, 1200, 2000]
+    for edge in edges:
+        for i in (edge - 1, edge + 4):
             rows[i] = (i, f"own{i} " + " ".join(f"p{edge}x{k}" for k in range(20)), *[None] * 6)
     spark.createDataFrame(rows, SCHEMA).coalesce(1).sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/docs")
-    got = remove_repeats(spark.read.schema(SCHEMA).parquet(f"{tmp_path}/docs")).collect()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, arrow_rows)
+    try:
+        got = remove_repeats(spark.read.schema(SCHEMA).parquet(f"{tmp_path}/docs")).collect()
+    finally:
+        spark.conf.set(name, before)
     assert Counter(tuple(r) for r in got) == Counter(removed(rows))
-    assert {r.doc_id: r.n_removed for r in got if r.n_removed} == {1000: 20, 2000: 20}
+    assert {r.doc_id: r.n_removed for r in got if r.n_removed} == {e + 4: 20 for e in edges}
+
+
+def test_long_texts_are_runs_of_their_own(spark, tmp_path):
+    rng = random.Random(4)
+    long = " ".join(f"l{rng.randrange(10**6)}" for _ in range(12_000))
+    rows = [(0, "a b c", *[None] * 6), (1, long, *[None] * 6), (2, "x " + long[5000:70_000], *[None] * 6), (3, long + " end", *[None] * 6)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/docs")
+    got = remove_repeats(spark.read.parquet(f"{tmp_path}/docs")).collect()
+    assert Counter(tuple(r) for r in got) == Counter(removed(rows)) and len(long) > LONG
 
 
 def test_kept_text(docs):
@@ -155,16 +173,42 @@ def test_kept_text(docs):
         assert r.kept_text is None or hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
 
 
+def batch_of(spark, rows):
+    return spark.createDataFrame(rows, "_run long, h1 long, h2 int, lo long, hi long")
+
+
 def test_index_runs_are_merged_and_compacted(spark):
-    index = FingerprintIndex(most_runs=2)
-    batch = lambda rows: spark.createDataFrame(rows, "_run long, h1 long, h2 int, lo long, hi long")
-    assert index.merge(batch([(0, 1, 1, 5, 5), (0, 2, 1, 5, 7)])).collect() == [(0, 2, 1, 5)]
-    got = index.merge(batch([(1, 1, 1, 9, 9), (1, 1, 2, 9, 9), (2, 3, 3, 10, 10)])).collect()
+    index = FingerprintIndex(spark, most_runs=2)
+    assert index.merge(batch_of(spark, [(0, 1, 1, 5, 5), (0, 2, 1, 5, 7)])).collect() == [(0, 2, 1, 5)]
+    got = index.merge(batch_of(spark, [(1, 1, 1, 9, 9), (1, 1, 2, 9, 9), (2, 3, 3, 10, 10)])).collect()
     assert [tuple(r) for r in got] == [(1, 1, 1, 5)]  # equal first hash alone is no match
-    got = index.merge(batch([(3, 3, 3, 11, 11), (3, 2, 1, 11, 11)])).collect()
+    got = index.merge(batch_of(spark, [(3, 3, 3, 11, 11), (3, 2, 1, 11, 11)])).collect()
     assert sorted(tuple(r) for r in got) == [(3, 2, 1, 5), (3, 3, 3, 10)] and len(index.runs) == 1
 
 
+def test_runs_are_joined_where_they_lie(spark):
+    """A batch is dealt out once; the runs are neither dealt out nor sorted again before they are merged."""
+    index = FingerprintIndex(spark, most_runs=4)
+    for k in range(3):
+        index.merge(batch_of(spark, [(k, h, 1, k, k) for h in range(100)]))
+    plan = batch_of(spark, [(9, 1, 1, 9, 9)]).repartition(index.buckets, "h1", "h2")
+    for run in index.runs:
+        plan = plan.join(index.entries(run).withColumnRenamed("first", run).hint("merge"), ["h1", "h2"], "left")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("SortMergeJoin") == 3 and text.count("Exchange") == 1
+
+
+def test_index_is_kept_between_calls(spark, tmp_path):
+    """Three batches of documents through an index on disk, opened anew each time, as if all came at once."""
+    rows = [(i, t, *[None] * 6) for i, t in enumerate(texts())]
+    whole, got = Counter(removed(rows)), Counter()
+    for k in range(3):
+        spark.createDataFrame(rows[60 * k : 60 * k + 60], SCHEMA).write.parquet(f"{tmp_path}/docs{k}")
+        index = FingerprintIndex(spark, f"{tmp_path}/index", most_runs=2, buckets=3)
+        got += Counter(tuple(r) for r in remove_repeats(spark.read.parquet(f"{tmp_path}/docs{k}"), index=index).collect())
+    assert got == whole and len(index.runs) == 1 and index.buckets == 3
+
+
 def near_brute(rows):
     sets = []
     for _, t, *_ in rows:

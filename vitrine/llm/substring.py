@@ -7,11 +7,16 @@ smaller id.  The work goes from coarse to fine, each step on what the one before
    Two documents with a window in common have its least gram in common, so windows whose gram no other
    document has are settled.  Grams are combined per run of 512 neighbouring rows before they are dealt out.
 2. The windows that remain, as a 64-bit and a 32-bit hash with the ids that have them, go batch by batch, in the
-   order of ids, through the index: sorted immutable runs of earlier windows, merge-joined with the batch,
-   which then becomes a run itself; when there are too many runs they are compacted into one.  A match
-   counts only if both hashes agree.
+   order of ids, through the index: immutable runs of earlier windows, bucketed and sorted by hash, so that a
+   batch is dealt out once and merge-joined with each run where it lies; it then becomes a run itself.  When
+   there are too many runs they are compacted into one.  A match counts only if both hashes agree.
 3. The runs of rows get their windows' first ids back and cut the covered words out.
 
+With an index that is kept in a folder, new documents are compared with all that came before without reading
+them again: step 1 is left out then, as it needs all texts at hand, and every window goes through the index.
+A run of rows is 512 neighbouring rows, but a text of more than LONG characters is a run of its own, so a task
+holds 512 x LONG characters or one text at a time.
+
 Exact copies of a whole text are found first, natively, so that they need no windows: all their words go
 if there are at least 13.  Nothing is gathered per gram or window: a hot one is one row per run of rows.
 
@@ -23,35 +28,73 @@ an empty table gives an empty table; other columns are not touched.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vitrine.llm.common import packed, ship, stage, unpack
+from vitrine.llm.common import new_path, own_shuffles, packed, release, ship, stage, unpack
 from vitrine.llm.exact_dedup import exact_dedup, read_of_files, with_row
 from vitrine.llm.grams import Words, sliding_min, small_groups
 
 WINDOW, GRAM = 13, 5
 RUN_BITS = 9  # rows to a run: 512
+LONG = 65_536  # characters
 SECOND = 0xA0761D6478BD642F
 KEY = ["h1", "h2"]
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (h1, h2, first): the smallest id known for each window."""
+    """Immutable runs of (h1, h2, first), the smallest id known for each window, as bucketed and sorted tables.
 
-    def __init__(self, most_runs: int = 4) -> None:
-        self.runs: list[DataFrame] = []
-        self.most_runs = most_runs
+    folder: where the index is kept; one that is there is opened.  Without a folder it lasts as long as the
+    application.  buckets: of each run, fixed when the index is made (default: the number of shuffle partitions).
+    """
 
-    def entries(self) -> DataFrame:
-        found = self.runs[0]
-        for run in self.runs[1:]:
-            found = found.unionByName(run)
-        return found
+    def __init__(self, spark: SparkSession, folder: str | None = None, most_runs: int = 4, buckets: int | None = None) -> None:
+        self.spark, self.most_runs, self.kept = spark, most_runs, folder is not None
+        self.folder = folder or new_path(spark, "index")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[str] = []
+        self.version = 0
+        if folder:
+            self._open()
+
+    def _open(self) -> None:
+        """The newest list of runs; a folder without one is a new index."""
+        try:
+            lists = self.spark.read.schema("run string, buckets int, version int").json(f"{self.folder}/runs")
+            newest = lists.filter(F.col("version") == lists.agg(F.max("version")).first()[0]).orderBy("run").collect()  # at most most_runs rows
+        except AnalysisException:
+            return
+        for r in newest:
+            self.version, self.buckets = r["version"], r["buckets"]
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {r['run']} (h1 BIGINT, h2 INT, first BIGINT, _new BOOLEAN, _hit BOOLEAN, _run BIGINT) USING parquet "
+                f"CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{r['run']}'"
+            )
+            self.runs.append(r["run"])
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"vitrine_run_{uuid.uuid4().hex}"
+        with own_shuffles(self.spark):
+            writer = rows.write.option("compression", "zstd").option("path", f"{self.folder}/{name}").format("parquet")
+            writer.bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+        return name
+
+    def _commit(self) -> None:
+        """List the runs of this version; lists are added, never changed, so a lost driver leaves the last one valid."""
+        self.version += 1
+        if self.kept:
+            rows = self.spark.createDataFrame([(r, self.buckets, self.version) for r in self.runs], "run string, buckets int, version int")
+            rows.coalesce(1).write.mode("append").json(f"{self.folder}/runs")
+
+    def entries(self, run: str) -> DataFrame:
+        return self.spark.table(run).filter("_new").select(*KEY, "first")
 
     def merge(self, batch: DataFrame, last: bool = False) -> DataFrame:
         """batch: (_run, h1, h2, lo, hi), the smallest and largest id of each window in a run of rows.
@@ -59,26 +102,32 @@ class FingerprintIndex:
         Returns (_run, h1, h2, first) for the windows that some document of the run has after an earlier
         one, and adds the batch to the index, unless it is the last that there will be.
         """
-        known = batch.withColumn("_old", F.lit(None).cast("long"))
-        if self.runs:
-            old = self.entries().groupBy(*KEY).agg(F.min("first").alias("_old"))
-            known = batch.join(old, KEY, "left")
-        here = F.min("lo").over(Window.partitionBy(*KEY))
-        first = F.least(F.coalesce("_old", here), here)
-        told = known.select("_run", *KEY, "lo", "hi", first.alias("first"))
-        told = told.select("_run", *KEY, "first", (F.col("lo") == F.col("first")).alias("_new"), (F.col("first") < F.col("hi")).alias("_hit"))
-        merged = stage(told.filter("_hit" if last else "_hit or _new"), "merged")
+        known = batch.repartition(self.buckets, *KEY)
+        for k, run in enumerate(self.runs):
+            known = known.join(self.entries(run).withColumnRenamed("first", f"_f{k}").hint("merge"), KEY, "left")
+        old = [F.col(f"_f{k}") for k in range(len(self.runs))]
+        old = F.least(*old) if len(old) > 1 else old[0] if old else F.lit(None).cast("long")
+        order = Window.partitionBy(*KEY).orderBy("lo", "_run")
+        told = known.withColumn("_old", old).withColumn("_here", F.first("lo").over(order)).withColumn("_n", F.row_number().over(order))
+        new = (F.col("_n") == 1) & (F.col("_old").isNull() | (F.col("lo") < F.col("_old")))
+        told = told.withColumn("first", F.least("_here", "_old"))
+        told = told.select(*KEY, "first", new.alias("_new"), (F.col("first") < F.col("hi")).alias("_hit"), "_run")
+        run = self._write(told.filter("_hit" if last else "_hit or _new"))
         if not last:
-            new = merged.filter("_new").select(*KEY, "first").dropDuplicates(KEY)
-            self.runs.append(stage(new.sortWithinPartitions(*KEY), "run"))
+            self.runs.append(run)
             if len(self.runs) > self.most_runs:
                 self.compact()
-        return merged.filter("_hit").select("_run", *KEY, "first")
+            self._commit()
+        return self.spark.table(run).filter("_hit").select("_run", *KEY, "first")
 
     def compact(self) -> None:
         """All runs into one."""
-        one = self.entries().groupBy(*KEY).agg(F.min("first").alias("first"))
-        self.runs = [stage(one.sortWithinPartitions(*KEY), "compacted")]
+        found = self.entries(self.runs[0])
+        for run in self.runs[1:]:
+            found = found.unionByName(self.entries(run))
+        one = found.groupBy(*KEY).agg(F.min("first").alias("first"))
+        one = one.select(*KEY, "first", F.lit(True).alias("_new"), F.lit(False).alias("_hit"), F.lit(None).cast("long").alias("_run"))
+        self.runs = [self._write(one)]
 
 
 def least_grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -92,12 +141,18 @@ def second_hash(words: Words) -> np.ndarray:
     return (words.grams(WINDOW, SECOND)[0] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def run_grams(docs: DataFrame, text_col: str) -> DataFrame:
-    """(_run, gram, several): the least grams of each run of rows in a batch, and whether more than one row there has them."""
+def run_of(row: Column, text: Column) -> Column:
+    """The run of a row: even numbers are 512 neighbouring rows, odd ones a long text alone."""
+    alone = F.length(text) > LONG
+    return F.when(alone, F.shiftleft(row, 1) + 1).otherwise(F.shiftleft(F.shiftright(row, RUN_BITS), 1))
+
+
+def run_grams(docs: DataFrame) -> DataFrame:
+    """(_run, gram, several): the least grams of each stretch of rows of a run, and whether more than one row there has them."""
 
     def run(batches):
         for batch in batches:
-            runs = (batch.column(0).to_numpy() >> RUN_BITS).tolist()
+            runs = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
             at = 0
             while at < len(runs):
@@ -108,7 +163,7 @@ def run_grams(docs: DataFrame, text_col: str) -> DataFrame:
                 for k, group in small_groups(texts[at:stop]):
                     words = Words(group)
                     low, valid = least_grams(words)
-                    valid[1:] &= (low[1:] != low[:-1]) | (words.doc[1 : len(low)] != words.doc[: len(low) - 1])
+                    valid[1:] &= (low[1:] != low[:-1]) | (words.doc[1 : len(low)] != words.doc[: len(low)][:-1])
                     grams.append(low[valid])
                     owners.append(words.doc[: len(low)][valid] + k)
                 gram, owner = np.concatenate(grams), np.concatenate(owners)
@@ -124,7 +179,7 @@ def run_grams(docs: DataFrame, text_col: str) -> DataFrame:
                 )
                 at = stop
 
-    return docs.select("_row", text_col).mapInArrow(run, "_run long, gram long, several boolean")
+    return docs.select("_run", "_text").mapInArrow(run, "_run long, gram long, several boolean")
 
 
 def shared_grams(rows: DataFrame) -> DataFrame:
@@ -172,6 +227,27 @@ def sift(key, rows: pa.Table, found: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, OUT)
 
 
+def all_open(rows: DataFrame) -> DataFrame:
+    """Every row as sift() passes on those with windows to look up; rows without an id or a window are settled."""
+
+    def run(batches):
+        for lot in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            out = []
+            ids, small = lot.column(1).to_pylist(), lot.column(2).to_pylist()
+            for at, group in small_groups(unpack(small)):
+                words = Words(group)
+                for k in range(len(group)):
+                    a, b = int(words.first[k]), int(words.first[k + 1])
+                    row = {"_run": lot.column(0)[at + k].as_py(), "_id": ids[at + k], "n_words": b - a, "n_removed": 0}
+                    if ids[at + k] is None or b - a < WINDOW:
+                        out.append(row | {"kind": DONE, "kept": hashlib.sha256(words.text(np.arange(a, b))).hexdigest()})
+                    else:
+                        out.append(row | {"kind": OPEN, "text": small[at + k], "hits": [0, b - a - WINDOW + 1]})
+            yield from pa.Table.from_pylist(out, OUT).to_batches()
+
+    return packed(rows.select("_run", "_id", "_text")).mapInArrow(run, OUT_DDL)
+
+
 def window_entries(open_rows: DataFrame) -> DataFrame:
     """(_run, h1, h2, lo, hi): the windows to look up, with the smallest and largest id that has them in a run of rows."""
 
@@ -234,31 +310,39 @@ CUT = pa.schema([("_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.
 CUT_DDL = "_id long, n_words long, n_removed long, kept string, text string"
 
 
-def remove_repeats(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, batches: int = 6, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, index: FingerprintIndex | None = None
+) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 of each row; with_text: kept_text too, of the rows that lose words (null: as it was).
 
-    Ids are integers.
+    Ids are integers.  index: what earlier calls have seen, to which these documents are added; a window counts
+    as repeated if it starts in a document with a smaller id, here or in the index.
     """
     ship(docs.sparkSession)
     docs = read_of_files(docs)
     rows = with_row(docs, F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    by_run = F.shiftright("_row", RUN_BITS).alias("_run")
-    copies = exact_dedup(docs, id_col, text_col, fold=False).filter(F.col("keep_id") < F.col(id_col)).select("_row")
-    grams = shared_grams(run_grams(rows, "_text"))
-    told = grams.select("_run", "gram", F.lit(None).cast("long").alias("_copy")).unionByName(
-        copies.select(by_run, F.lit(None).cast("long").alias("gram"), F.col("_row").alias("_copy"))
-    )
+    rows = rows.withColumn("_run", run_of(F.col("_row"), F.coalesce("_text", F.lit(""))))
+    if index:
+        sifted, batches = stage(all_open(rows), "sifted"), 1
+    else:
+        grams = stage(shared_grams(run_grams(rows)), "grams")
+        copies = exact_dedup(docs, id_col, text_col, fold=False).filter(F.col("keep_id") < F.col(id_col)).select("_row")
+        copies = rows.select("_row", "_run").join(copies, "_row")
+        told = grams.select("_run", "gram", F.lit(None).cast("long").alias("_copy")).unionByName(
+            copies.select("_run", F.lit(None).cast("long").alias("gram"), F.col("_row").alias("_copy"))
+        )
+        sides = packed(rows).groupBy("_run").cogroup(told.groupBy("_run"))
+        sifted = stage(sides.applyInArrow(sift, OUT_DDL), "sifted")
+        release(grams)
     span = docs.agg(F.min(id_col).alias("a"), F.max(id_col).alias("b")).first()
     low, high = span["a"] or 0, span["b"] or 0
     bounds = sorted({low + (high - low + 1) * k // batches for k in range(1, batches)})
-    sides = packed(rows).withColumn("_run", by_run).groupBy("_run").cogroup(told.groupBy("_run"))
-    sifted = stage(sides.applyInArrow(sift, OUT_DDL), "sifted")
     open_rows = sifted.filter(F.col("kind") == OPEN)
-    index = FingerprintIndex()
+    seen = index or FingerprintIndex(docs.sparkSession)
     hits = None
     for k, (a, b) in enumerate(zip([None, *bounds], [*bounds, None], strict=True)):
         mine = (F.lit(True) if a is None else F.col("_id") >= a) & (F.lit(True) if b is None else F.col("_id") < b)
-        found = index.merge(window_entries(open_rows.filter(mine)), last=k == len(bounds))
+        found = seen.merge(window_entries(open_rows.filter(mine)), last=index is None and k == len(bounds))
         hits = found if hits is None else hits.unionByName(found)
     cut_rows = open_rows.select("_run", "_id", "text").groupBy("_run").cogroup(hits.groupBy("_run")).applyInArrow(cut, CUT_DDL)
     done = sifted.filter(F.col("kind") == DONE)
