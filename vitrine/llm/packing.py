@@ -12,7 +12,8 @@ of the corpus.  On it the driver
 The outcome is a table of classes: so many sequences with the same list of lengths.  Its size depends on
 the number of lengths and groups alone.  Pieces are numbered within their length on the cluster (counts
 by length and bucket, then row numbers within these) and find class, sequence and offset by that number,
-so a length that a third of all pieces have is spread over many tasks.
+so a length that a third of all pieces have is spread over many tasks.  The classes reach the pieces by
+range: a cell (length and bucket) gets those that its numbers meet, and is joined to its pieces by key.
 
 Defined results: a null or empty text is one piece holding the end token alone; repeated rows are packed
 one by one; rows with a null identifier are packed as any other; an empty table gives an empty table;
@@ -69,11 +70,12 @@ class TokenIds:
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
-        if any(s in text for s in self.special) or not text.isascii() and OUTSIDE.search(text):
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        else:
-            ids = self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
-        return ids.tobytes()
+        if not any(s in text for s in self.special) and (text.isascii() or not OUTSIDE.search(text)):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            except ValueError:  # its pattern matcher has a stack, which a run of about a million spaces overflows
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _TOKENS: dict[tuple[str, str], TokenIds] = {}
@@ -238,19 +240,20 @@ def linear_grouping(counts: dict[int, int], capacity: int, groups: int, small: i
 
 
 def pack(
-    pieces: DataFrame, capacity: int = 1024, groups: int = 256, small: int = 64, buckets: int = 64, length_col: str = "length"
+    pieces: DataFrame, capacity: int = 1024, groups: int = 4096, small: int = 256, buckets: int = 64, length_col: str = "length"
 ) -> DataFrame:
     """pieces with sequence_id and offset.  Read several times: give it a staged table.
 
     buckets: each length's pieces are numbered in at least so many tasks, more where there are more pieces.
     """
-    spark, key = pieces.sparkSession, [length_col, "_bucket"]
+    spark, key = pieces.sparkSession, ["_len", "_bucket"]
     buckets = max(buckets, pieces.count() // 100_000)
-    cells = pieces.select(F.col(length_col).alias("_len"), F.pmod(F.xxhash64(*pieces.columns), F.lit(buckets)).alias("_bucket"))
-    cells = cells.groupBy("_len", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    bucket = F.pmod(F.xxhash64(*pieces.columns), F.lit(buckets)).cast("int").alias("_bucket")
+    cells = pieces.select(F.col(length_col).cast("long").alias("_len"), bucket).groupBy("_len", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # at most capacity x buckets cells, so one window over each length's buckets is small
     before = F.sum("_n").over(Window.partitionBy("_len").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     cells = stage(cells.withColumn("_base", F.coalesce(before, F.lit(0))), "cells")
+    # at most `capacity` rows
     counts = {r["_len"]: r["n"] for r in cells.groupBy("_len").agg(F.sum("_n").alias("n")).collect()}
     slots, first = [], 0
     taken: Counter[int] = Counter()
@@ -261,24 +264,22 @@ def pack(
             taken[length] += n * k
             offset += length * k
         first += n
-    slot_cols = "_len long, _from long, _to long, _each long, _first long, _offset long"
-    slots_df = spark.createDataFrame(slots, slot_cols)
-    # of each length the slots' starts, so that a piece finds its slot by position in a sorted array
-    by_len = slots_df.groupBy("_len").agg(F.sort_array(F.collect_list(F.struct("_from", "_each", "_first", "_offset"))).alias("_slots"))
-    numbered = (
-        pieces.withColumn("_bucket", F.pmod(F.xxhash64(*pieces.columns), F.lit(buckets)))
-        .withColumn("_in", F.row_number().over(Window.partitionBy(*key).orderBy(*(c for c in pieces.columns if c != length_col))) - 1)
-        .join(cells.withColumnRenamed("_len", length_col), key)
-        .withColumn("_rank", F.col("_base") + F.col("_in"))
-        # slots are at most a few per length and class: a table bounded by capacity and groups, not by the rows
-        .join(F.broadcast(by_len.withColumnRenamed("_len", length_col)), length_col)
-    )
-    at = F.expr("element_at(filter(_slots, s -> s._from <= _rank), -1)")
+    # at most a few slots for each length and group, whatever the number of rows
+    slots_df = spark.createDataFrame(slots, "_len long, _from long, _to long, _each long, _first long, _offset long")
+    # the slots that a cell's range of numbers meets: few, as ranges of the cells of one length don't overlap
+    met = cells.join(slots_df, "_len").filter((F.col("_from") < F.col("_base") + F.col("_n")) & (F.col("_to") > F.col("_base")))
+    met = met.groupBy("_len", "_bucket", "_base").agg(F.sort_array(F.collect_list(F.struct("_from", "_each", "_first", "_offset"))).alias("_slots"))
+    names = [F.col(f"`{c}`") for c in pieces.columns]
+    numbered = pieces.select(F.struct(*names).alias("_piece"), F.col(length_col).cast("long").alias("_len"), bucket)
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy("_piece")) - 1
+    # both sides are dealt by length and bucket, so the join moves no piece again
+    placed = numbered.withColumn("_in", inside).join(met, key).withColumn("_rank", F.col("_base") + F.col("_in"))
+    placed = placed.withColumn("_s", F.expr("element_at(filter(_slots, s -> s._from <= _rank), -1)"))
     inside = F.col("_rank") - F.col("_s._from")
-    return numbered.withColumn("_s", at).select(
-        *(F.col(f"`{c}`") for c in pieces.columns),
+    return placed.select(
+        "_piece.*",
         (F.col("_s._first") + F.floor(inside / F.col("_s._each"))).cast("long").alias("sequence_id"),
-        (F.col("_s._offset") + F.col(length_col) * F.pmod(inside, F.col("_s._each"))).cast("long").alias("offset"),
+        (F.col("_s._offset") + F.col("_len") * F.pmod(inside, F.col("_s._each"))).cast("long").alias("offset"),
     )
 
 
