@@ -1,11 +1,14 @@
 """Language identification by cross-parsing (operator 5).
 
-Training text of each language, a bounded sample of labelled rows, becomes a suffix automaton.  A word,
-with the space before it, is parsed greedily into the longest pieces that occur in a language's training
-text; what a piece costs is the logarithm of that text's length, so the sums over all words of a text are
-comparable between languages.  The language with the lowest normalised cost wins.  Phrases do not cross
-white space, so a word's phrase counts are found once and kept in a bounded cache, and every word of a
-whole text counts.
+Training text of each language, a bounded sample of labelled rows, becomes a suffix automaton.  A whole
+text, in lower case, its words reduced to their letters and joined by one space, is parsed greedily into
+the longest phrases that occur in a language's training text; phrases run across words.  What a phrase
+costs is the logarithm of the training text's length, so costs are comparable between languages; the
+language with the lowest cost wins.
+
+Cost is also what rejects a document: a parse that costs more than `ABOVE` times what spelling the text
+letter by letter would, each letter of the language being as likely as any other, plus `SLACK` phrases for
+very short texts, has recognised nothing.
 
 Defined results: `und` with score 0 if a text is null or has no letter, or nothing could be learned; ties
 go to the language that is first by name; rows with a null id are predicted like others and never learned
@@ -15,7 +18,6 @@ from; repeated rows give equal values; other columns are not touched.
 from __future__ import annotations
 
 import math
-import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import BoundedCache, map_texts
 
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
-OTHER = re.compile(r"[\W\d_]+")
-FIELD = 40
+#: Texts of a learned language cost about 0.55 times what spelling does, 99.9 % of them under 1.2; letters at random cost 2.2.
+ABOVE, SLACK = 1.5, 2
+CHUNK, FAR = 512, 80
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:
@@ -66,12 +68,16 @@ def training_text(
 
 def letters(text: str) -> list[str]:
     """The words in lower case, without what is no letter."""
-    return [w for x in text.lower().split() if (w := OTHER.sub("", x))]
+    return [w for x in text.lower().split() if (w := only_letters(x))]
+
+
+def only_letters(word: str) -> str:
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
-def suffix_automaton(text: str) -> list[dict[str, int]]:
-    """Transitions by state; from state 0 exactly the substrings of the text can be read."""
-    follow: list[dict[str, int]] = [{}]
+def suffix_automaton(text: str) -> dict:
+    """The start state; a state is its transitions, and exactly the substrings of the text can be read from the start."""
+    follow: list[dict] = [{}]
     link, length = [-1], [0]
     last = 0
     for c in text:
@@ -97,54 +103,85 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return follow
+    for state in follow:
+        for c in state:
+            state[c] = follow[state[c]]
+    return follow[0]
 
 
-def phrases(follow: list[dict[str, int]], word: str) -> int:
-    """How many longest matches cover the word; a character that never occurs is one of its own."""
-    n, state, start = 0, 0, follow[0]
-    for c in word:
-        to = follow[state].get(c)
-        if to is None:
-            n += state != 0
-            to = start.get(c, 0)
-            n += to == 0
-        state = to
-    return n + (state != 0)
+def phrases(start: dict, text: str, most: float = math.inf) -> int:
+    """How many longest matches cover the text; a character that never occurs is one of its own.
+
+    Counting may stop once there are more than `most`.
+    """
+    n, state = 0, start
+    for at in range(0, len(text), CHUNK):
+        for c in text[at : at + CHUNK]:
+            to = state.get(c)
+            if to is None:
+                n += state is not start
+                to = start.get(c)
+                if to is None:
+                    n += 1
+                    to = start
+            state = to
+        if n > most:
+            return n
+    return n + (state is not start)
 
 
 class Model:
-    """Automata by language; the phrase counts of a word in all languages are packed in one integer."""
+    """Automata by language, what a phrase costs in each, and how many letters each has."""
 
     def __init__(self, training: dict[str, str]) -> None:
         self.langs = sorted(training)
-        self.automata = [suffix_automaton(" " + training[x]) for x in self.langs]
+        self.automata = [suffix_automaton(f" {training[x]} ") for x in self.langs]
         self.bits = [math.log2(len(training[x]) + 2) for x in self.langs]
-        model = self
+        self.spelling = [math.log2(max(2, len(set(training[x])))) for x in self.langs]
 
         class Words(BoundedCache):
-            def __missing__(self, word: str) -> int:
+            """Raw word in lower case -> its letters."""
+
+            def __missing__(self, word: str) -> str:
                 self.room(1)
-                led = " " + OTHER.sub("", word)
-                found = self[word] = sum(phrases(a, led) << FIELD * k for k, a in enumerate(model.automata)) if led != " " else 0
+                found = self[word] = only_letters(word)
                 return found
 
         self.words = Words()
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not LETTER.search(text):
-            return UNDETERMINED, 0.0
-        total = sum(map(self.words.__getitem__, text.lower().split()))
-        costs = [(total >> FIELD * k & (1 << FIELD) - 1) * b for k, b in enumerate(self.bits)]
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, score, whether the parse recognised the text)."""
+        body = " ".join(filter(None, map(self.words.__getitem__, text.lower().split()))) if text and self.langs else ""
+        if not body:
+            return UNDETERMINED, 0.0, False
+        body = f" {body} "
+        costs = self.costs(body)
         least = min(costs)
-        return self.langs[costs.index(least)], 1 / sum(2 ** max(least - c, -1000) for c in costs)
+        best = costs.index(least)
+        known = least <= len(body) * self.spelling[best] * ABOVE + SLACK * self.bits[best]
+        return self.langs[best], 1 / sum(2 ** max(least - c, -1000) for c in costs), known
+
+    def costs(self, body: str) -> list[float]:
+        """The cost of the whole parse by language.
+
+        The language that is best on the first chunk is parsed first; the others stop when they cost more by
+        FAR bits, as their share in the score is then below the last bit of a double.
+        """
+        order = range(len(self.langs))
+        if len(body) > 2 * CHUNK:
+            order = sorted(order, key=lambda k: phrases(self.automata[k], body[:CHUNK]) * self.bits[k])
+        costs, least = [0.0] * len(self.langs), math.inf
+        for k in order:
+            costs[k] = phrases(self.automata[k], body, (least + FAR) / self.bits[k]) * self.bits[k]
+            least = min(least, costs[k])
+        return costs
 
 
 _MODELS: dict[int, Model] = {}
 
 
 def predict_language(docs: DataFrame, training: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score: 0 to 1, the winner's share when each bit saved halves the others' weight."""
+    """id, lang_pred, score, recognised: score is 0 to 1, the winner's share when each bit saved halves the others' weight."""
 
     def make():
         key = hash(tuple(sorted(training.items())))
@@ -155,19 +192,23 @@ def predict_language(docs: DataFrame, training: dict[str, str], id_col: str = "d
 
         def run(texts):
             got = [model.predict(t) for t in texts]
-            return {"lang_pred": [x[0] for x in got], "score": [x[1] for x in got]}
+            return {n: [x[k] for x in got] for k, n in enumerate(("lang_pred", "score", "recognised"))}
 
         return run
 
-    return map_texts(docs, make, [("lang_pred", "string", pa.string()), ("score", "double", pa.float64())], id_col, text_col)
+    cols = [("lang_pred", "string", pa.string()), ("score", "double", pa.float64()), ("recognised", "boolean", pa.bool_())]
+    return map_texts(docs, make, cols, id_col, text_col)
 
 
-def keep_identified(docs: DataFrame, training: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose language stays undetermined; columns as they are.
+def keep_identified(docs: DataFrame, training: dict[str, str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without the rows that the parse of no language recognises; a null lang becomes the prediction, other columns stay.
 
-    Where nothing could be learned, as when no row has a language, all rows with a letter stay.
+    Where nothing could be learned, as when no row has a language, all rows with a letter stay as they are.
     """
     names = docs.columns
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_doc"), F.col(f"`{text_col}`").alias("_text"))
-    found = predict_language(row, training or {"any": ""}, "_doc", "_text")
-    return found.filter(F.col("lang_pred") != UNDETERMINED).select("_doc.*")
+    if not training:
+        return row.filter(F.col("_text").rlike(r"\p{L}")).select("_doc.*")
+    found = predict_language(row, training, "_doc", "_text").filter("recognised")
+    lang = F.coalesce(F.col(f"_doc.`{lang_col}`"), F.col("lang_pred")).alias(lang_col)
+    return found.select(*(lang if c == lang_col else F.col(f"_doc.`{c}`") for c in names))

@@ -47,7 +47,7 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out("doc_id", 3, 1)
-    return predict_language(docs, training_text(docs, ~out)).withColumn("held_out", out)
+    return predict_language(docs, training_text(docs, ~out)).withColumn("held_out", out)  # with `recognised`
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
