@@ -16,7 +16,9 @@ other columns are not touched.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable
@@ -26,11 +28,13 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from vitrine.llm.common import map_texts
 
 BLOCK = 576
 RATE = 8000
+DECLARED = "text/plain"
 
 
 def wave(samples: bytes) -> bytes:
@@ -58,11 +62,11 @@ def wave_chunks(b: bytes, at: int) -> dict[bytes, tuple[int, int]] | None:
     return chunks if p == end and chunks.get(b"fmt ", (0, 0))[1] >= 16 and b"data" in chunks else None
 
 
-def _wave_end(b: bytes, at: int) -> int | None:
+def _wave_end(b: bytes, at: int, memo: dict) -> int | None:
     return at + 8 + int.from_bytes(b[at + 4 : at + 8], "little") if wave_chunks(b, at) else None
 
 
-def _png_end(b: bytes, at: int) -> int | None:
+def _png_end(b: bytes, at: int, memo: dict) -> int | None:
     p, first = at + 8, True
     while p + 12 <= len(b):
         size, kind = int.from_bytes(b[p : p + 4], "big"), b[p + 4 : p + 8]
@@ -76,31 +80,44 @@ def _png_end(b: bytes, at: int) -> int | None:
     return None
 
 
-def _gif_end(b: bytes, at: int) -> int | None:
+def _gif_end(b: bytes, at: int, memo: dict) -> int | None:
     if at + 13 > len(b):
         return None
     flags = b[at + 10]
     p = at + 13 + (3 << (flags & 7) + 1 if flags & 128 else 0)
+    # what follows a place depends on the place alone, so what earlier hits found out about it holds
+    ends, stops = memo.setdefault("gif", {}), memo.setdefault("gif blocks", {})
 
     def blocks(p: int) -> int:
-        while p < len(b) and b[p]:
+        seen = []
+        while p < len(b) and b[p] and p not in stops:
+            seen.append(p)
             p += 1 + b[p]
-        return p + 1
+        stop = stops.get(p, p + 1)
+        stops.update(dict.fromkeys(seen, stop))
+        return stop
 
+    seen, end = [], None
     while p < len(b):
+        if p in ends:
+            end = ends[p]
+            break
+        seen.append(p)
         if b[p] == 0x3B:
-            return p + 1
+            end = p + 1
+            break
         if b[p] == 0x21 and p + 2 <= len(b):
             p = blocks(p + 2)
         elif b[p] == 0x2C and p + 10 <= len(b):
             local = b[p + 9]
             p = blocks(p + 10 + (3 << (local & 7) + 1 if local & 128 else 0) + 1)
         else:
-            return None
-    return None
+            break
+    ends.update(dict.fromkeys(seen, end))
+    return end
 
 
-def _jpeg_end(b: bytes, at: int) -> int | None:
+def _jpeg_end(b: bytes, at: int, memo: dict) -> int | None:
     p = at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
         kind = b[p + 1]
@@ -118,19 +135,26 @@ def _jpeg_end(b: bytes, at: int) -> int | None:
     return p + 2 if b[p : p + 2] == b"\xff\xd9" else None
 
 
-def _bmp_end(b: bytes, at: int) -> int | None:
+def _bmp_end(b: bytes, at: int, memo: dict) -> int | None:
     if at + 54 > len(b):
         return None
     size, start, header = (int.from_bytes(b[at + k : at + k + 4], "little") for k in (2, 10, 14))
     return at + size if header in (12, 40, 52, 56, 108, 124) and 14 + header <= start <= size and at + size <= len(b) else None
 
 
-def _pdf_end(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at, end) >= 0 else None
+def _pdf_end(b: bytes, at: int, memo: dict) -> int | None:
+    if not b[at + 5 : at + 6].isdigit():
+        return None
+    for mark in (b"%%EOF", b"startxref"):
+        if mark not in memo:
+            memo[mark] = [m.start() for m in re.finditer(mark, b)]
+    k = bisect.bisect_left(memo[b"%%EOF"], at)
+    end = memo[b"%%EOF"][k] if k < len(memo[b"%%EOF"]) else None
+    k = bisect.bisect_left(memo[b"startxref"], at)
+    return end + 5 if end is not None and k < len(memo[b"startxref"]) and memo[b"startxref"][k] + 9 <= end else None
 
 
-def _gzip_end(b: bytes, at: int) -> int | None:
+def _gzip_end(b: bytes, at: int, memo: dict) -> int | None:
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return None
     unpack = zlib.decompressobj(31)
@@ -144,8 +168,8 @@ def _gzip_end(b: bytes, at: int) -> int | None:
     return len(b) - len(unpack.unused_data) if unpack.eof else None
 
 
-#: Magic bytes, media type, validator.
-SIGNATURES: list[tuple[bytes, str, Callable[[bytes, int], int | None]]] = [
+#: Magic bytes, media type, validator (bytes, start, what earlier hits in them found out).
+SIGNATURES: list[tuple[bytes, str, Callable[[bytes, int, dict], int | None]]] = [
     (b"RIFF", "audio/wav", _wave_end),
     (b"\x89PNG\r\n\x1a\n", "image/png", _png_end),
     (b"GIF87a", "image/gif", _gif_end),
@@ -168,10 +192,10 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(b: bytes) -> list[tuple[int, int, str]]:
     """Every confirmed (start, end, type) in the bytes, by start."""
-    out = []
+    out, memo = [], {}
     for last, (k, size) in automaton().iter(b.decode("latin-1")):
         start = last + 1 - size
-        end = SIGNATURES[k][2](b, start)
+        end = SIGNATURES[k][2](b, start, memo)
         if end is not None:
             out.append((start, end, SIGNATURES[k][1]))
     return sorted(out)
@@ -187,30 +211,37 @@ def embedded(b: bytes) -> list[tuple[int, int, str]]:
     return [x for x in sniff(b) if x[0] > 0]
 
 
-SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("type", pa.string())])
+SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("type", pa.string()), ("media", pa.binary())])
 
 
-def sniff_column(docs: DataFrame, declared: str = "image/png", id_col: str = "doc_id", text_col: str = "media") -> DataFrame:
-    """id, declared_type, media_type, corrected, embedded array<struct<start,end,type>> of a binary column."""
+def sniff_column(docs: DataFrame, declared_col: str = "declared", id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """id, declared_type, media_type, corrected, carved array<struct<start,end,type,media>> of a binary column.
+
+    media_type is what the bytes show, or else what declared_col says; corrected: whether they differ (a
+    declared null counts as another type); carved: the confirmed media inside the bytes.
+    """
+    row = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"`{declared_col}`").alias("declared")).alias("_row"), F.col(f"`{media_col}`").alias("_media"))
 
     def make():
         def run(values):
             kinds, inside = [], []
             for b in values:
                 found = sniff(b or b"")
-                kinds.append(next((k for s, _, k in found if s == 0), "unknown"))
-                inside.append([{"start": s, "end": e, "type": k} for s, e, k in found if s])
-            return {"declared_type": [declared] * len(kinds), "media_type": kinds, "corrected": [k != declared for k in kinds], "embedded": inside}
+                kinds.append(next((k for s, _, k in found if s == 0), None))
+                inside.append([{"start": s, "end": e, "type": k, "media": b[s:e]} for s, e, k in found if s])
+            return {"shown": kinds, "carved": inside}
 
         return run
 
-    cols = [
-        ("declared_type", "string", pa.string()),
-        ("media_type", "string", pa.string()),
-        ("corrected", "boolean", pa.bool_()),
-        ("embedded", "array<struct<start:long,end:long,type:string>>", pa.list_(SPAN)),
-    ]
-    return map_texts(docs, make, cols, id_col, text_col)
+    cols = [("shown", "string", pa.string()), ("carved", "array<struct<start:long,end:long,type:string,media:binary>>", pa.list_(SPAN))]
+    found = map_texts(row, make, cols, "_row", "_media")
+    return found.select(
+        F.col("_row.id").alias(id_col),
+        F.col("_row.declared").alias("declared_type"),
+        F.coalesce("shown", "_row.declared", F.lit("unknown")).alias("media_type"),
+        (F.col("shown").isNotNull() & ~F.col("shown").eqNullSafe(F.col("_row.declared"))).alias("corrected"),
+        "carved",
+    )
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,15 +272,20 @@ def features(samples: bytes, found: list[tuple[int, int, str]]) -> str:
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each text as media, sniff the stored bytes, read the payload back from them and describe both."""
+    """Store each text as media, sniff the stored bytes, read the payload back from them and describe both.
+
+    The stored column comes from a text column and is declared as one (declared_type); media_type is what the
+    bytes show, corrected whether that differs, n_carved how many media are embedded in them.
+    """
 
     def make():
         def run(texts):
-            out = {n: [] for n in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+            out = {n: [] for n in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared_type", "media_type", "corrected", "n_carved")}
             for t in texts:
                 raw = (t or "").encode("utf-8", "replace")
                 media = wave(padded(raw))
                 found = sniff(media)
+                kind = next((k for s, _, k in found if s == 0), "unknown")
                 start, size = wave_chunks(media, found[0][0])[b"data"]
                 payload = media[start : start + size]
                 for n, v in zip(
@@ -262,6 +298,10 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         len(media),
                         hashlib.sha256(media).hexdigest(),
                         features(payload, found),
+                        DECLARED,
+                        kind,
+                        kind != DECLARED,
+                        sum(s > 0 for s, _, _ in found),
                     ),
                     strict=True,
                 ):
@@ -279,5 +319,9 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ("media_bytes", *long),
         ("media_sha256", *text),
         ("feature", *text),
+        ("declared_type", *text),
+        ("media_type", *text),
+        ("corrected", "boolean", pa.bool_()),
+        ("n_carved", *long),
     ]
     return map_texts(docs, make, cols, id_col, text_col)
