@@ -8,8 +8,8 @@ probability.  Features of a word are packed in one integer that a bounded cache
 whole text are one sum over all its words.
 
 Defined results: null and empty texts have all features 0 and the score that the trees give to that; if
-the labelled rows don't hold both labels the score is their mean (0 without any); labels of unknown ids
-and null labels are not used; repeated rows give equal values; other columns are not touched.
+the labelled rows don't hold both labels the score is their mean (0 without any); an id with both labels
+counts as toxic; labels of unknown ids and null labels are not used; repeated rows give equal values; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -47,7 +47,8 @@ def stem_of(word: str) -> str:
 
 
 def beginnings(stem: str) -> list[str]:
-    return [stem[:k] for k in (4, 5, 6, 7, 8) if len(stem) >= k]
+    """What the lexicon may know of a word: its first 4 to 8 letters, or a shorter word whole."""
+    return [stem[:k] for k in (4, 5, 6, 7, 8) if len(stem) >= k] if len(stem) >= 4 else [f"{stem}$"] * bool(stem)
 
 
 class Words(BoundedCache):
@@ -191,17 +192,19 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Learn from the labels given, at most most_toxic and most_clean rows of them."""
     labels = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
+    # one label to an id: a row marked toxic outweighs one that is not
+    labels = labels.groupBy("_id").agg(F.max("_label").alias("_label"))
     totals = {r["_label"]: r["n"] for r in labels.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     mean = totals.get(1, 0) / max(1, sum(totals.values()))
     seed = F.xxhash64("_id", F.lit("sample"))
     few = [labels.filter(F.col("_label") == k).orderBy(seed, "_id").limit(n) for k, n in ((1, most_toxic), (0, most_clean))]
-    chosen = few[0].unionByName(few[1]).dropDuplicates(["_id"])  # at most most_toxic + most_clean narrow rows
+    chosen = few[0].unionByName(few[1])  # at most most_toxic + most_clean narrow rows
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
     sample = stage(sample.withColumn("_part", F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(5))), "labelled").coalesce(4)
     lexicon = find_lexicon(sample.filter("_part < 2"), "_id", "_text")
     sizes = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     fitted = sample.filter("_part >= 2")
-    if len(sizes) < 2 or not lexicon or fitted.filter("_part < 4").select("_label").distinct().count() < 2 or fitted.filter("_part = 4").isEmpty():
+    if len(sizes) < 2 or fitted.filter("_part < 4").select("_label").distinct().count() < 2 or fitted.filter("_part = 4").isEmpty():
         return ToxicityModel(lexicon, None, None, mean)
     share = F.when(F.col("_label") == 1, totals[1] / sizes[1]).otherwise(totals[0] / sizes[0])
     rows = feature_rows(fitted.withColumn("_key", F.struct("_id", "_label", "_part")), lexicon, "_key", "_text").select("_key.*", *FEATURES)
