@@ -116,33 +116,6 @@ def widest_source(spark, sf_dir):
 # -- projections --------------------------------------------------------------------------------------------
 
 
-@query("P05_event_body", "SELECT page_id, substr(url, 1, 30) AS url, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM pages")
-def event_body(spark, sf_dir):
-    """Untrusted strings are cut, the host is derived anew."""
-    host = F.lower(F.regexp_extract("url", "^https?://([^/:?#]+)", 1))
-    return table(spark, sf_dir, "pages").select("page_id", F.substring("url", 1, 30).alias("url"), host.alias("host"))
-
-
-@query(
-    "P06_user_lists",
-    """WITH l AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders)
-    SELECT o_custkey AS owner, o_orderkey AS list, count(DISTINCT l_partkey) AS items FROM l JOIN lineitem ON l_orderkey = o_orderkey WHERE k <= 40 GROUP BY 1, 2""",
-)
-def user_lists(spark, sf_dir):
-    """At most 40 lists an owner and 200 different items a list."""
-    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    lists = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", k.alias("k")).filter("k <= 40")
-    lines = lists.join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    items = F.size(F.slice(F.collect_set("l_partkey"), 1, 200))
-    return lines.groupBy(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("list")).agg(items.alias("items"))
-
-
-@query("P12_feedback_errors", "SELECT conv_id, turn, CASE WHEN length(trim(text)) < 20 THEN 'short' WHEN length(text) > 400 THEN 'long' END AS error FROM conversations")
-def feedback_errors(spark, sf_dir):
-    error = F.when(F.length(F.trim("text")) < 20, "short").when(F.length("text") > 400, "long")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", error.alias("error"))
-
-
 @query("P14_owner_check", "SELECT o_orderkey AS id, sha256(CAST(o_custkey AS VARCHAR)) = sha256(CAST(o_custkey + CAST(o_orderkey % 3 = 0 AS INTEGER) AS VARCHAR)) AS accepted FROM orders")
 def owner_check(spark, sf_dir):
     """A list changes only if the writer's hash is its owner's."""
@@ -156,11 +129,6 @@ def owner_check(spark, sf_dir):
 # -- filters of the refresh and of brands --------------------------------------------------------------------
 
 
-@query("F24_stale", "SELECT s_suppkey FROM supplier WHERE s_acctbal IS NULL OR s_acctbal > 4000")
-def stale(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").filter(F.col("s_acctbal").isNull() | (F.col("s_acctbal") > 4000)).select("s_suppkey")
-
-
 @query("F25_only_and_skip", f"{P} SELECT id FROM product WHERE brand IN ('Brand#1', 'Brand#2', 'Brand#3') AND brand NOT IN ('Brand#2')")
 def only_and_skip(spark, sf_dir):
     return products(spark, sf_dir).filter(F.col("brand").isin("Brand#1", "Brand#2", "Brand#3") & ~F.col("brand").isin("Brand#2")).select("id")
@@ -195,13 +163,6 @@ def vote_counts(spark, sf_dir):
     return both.select("id", F.coalesce("votes", F.lit(0)).alias("votes"), F.coalesce("mine", F.lit(False)).alias("mine"))
 
 
-@query("J16_dead_images", "SELECT l_partkey AS id, bool_and(s_acctbal < 0) AS dead FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
-def dead_images(spark, sf_dir):
-    """A product goes last only if every one of its images is dead."""
-    images = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return images.groupBy(F.col("l_partkey").alias("id")).agg(F.every(F.col("s_acctbal") < 0).alias("dead"))
-
-
 @query("J17_roster", "SELECT n_name AS name, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 def roster(spark, sf_dir):
     both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
@@ -278,18 +239,6 @@ def clamped_days(spark, sf_dir):
     return parts(spark, sf_dir).select("id", F.least(F.lit(180), F.greatest(F.lit(1), F.col("p_size") * 5 - 20)).cast("long").alias("days"))
 
 
-@query(
-    "T07_still_dead",
-    "SELECT user_id, max(epoch_us(ts)) AS at FROM events WHERE event_type = 'error' GROUP BY 1 HAVING (SELECT max(epoch_us(ts)) FROM events) - max(epoch_us(ts)) <= 43200000000",
-)
-def still_dead(spark, sf_dir):
-    """Marks of the last twelve hours before the newest event."""
-    ev = table(spark, sf_dir, "events").select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    marks = ev.filter("event_type = 'error'").groupBy("user_id").agg(F.max("us").alias("at"))
-    newest = ev.agg(F.max("us").alias("now"))  # one row
-    return marks.crossJoin(F.broadcast(newest)).filter(F.col("now") - F.col("at") <= 43_200_000_000).select("user_id", "at")
-
-
 @query(
     "U10_merge_prefs",
     """WITH s AS (SELECT o_custkey AS c, o_orderkey % 2 AS side, arg_max(o_orderpriority, o_orderkey) AS v, max(o_orderkey) AS at FROM orders GROUP BY ALL),

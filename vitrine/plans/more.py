@@ -131,14 +131,6 @@ def health_drop(spark, sf_dir):
     return old.join(new, "brand_slug", "left").na.fill(0, ["new_n"]).withColumn("keep_old", F.col("new_n") < 0.6 * F.col("old_n"))
 
 
-@query("F23_due", "WITH r AS (SELECT s_suppkey, s_acctbal AS age, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier WHERE s_nationkey % 2 = 0 OR s_acctbal > 5000) SELECT * FROM r")
-def due(spark, sf_dir):
-    """Slow brands always, fast ones when old enough, oldest first."""
-    s = table(spark, sf_dir, "supplier").filter("s_nationkey % 2 = 0 or s_acctbal > 5000")
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("s_acctbal"), "s_suppkey"))
-    return s.select("s_suppkey", F.col("s_acctbal").alias("age"), place.alias("place"))
-
-
 @query("N10_every_kth", "WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS c FROM documents WHERE lang = 'de') SELECT doc_id FROM n WHERE i % greatest(c // 20, 1) = 0")
 def every_kth(spark, sf_dir):
     """Every k-th row so that about twenty stay.

@@ -157,26 +157,6 @@ def list_union(spark, sf_dir):
     return o.select("c", F.array_join(userdata.union_items(F.col("a"), b, 12).cast("array<string>"), ",").alias("items"))
 
 
-@query("T11_versions", "SELECT o_orderkey AS key, o_orderkey % 7 AS base, o_custkey % 5 AS stored, o_custkey % 5 <= o_orderkey % 7 AS accepted FROM orders")
-def versions(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    stored = o.select(F.col("o_orderkey").alias("key"), (F.col("o_custkey") % 5).alias("version"))
-    writes = o.select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 7).alias("base"))
-    return userdata.accept_versions(stored, writes)
-
-
-@query(
-    "J08_resolve_share",
-    """WITH c AS (SELECT sha256(p_name)[:8] AS code, min(p_partkey) AS pos FROM part GROUP BY 1), l AS (SELECT o_orderkey AS slot, sha256(p_name)[:8] AS code FROM orders JOIN part ON p_partkey = o_orderkey)
-    SELECT slot, code, CAST(pos AS VARCHAR) AS id FROM l LEFT JOIN c USING (code)""",
-)
-def resolve_share(spark, sf_dir):
-    short = F.substring(F.sha2("p_name", 256), 1, 8)
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_partkey").cast("string").alias("id"), "p_name")
-    codes = table(spark, sf_dir, "orders").join(p, F.col("pos") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("slot"), short.alias("code"))
-    return userdata.resolve_share(p, codes, short)
-
-
 @query("J15_merge_lists")
 def merge_lists(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
