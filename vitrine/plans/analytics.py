@@ -257,31 +257,6 @@ def health(spark, sf_dir):
     return products(spark, sf_dir).groupBy("brand_slug").agg(F.count(ONE).alias("n"), F.count("price_min").alias("priced"), F.count_if(F.size("sizes") > 0).alias("sized"))
 
 
-@query(
-    "A27_color_coverage",
-    f"""{P}, t AS (SELECT unnest(color_tags) AS tag FROM product) SELECT tag, count(*) AS n, round(count(*) / (SELECT count(*) FROM product WHERE len(color_tags) > 0), 6) AS share FROM t GROUP BY 1""",
-)
-def color_coverage(spark, sf_dir):
-    p = products(spark, sf_dir)
-    whole = p.filter(F.size("color_tags") > 0).agg(F.count(ONE).alias("w"))
-    tags = p.select(F.explode("color_tags").alias("tag")).groupBy("tag").agg(F.count(ONE).alias("n"))
-    return tags.crossJoin(F.broadcast(whole)).select("tag", "n", F.round(F.col("n") / F.col("w"), 6).alias("share"))
-
-
-@query(
-    "A30_pattern_and_basic",
-    f"{P} SELECT count(*) AS n FROM product WHERE list_contains(styles, 'basic') AND regexp_matches(name, 'print|graphic|camo')",
-)
-def pattern_and_basic(spark, sf_dir):
-    return products(spark, sf_dir).filter(F.array_contains("styles", "basic") & F.col("name").rlike("print|graphic|camo")).agg(F.count(ONE).alias("n"))
-
-
-@query("A35_brand_index", "SELECT upper(p_name[1]) AS letter, count(DISTINCT p_name) AS n FROM part WHERE regexp_matches(p_name, '^[a-hj-z]') GROUP BY 1")
-def brand_index(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter(F.col("p_name").rlike("^[a-hj-z]"))
-    return p.groupBy(index_letter(F.col("p_name")).alias("letter")).agg(F.countDistinct("p_name").alias("n"))
-
-
 @query(
     "A32_size_tokens",
     f"{P}, t AS (SELECT unnest(sizes) AS tok FROM product) SELECT tok, count(*) AS n, list_contains({sql_list(LADDER)}, tok) AS known FROM t GROUP BY 1",

@@ -116,16 +116,6 @@ def widest_source(spark, sf_dir):
 # -- projections --------------------------------------------------------------------------------------------
 
 
-@query("P14_owner_check", "SELECT o_orderkey AS id, sha256(CAST(o_custkey AS VARCHAR)) = sha256(CAST(o_custkey + CAST(o_orderkey % 3 = 0 AS INTEGER) AS VARCHAR)) AS accepted FROM orders")
-def owner_check(spark, sf_dir):
-    """A list changes only if the writer's hash is its owner's."""
-    key = lambda c: F.sha2(c.cast("string"), 256)
-    o = table(spark, sf_dir, "orders")
-    stored = o.select(F.col("o_orderkey").alias("id"), key(F.col("o_custkey")).alias("owner"))
-    asked = o.select(F.col("o_orderkey").alias("id"), key(F.col("o_custkey") + F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)).alias("writer"))
-    return asked.join(stored, "id").select("id", (F.col("owner") == F.col("writer")).alias("accepted"))
-
-
 # -- filters of the refresh and of brands --------------------------------------------------------------------
 
 
@@ -183,11 +173,6 @@ def size_groups(spark, sf_dir):
     return tokens.groupBy(size_kind(F.col("t")).alias("kind"), band_of(F.col("t")).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query("A43_scored_brands", "SELECT count(DISTINCT p_brand) AS n FROM part")
-def scored_brands(spark, sf_dir):
-    return table(spark, sf_dir, "part").agg(F.countDistinct("p_brand").alias("n"))
-
-
 @query("N08_first_wins", "SELECT p_name AS name, min(p_partkey) AS pos, arg_min(p_brand, p_partkey) AS brand FROM part GROUP BY 1")
 def first_wins(spark, sf_dir):
     """The first row of each name; a partial aggregation, so a common name is no single task."""

@@ -52,12 +52,6 @@ def default_variant(spark, sf_dir):
     return v.filter("k = 1").select("pid", "sid", F.col("vprice").alias("price"), F.size("lines").alias("n"))
 
 
-@query("A21_positive_range", f"{P} SELECT pid, min(vprice) FILTER (vprice > 0) AS low, max(vprice) FILTER (vprice > 0) AS high FROM variant GROUP BY 1")
-def positive_range(spark, sf_dir):
-    ps = F.filter(F.collect_list("vprice"), lambda p: p > 0)
-    return variants(spark, sf_dir).groupBy("pid").agg(F.array_min(ps).alias("low"), F.array_max(ps).alias("high"))
-
-
 @query("O12_sorted_sizes", f"SELECT p_partkey AS id, array_to_string([{sql_list(SIZES)}[i] FOR i IN range(1, p_size % 7 + 2)], ',') AS sizes FROM part")
 def sorted_sizes(spark, sf_dir):
     ladder = F.array(*map(F.lit, SIZES))
@@ -89,17 +83,6 @@ def unread(spark, sf_dir):
     return per.unionByName(ev.agg(F.count("*").alias("n")).select(F.lit("ALL").alias("topic"), "n"))
 
 
-@query("A40_list_views", "SELECT conv_id, count(*) AS views FROM conversations WHERE role = 'user' GROUP BY 1")
-def list_views(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.count("*").alias("views"))
-
-
-@query("U04_nav_categories", f"{P} SELECT DISTINCT category FROM product EXCEPT SELECT 'ÇANTA'")
-def nav_categories(spark, sf_dir):
-    gone = spark.createDataFrame([("ÇANTA",)], "category string")
-    return products(spark, sf_dir).select("category").exceptAll(gone).distinct().filter("category <> 'ÇANTA'")
-
-
 @query("U05_group_cover", f"{P}, g AS (SELECT unnest({sql_list([*GROUP, 'ÇORAP'])}) AS category) SELECT 'orphan' AS what, category FROM (SELECT category FROM product EXCEPT SELECT category FROM g) UNION ALL SELECT 'unused', category FROM (SELECT category FROM g EXCEPT SELECT category FROM product)")
 def group_cover(spark, sf_dir):
     used = products(spark, sf_dir).select("category").distinct()
@@ -131,62 +114,10 @@ def health_drop(spark, sf_dir):
     return old.join(new, "brand_slug", "left").na.fill(0, ["new_n"]).withColumn("keep_old", F.col("new_n") < 0.6 * F.col("old_n"))
 
 
-@query("N10_every_kth", "WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS c FROM documents WHERE lang = 'de') SELECT doc_id FROM n WHERE i % greatest(c // 20, 1) = 0")
-def every_kth(spark, sf_dir):
-    """Every k-th row so that about twenty stay.
-
-    Rows are numbered by range partitions: counts first, then numbers within each, so no task sees all rows.
-    """
-    docs = table(spark, sf_dir, "documents").filter("lang = 'de'").select("doc_id")
-    lot = F.floor(F.col("doc_id") / 1024)
-    sizes = docs.groupBy(lot.alias("lot")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("lot").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("lot", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("c"))
-    at = F.row_number().over(Window.partitionBy("lot").orderBy("doc_id")) - 1
-    rows = docs.withColumn("lot", lot).withColumn("at", at).join(sizes, "lot")
-    return rows.filter((F.col("before") + F.col("at")) % F.greatest(F.floor(F.col("c") / 20), F.lit(1)) == 0).select("doc_id")
-
-
 @query("X24_seed", "SELECT event_id, epoch_ms(ts) // 10800000 AS w FROM events")
 def seeds(spark, sf_dir):
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     return table(spark, sf_dir, "events").select("event_id", F.conv(seed_of(ms), 36, 10).cast("long").alias("w"))
 
 
-@query("A28_gender_accuracy", "SELECT count(*) FILTER (quality = 1 AND n_chars > 500) AS hit, count(*) FILTER (quality = 0 AND n_chars > 500) AS miss, count(*) FILTER (n_chars <= 500) AS abstain FROM labels JOIN documents USING (doc_id)")
-def accuracy(spark, sf_dir):
-    """Hits, misses and abstentions over rows that carry their own label."""
-    j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    said = F.col("n_chars") > 500
-    return j.agg(F.count_if(said & (F.col("quality") == 1)).alias("hit"), F.count_if(said & (F.col("quality") == 0)).alias("miss"), F.count_if(~said).alias("abstain"))
-
-
-@query("A29_archive_audit", f"""{P}, r AS (SELECT CASE WHEN brand IN ('Brand#1', 'Brand#7') THEN 'MARKA' WHEN category = 'ÇANTA' THEN 'AYAKKABI' ELSE 'COCUK' END AS reason, brand FROM product),
-    c AS (SELECT reason, brand, count(*) AS n FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY n DESC, brand) AS rank FROM c) SELECT * FROM k WHERE rank <= 8""")
-def archive_audit(spark, sf_dir):
-    p = products(spark, sf_dir)
-    reason = F.when(F.col("brand").isin("Brand#1", "Brand#7"), "MARKA").when(F.col("category") == "ÇANTA", "AYAKKABI").otherwise("COCUK")
-    c = p.groupBy(reason.alias("reason"), "brand").agg(F.count("*").alias("n"))
-    return c.withColumn("rank", F.row_number().over(Window.partitionBy("reason").orderBy(F.desc("n"), "brand"))).filter("rank <= 8")
-
-
-@query("A31_brand_styles", f"{P}, s AS (SELECT DISTINCT brand_slug, unnest(styles) AS style FROM product) SELECT style, count(*) AS brands FROM s GROUP BY 1")
-def brand_styles(spark, sf_dir):
-    return products(spark, sf_dir).select("brand_slug", F.explode("styles").alias("style")).distinct().groupBy("style").agg(F.count("*").alias("brands"))
-
-
-@query("A24_totals", "SELECT r_name, count(*) AS suppliers, round(sum(s_acctbal), 2) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1")
-def region_totals(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return s.groupBy("r_name").agg(F.count("*").alias("suppliers"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
-
-
-@query("K04_shrink_guard", f"{P} SELECT (SELECT count(*) FROM product) AS old_n, count(*) AS new_n, count(*) < 0.6 * (SELECT count(*) FROM product) AS refused FROM product WHERE category <> 'HOODIE'")
-def shrink_guard(spark, sf_dir):
-    p = products(spark, sf_dir)
-    old = p.agg(F.count("*").alias("old_n"))
-    new = p.filter("category <> 'HOODIE'").agg(F.count("*").alias("new_n"))
-    return old.crossJoin(new).withColumn("refused", F.col("new_n") < 0.6 * F.col("old_n"))
-
-
 assert len(COLORS) == 10

@@ -146,16 +146,6 @@ def search_page(spark, sf_dir):
     return C.run(products(spark, sf_dir), C.CatalogQuery(search="hot", in_stock_only=False)).select("id", "place")
 
 
-@query(
-    "F26_suggestions",
-    """WITH b AS (SELECT DISTINCT p_brand AS v FROM part WHERE contains(lower(p_brand), 'brand#1')), r AS (SELECT 'brand' AS kind, v, row_number() OVER (ORDER BY v) AS rank FROM b) SELECT * FROM r WHERE rank <= 5""",
-)
-def suggestions(spark, sf_dir):
-    b = table(spark, sf_dir, "part").select(F.col("p_brand").alias("v")).distinct().filter(F.contains(fold(F.col("v")), F.lit("brand#1")))
-    b = b.orderBy("v").limit(5)
-    return b.select(F.lit("brand").alias("kind"), "v", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("v")).alias("rank"))
-
-
 # -- scalar functions ---------------------------------------------------------------------------------
 
 

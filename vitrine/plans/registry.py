@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vitrine.plans import analytics, extra, merge, more, names, ranking, state, stores
+from vitrine.plans import analytics, audits, extra, merge, more, names, ranking, state, stores
 
-PARTS = [analytics, ranking, state, more, extra, names, stores, merge]
+PARTS = [analytics, ranking, state, more, extra, names, stores, merge, audits]
 
 
 def queries() -> dict:

@@ -63,6 +63,11 @@ def woo_price(minor: F.Column, digits: F.Column) -> F.Column:
     return minor.cast("double") / F.pow(F.lit(10.0), digits)
 
 
+def shrinks(old: F.Column | int, new: F.Column | int, least: float = 0.6) -> F.Column | bool:
+    """Whether so few rows may not replace so many."""
+    return new < least * old
+
+
 def write_catalog(df: DataFrame, path: str, least: float = 0.6, force: bool = False) -> int:
     """Overwrite a catalogue unless it would shrink below `least` of what is there; returns the rows written."""
     spark, new = df.sparkSession, df.count()
@@ -72,7 +77,7 @@ def write_catalog(df: DataFrame, path: str, least: float = 0.6, force: bool = Fa
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = 0
-    if new < least * old and not force:
+    if shrinks(new=new, old=old, least=least) and not force:
         raise ValueError(f"{new} rows would replace {old}")
     df.write.mode("overwrite").parquet(path)
     return new
