@@ -162,7 +162,7 @@ def gzip_snapshot(spark, sf_dir):
     """A catalogue written as gzip JSON and read through the catalogue's reader and cache; the second read is the kept one."""
     path = shared(spark, "snapshot")
     rows = products(spark, sf_dir).groupBy((F.col("pos") % 8).alias("lot")).agg(F.to_json(F.collect_list(F.struct("id", "name", "price"))).alias("value"))
-    rows.select("value").write.option("compression", "gzip").text(path)
+    rows.write.partitionBy("lot").option("compression", "gzip").text(path)
     cache = landed.CatalogCache(spark)
     first = cache.get(path)
     found = cache.get(path).select("id", "name", "price")
