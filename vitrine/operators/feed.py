@@ -98,6 +98,9 @@ def weave_rows(rows: pd.DataFrame, rules: Rules, limit: int) -> list[int]:
     return out
 
 
+TAIL_LOT = 100_000  # keys of the tail are about as many as its rows
+
+
 def weave(df: DataFrame, mode: str, seed: str, limit: int = 400) -> DataFrame:
     """df with place (from 1): woven picks first, then the tail spread by stride."""
     rules, limit = RULES[mode], min(WEAVE_LIMIT, max(limit, 400))
@@ -118,8 +121,16 @@ def weave(df: DataFrame, mode: str, seed: str, limit: int = 400) -> DataFrame:
     whole = tail.agg(F.count("*").alias("_tail"))
     offset = rand01(seed, F.concat(F.lit("kuyruk:"), F.col("brand_slug")))
     tail = tail.crossJoin(F.broadcast(whole)).withColumn("key", (F.col("_i") + offset) * (F.col("_tail") / F.col("_n")))
-    both = df.filter(F.col("pick").isNotNull()).withColumn("key", F.lit(None).cast("double")).select("pos", "brand_slug", "pick", "key")
-    return both.unionByName(tail.select("pos", "brand_slug", "pick", "key"))
+    # the tail's places in two steps, counts of key ranges and then places within them, so that no task orders all of it
+    lot = F.floor(F.col("key") / TAIL_LOT)
+    sizes = tail.groupBy(lot.alias("_lot")).agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_lot", F.coalesce(before, F.lit(0)).alias("_before"))
+    tail = tail.withColumn("_lot", lot).withColumn("_in", F.row_number().over(Window.partitionBy("_lot").orderBy("key", "pos"))).join(sizes, "_lot")
+    picks = picked.agg(F.count("*").alias("_picks"))
+    tail = tail.crossJoin(F.broadcast(picks)).withColumn("place", F.col("_picks") + F.col("_before") + F.col("_in"))  # one row
+    both = df.filter(F.col("pick").isNotNull()).select("pos", "brand_slug", "pick", F.lit(None).cast("double").alias("key"), F.col("pick").alias("place"))
+    return both.unionByName(tail.select("pos", "brand_slug", "pick", "key", "place"))
 
 
 def stratified(df: DataFrame, per_category: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vitrine.functions.sizes import BANDS, LADDER, band_of
-from vitrine.functions.text import index_letter, looks_like_email, visible_text
+from vitrine.functions.text import looks_like_email, visible_text
 from vitrine.plans.catalog import COLORS, CURRENCY, EVENT_SQL, GROUP, PRODUCT_SQL, STYLES, brand_score, events, lookup, products, rand_sql, sql_list, sql_lookup, table, variants
 
 Q: dict = {}

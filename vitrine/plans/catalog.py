@@ -5,9 +5,13 @@ Each view has a DataFrame form and the same as SQL text, so that results can be
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.operators.catalog_query import CatalogQuery
+
 SIZES = ["XS", "S", "M", "L", "XL", "2XL", "3XL"]
 COLORS = ["siyah", "beyaz", "gri", "bej", "kirmizi", "pembe", "yesil", "mavi", "mor", "cok-renkli"]
 HEXES = ["#111111", "#f0efea", "#8a8a86", "#cdbfa2", "#b03030", "#d1789b", "#4a7a45", "#2f6aa8", "#6a3a8a", "#8a8a90"]
@@ -36,12 +40,14 @@ def sql_list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per product and supplier: (pid, sid, vprice, vstock, lines, n, shipped)."""
+def variants(spark: SparkSession, sf_dir: str, parts: DataFrame | None = None) -> DataFrame:
+    """One row per product and supplier: (pid, sid, vprice, vstock, lines, n, shipped); parts: only these parts' rows are aggregated."""
+    lines = table(spark, sf_dir, "lineitem")
+    if parts is not None:
+        lines = lines.join(parts.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
     unit = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100
     return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_partkey").alias("pid"), F.col("l_suppkey").alias("sid"))
+        lines.groupBy(F.col("l_partkey").alias("pid"), F.col("l_suppkey").alias("sid"))
         .agg(
             F.min(unit).alias("vprice"),
             F.max(F.col("l_returnflag") == "N").alias("vstock"),
@@ -52,11 +58,25 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue: one row per part.  pos is the load order and the last key of every sort."""
+def part_condition(q: CatalogQuery) -> Column | None:
+    """What a product query says of the part table alone; its other filters need the aggregated line items."""
+    types = [t for t, c in CATEGORY.items() if c == q.category]
+    found = [F.col("p_type").isin(types)] if types else []
+    found += [F.col("p_brand").isin(q.brands)] if q.brands else []
+    found += [F.greatest(*[F.shiftright("p_size", STYLES.index(s)).bitwiseAND(1) for s in q.styles if s in STYLES]) == 1] if len([s for s in q.styles if s in STYLES]) > 1 else []
+    return reduce(lambda a, b: a & b, found) if found else None
+
+
+def products(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+    """The catalogue: one row per part.  pos is the load order and the last key of every sort.
+
+    where: a condition on the part table; line items of other parts are left out before they are aggregated.
+    """
+    parts = table(spark, sf_dir, "part")
+    parts = parts if where is None else parts.filter(where)
     pick = lambda values, ids: F.transform(ids, lambda i: F.element_at(F.array(*map(F.lit, values)), i.cast("int")))
     per = (
-        variants(spark, sf_dir)
+        variants(spark, sf_dir, None if where is None else parts)
         .groupBy("pid")
         .agg(
             F.min("vprice").alias("price_min"),
@@ -73,8 +93,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     bits = F.array(*[F.when(F.shiftright("p_size", k).bitwiseAND(1) == 1, F.lit(s)) for k, s in enumerate(STYLES)])
     empty = F.array().cast("array<string>")
     return (
-        table(spark, sf_dir, "part")
-        .join(per, F.col("p_partkey") == F.col("pid"), "left")
+        parts.join(per, F.col("p_partkey") == F.col("pid"), "left")
         .crossJoin(F.broadcast(newest))
         .select(
             F.col("p_partkey").alias("pos"),

@@ -9,11 +9,11 @@ from pyspark.sql.window import Window
 
 from vitrine.functions import score as S
 from vitrine.functions.color import hex_to_tag, rgb_to_hsl, tone_class
-from vitrine.functions.text import fnv1a, fold, rand01, slugify
+from vitrine.functions.text import fnv1a, rand01, slugify
 from vitrine.operators import catalog_query as C
 from vitrine.operators import feed
 from vitrine.operators.search import haystack, matches, parse_search, relevance
-from vitrine.plans.catalog import PRODUCT_SQL, STYLES, brand_score, fnv_sql, products, rand_sql, sql_list, table
+from vitrine.plans.catalog import brand_score, fnv_sql, part_condition, PRODUCT_SQL, products, rand_sql, sql_list, STYLES, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -72,8 +72,8 @@ def score01():
     return (brand_score(F.col("brand")).cast("double") - 1) / 4
 
 
-def scored(spark, sf_dir):
-    return feed.scored(products(spark, sf_dir), score01(), SEED)
+def scored(spark, sf_dir, where=None):
+    return feed.scored(products(spark, sf_dir, where), score01(), SEED)
 
 
 # -- filters: name, query, SQL condition --------------------------------------------------------------
@@ -95,7 +95,7 @@ FILTERS = {
 }
 for _name, (_q, _where) in FILTERS.items():
     query(_name, f"{P} SELECT id, brand, category, price_min FROM product WHERE {_where}")(
-        partial(lambda q, spark, sf_dir: C.filtered(products(spark, sf_dir), q).select("id", "brand", "category", "price_min"), _q)
+        partial(lambda q, spark, sf_dir: C.filtered(products(spark, sf_dir, part_condition(q)), q).select("id", "brand", "category", "price_min"), _q)
     )
 
 # -- sorts and pages ----------------------------------------------------------------------------------
@@ -246,8 +246,8 @@ def first_per_brand(spark, sf_dir):
     f"""{SCORED}, n AS (SELECT *, base * (1 - {d(0.12)}) + r_id * {d(0.12)} AS s FROM scored WHERE brand = 'Brand#2'), r AS (SELECT id, in_stock, row_number() OVER (ORDER BY in_stock DESC, s DESC, pos) AS place FROM n) SELECT * FROM r WHERE place <= 48""",
 )
 def brand_page(spark, sf_dir):
-    """A brand's products, in stock first; the filter reaches the scan, so one brand's rows are ranked."""
-    df = feed.with_noise(scored(spark, sf_dir).filter("brand = 'Brand#2'"), "kategori", SEED)
+    """A brand's products, in stock first; the brand reaches the scan and the line items, so one brand's rows are aggregated and ranked."""
+    df = feed.with_noise(scored(spark, sf_dir, F.col("p_brand") == "Brand#2"), "kategori", SEED)
     order = [F.desc("in_stock"), F.desc("s"), F.asc("pos")]
     return df.orderBy(*order).limit(48).select("id", "in_stock", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("place"))
 
