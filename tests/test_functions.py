@@ -88,3 +88,18 @@ def test_styles(spark):
     df = spark.createDataFrame([("Çizgili Basic Tee", "TİŞÖRT", ["basic", "y2k"]), ("Plain Tee", "TİŞÖRT", []), ("Crop Denim", "ÜST", [])], "n string, c string, b array<string>")
     rows = df.select(classify.product_styles(F.col("n"), F.col("c"), F.col("b")).alias("s")).collect()
     assert [r.s for r in rows] == [["y2k", "streetwear"], ["basic"], ["y2k"]]
+
+
+def test_rules_in_full(spark):
+    """Names that only the full lists tell: models, phrases, suffixes, spellings with spaced hyphens."""
+    cases = {
+        "Yeezy Slide": "AYAKKABI", "T - Shirt": "TİŞÖRT", "slim fiT SHIRT": "GÖMLEK", "kemerli etek": "ETEK", "Patchwork Jean": "JEAN", "Bikini Lines Baskılı Tshirt": "TİŞÖRT",
+        "Külotlu Çorap": "ÇORAP", "KOMBİN 238": "TAKIM", "Çift Kombin Tişört": "TİŞÖRT", "Robotik": "DİĞER", "ZIP - UP": "HOODIE", "Gümüş Yüzüğü": "TAKI",
+    }
+    df = column(spark, list(cases)).withColumn("c", classify.categorize(F.col("v")))
+    assert {r.v: r.c for r in df.collect()} == cases
+    shoes = {"Air Force 1": True, "Jordan Tee": False, "New Balance 9060": True, "Samba": True, "sambaci": False}
+    assert {r.v: r.s for r in column(spark, list(shoes)).withColumn("s", classify.looks_like_shoe(F.col("v"))).collect()} == shoes
+    kids = {"Boca Juniors Forma": None, "Juniors Tee": "name", "baby blue tee": None, "Bebek Mavi": None, "Junior Crime Tee": None, "Kid A Tee": None}
+    got = column(spark, list(kids)).withColumn("k", classify.kids_reason(F.col("v"), F.array(F.lit("S")), F.lit("Junior Crime")))
+    assert {r.v: r.k for r in got.collect()} == kids

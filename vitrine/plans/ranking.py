@@ -217,6 +217,15 @@ def weave(spark, sf_dir):
     return feed.weave(feed.with_noise(scored(spark, sf_dir), "kesfet", SEED), "kesfet", SEED)
 
 
+@query("N01_places", "SELECT count(*) AS n, count(*) AS places, count(*) AS last, least(count(*), 400) AS picks, 0 AS out_of_order FROM part")
+def weave_places(spark, sf_dir):
+    """Every product has one place of its own, without gaps; picks come first, and the tail goes by its keys."""
+    w = feed.weave(feed.with_noise(scored(spark, sf_dir), "kesfet", SEED), "kesfet", SEED).withColumn("lot", F.floor(F.col("place") / 4096))
+    before = F.lag("key").over(Window.partitionBy("lot").orderBy("place"))
+    w = w.withColumn("bad", F.coalesce(before > F.col("key"), F.lit(False)) | (F.col("pick").isNotNull() & (F.col("pick") != F.col("place"))))
+    return w.agg(F.count("*").alias("n"), F.countDistinct("place").alias("places"), F.max("place").alias("last"), F.count("pick").alias("picks"), F.count_if("bad").cast("int").alias("out_of_order"))
+
+
 @query("N12_category_feed")
 def category_feed(spark, sf_dir):
     df = scored(spark, sf_dir).filter("category = 'HOODIE'")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import pages as P
-from vitrine.functions.text import visible_text
 from vitrine.operators.audits import allowed_image_host, looks_parked
 from vitrine.plans.catalog import table
 from vitrine.sources import stores as S
@@ -283,9 +282,3 @@ def parked(spark, sf_dir):
     """A page that says its domain is for sale, or with next to nothing on it."""
     html = F.when(F.col("page_id") % 7 == 3, F.concat(F.lit("<p>Buy This Domain</p>"), "html")).otherwise(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", looks_parked(html).alias("parked"))
-
-
-@query("X44_text_lengths", "SELECT page_id, length(regexp_replace(regexp_replace(html, '(?is)<(script)[^>]*>.*?</script>|<(style)[^>]*>.*?</style>|<(noscript)[^>]*>.*?</noscript>', ' ', 'g'), '<[^>]+>', '', 'g')) > 0 AS any_text FROM pages")
-def text_lengths(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", (F.length(visible_text(F.col("html"))) > 0).alias("any_text"))
-
