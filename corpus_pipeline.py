@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again
 as the next stage's docs, so rows keep their order in the files and a stage may read them more than once.
 All but the last return the columns of documents.
+
+Defined results: a document without text or letters goes in the first stage, so later stages see none; rows with
+a null id stay and are told apart as rows; of repeated rows one stays; where texts tie, the largest id stays
+(exact copies), then the row with the smallest id of its class (near copies); very long texts are worked on
+whole; an empty table gives an empty result; more columns, whatever their names, are carried through.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from vitrine.llm.pii import redact
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without text or letters go."""
+    """Documents that the parse of some language recognises, a null lang filled in; others go, and those without letters."""
     return keep_identified(docs, training_text(docs, F.lit(True)))
 
 
