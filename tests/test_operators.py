@@ -154,3 +154,39 @@ def test_streams(spark, tmp_path):
     latest = streaming.upsert_batches(keyed, out, ["key"], "at", str(tmp_path / "cp")).trigger(availableNow=True).start()
     latest.awaitTermination(120)
     assert spark.read.parquet(f"{out}/v0").count() == 4
+
+
+def landed_rows(spark, folder, rows, ddl):
+    """A stream of the rows, as files that land."""
+    spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(spark.createDataFrame([], ddl).schema).parquet(folder)
+
+
+def test_votes_with_eviction(spark, tmp_path):
+    """With two known voters: the third pushes out the first, whose vote stays; pressing again counts anew."""
+    presses = ["a", "b", "c", "a", "c"]
+    rows = [("p", v, f"2024-01-01 00:00:0{k}") for k, v in enumerate(presses)]
+    stream = landed_rows(spark, str(tmp_path / "in"), rows, "product_id string, voter string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    got = run_stream(streaming.restock_votes(stream, most_voters=2), "restock", "update").collect()
+    assert [(r.product_id, r.votes) for r in got] == [("p", 3)]  # 1, 2, 3 (a out), 4 (b out), 3
+
+
+def test_login_guard(spark, tmp_path):
+    """Three wrong tries lock for a time; a right one clears; tries far apart don't add up."""
+    tries = [("k", 0, False), ("k", 1, False), ("k", 2, False), ("k", 3, True), ("k", 20, True), ("m", 0, False), ("m", 1, True), ("m", 2, False), ("m", 3, False), ("m", 60, False)]
+    rows = [(k, f"2024-01-01 0{m // 60}:{m % 60:02d}:00", ok) for k, m, ok in tries]
+    stream = landed_rows(spark, str(tmp_path / "in"), rows, "key string, at string, ok boolean").withColumn("at", F.col("at").cast("timestamp"))
+    got = {(r.key, r.at.minute + 60 * r.at.hour): r.verdict for r in run_stream(streaming.login_guard(stream, tries=3), "guard", "append").collect()}
+    assert [got["k", m] for m in (0, 1, 2, 3, 20)] == ["wrong", "wrong", "wrong", "locked", "ok"]
+    assert [got["m", m] for m in (0, 1, 2, 3, 60)] == ["wrong", "ok", "wrong", "wrong", "wrong"]
+
+
+def test_log_sinks_and_deletes(spark, tmp_path):
+    rows = [("view", "1", "2024-01-01 10:00:00", False), ("view", "2", "2024-01-02 10:00:00", False), ("click", "1", "2024-01-02 11:00:00", True)]
+    stream = landed_rows(spark, str(tmp_path / "in"), rows, "kind string, key string, at string, gone boolean").withColumn("at", F.col("at").cast("timestamp"))
+    for writer in streaming.log_sinks(stream, str(tmp_path / "logs"), str(tmp_path / "cp"), {"views": ["view"], "outbound": ["click"]}):
+        writer.trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.json(str(tmp_path / "logs" / "views")).groupBy("day").count().count() == 2 and spark.read.json(str(tmp_path / "logs" / "outbound")).count() == 1
+    writer = streaming.upsert_batches(stream.select("key", "at", "gone"), str(tmp_path / "t"), ["key"], "at", str(tmp_path / "cp2"), deleted="gone")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    assert [r.key for r in spark.read.parquet(str(tmp_path / "t" / "v0")).collect()] == ["2"]

@@ -11,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vitrine.sources import EVENT
 
+LATE = 3600  # seconds that an event may come late; what is older than that is dropped
+
 
 def read_event_stream(spark: SparkSession, path: str) -> DataFrame:
     """New lines of the event logs as they land; malformed ones are dropped."""
@@ -35,7 +37,7 @@ def one_vote_each(votes: DataFrame, late: str = "30 days") -> DataFrame:
 def limited(events: DataFrame, seconds: int = 60) -> DataFrame:
     """(key, accepted, refused) by micro-batch: an event within `seconds` of the last accepted one of its key is refused.
 
-    State is one time stamp per key and leaves after an hour without events.
+    State is one time stamp per key and leaves when events are an hour past it.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,18 +53,94 @@ def limited(events: DataFrame, seconds: int = 60) -> DataFrame:
             else:
                 refused += 1
         state.update((int(last),))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(times[-1] // 1000 + (max(3600, seconds) + LATE) * 1000)
         yield pd.DataFrame({"key": [key[0]], "accepted": [accepted], "refused": [refused]})
 
-    return events.groupBy("key").applyInPandasWithState(
-        run, "key string, accepted long, refused long", "last long", "update", GroupStateTimeout.ProcessingTimeTimeout
+    return events.withWatermark("at", f"{LATE} seconds").groupBy("key").applyInPandasWithState(
+        run, "key string, accepted long, refused long", "last long", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
+def restock_votes(presses: DataFrame, most_voters: int = 5000, days: int = 30) -> DataFrame:
+    """(product_id, votes) by micro-batch from presses (product_id, voter, at): a press votes, the next takes the vote back.
+
+    Of each product the last `most_voters` voters are known.  A voter who drops out of these keeps having voted: the
+    count stays, and another press by that voter counts as a new vote.  State is bounded by most_voters a product and
+    leaves when presses are `days` past it.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        votes, known = (state.get[0], dict.fromkeys(state.get[1])) if state.exists else (0, {})
+        rows = pd.concat(list(batches)).sort_values(["at", "voter"], kind="stable")
+        for voter in rows["voter"].tolist():
+            if voter in known:
+                del known[voter]
+                votes -= 1
+            else:
+                known[voter] = None
+                votes += 1
+                if len(known) > most_voters:
+                    del known[next(iter(known))]
+        state.update((votes, list(known)))
+        state.setTimeoutTimestamp(int(rows["at"].max().timestamp() * 1000) + days * 86_400_000)
+        yield pd.DataFrame({"product_id": [key[0]], "votes": [votes]})
+
+    return presses.withWatermark("at", f"{LATE} seconds").groupBy("product_id").applyInPandasWithState(
+        run, "product_id string, votes long", "votes long, voters array<string>", "update", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def login_guard(attempts: DataFrame, tries: int = 5, within: int = 600, lock: int = 900) -> DataFrame:
+    """(key, at, verdict) of attempts (key, at, ok): "locked", "ok" or "wrong".
+
+    `tries` wrong attempts of a key within `within` seconds lock it for `lock` seconds; a right one forgets the wrong
+    ones.  State is at most `tries` time stamps a key and leaves when attempts are past the longer span.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        until, wrong = (state.get[0], list(state.get[1])) if state.exists else (0, [])
+        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+        verdicts = []
+        for at, ok in zip((rows["at"].astype("datetime64[ns]").astype("int64") // 10**9).tolist(), rows["ok"].tolist(), strict=True):
+            if at < until:
+                verdicts.append("locked")
+            elif ok:
+                wrong = []
+                verdicts.append("ok")
+            else:
+                wrong = [t for t in wrong if at - t < within][1 - tries :] + [at] if tries > 1 else [at]
+                verdicts.append("wrong")
+                if len(wrong) >= tries:
+                    until, wrong = at + lock, []
+        state.update((until, wrong))
+        state.setTimeoutTimestamp(int(rows["at"].max().timestamp() * 1000) + (max(within, lock) + LATE) * 1000)
+        yield pd.DataFrame({"key": key[0], "at": rows["at"].to_numpy(), "verdict": verdicts})
+
+    return attempts.withWatermark("at", f"{LATE} seconds").groupBy("key").applyInPandasWithState(
+        run, "key string, at timestamp, verdict string", "until long, wrong array<long>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def log_sinks(events: DataFrame, folder: str, checkpoint: str, kinds: dict[str, list[str]]):
+    """Writers, one for each log (log -> kinds of event), that append events to their UTC day's folder as they come."""
+    days = events.withColumn("day", F.date_format("at", "yyyy-MM-dd"))
+    return [
+        days.filter(F.col("kind").isin(which)).writeStream.format("json").partitionBy("day").option("path", f"{folder}/{log}").option("checkpointLocation", f"{checkpoint}/{log}")
+        for log, which in kinds.items()
+    ]
+
+
+def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, deleted: str | None = None):
     """Keep the latest row of each key in a Parquet table, rewritten by micro-batch; returns the query's writer.
 
-    Each batch writes a new version folder; the version file of the batch id makes a repeated batch harmless.
+    deleted: a boolean column; a key whose latest row has it set leaves the table, and may come back.  Each batch
+    writes a new version folder; the version file of the batch id makes a repeated batch harmless.
     """
     from vitrine.operators.userdata import latest
 
@@ -71,6 +149,7 @@ def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, ch
         rows = batch
         if number:
             rows = spark.read.parquet(f"{path}/v{number - 1}").unionByName(batch)
-        latest(rows, keys, [order]).write.mode("overwrite").parquet(f"{path}/v{number}")
+        kept = latest(rows, keys, [order])
+        (kept if deleted is None else kept.filter(~F.coalesce(deleted, F.lit(False)))).write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
