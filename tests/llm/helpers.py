@@ -28,6 +28,7 @@ def texts(seed: int = 5) -> list[str | None]:
     out += [out[-1]] * 40 + [out[-1].upper()] * 3  # a large group of copies
     out += ["mail a@b.co or +1 (499) 555-6503 at 10.1.2.3, card 4111 1111 1111 1111"] * 2
     out += [prose(rng.randint(1, 300)) for _ in range(60)]
+    out.append(prose(80) + " mail a@b.co " + prose(20))
     return out
 
 

@@ -1,9 +1,13 @@
 """The pipeline's stages: what they keep and what their decisions change."""
 
+import random
+
 from helpers import SCHEMA, documents
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vitrine.llm.common import stage
+from vitrine.llm.langid import Model, training_text
 
 
 def test_stages(spark, tmp_path):
@@ -14,10 +18,10 @@ def test_stages(spark, tmp_path):
         docs = stage(step(spark, docs, str(tmp_path)), name)
         assert docs.columns == SCHEMA.names
         counts.append(docs.count())
-    no_letters = sum(not any(c.isalpha() for c in t or "") for _, t, *_ in rows)
+    model = Model(training_text(df, F.lit(True)))
+    kept = [t for _, t, *_ in rows if model.predict(t)[2]]
     fold = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
-    distinct = {fold(t) for _, t, *_ in rows if any(c.isalpha() for c in t or "")}
-    assert counts[1] == counts[0] - no_letters and counts[2] == len(distinct) and counts[3] < counts[2] and counts[4] == counts[3]
+    assert counts[1] == len(kept) < counts[0] and counts[2] == len(set(map(fold, kept))) and counts[3] < counts[2] and counts[4] == counts[3]
     assert not [r for r in docs.collect() if "a@b.co" in r.text] and any("[EMAIL]" in r.text for r in docs.collect())
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
@@ -28,3 +32,33 @@ def test_run(spark, tmp_path):
     (tmp_path / "docs.parquet").rename(tmp_path / "documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "ngram_join", "pii", "packing"]
+
+
+def language_rows():
+    """Two languages of their own sounds, one row without a language, and letters at random."""
+    rng = random.Random(6)
+    say = lambda sounds, n: " ".join("".join(rng.choice(sounds) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    sounds = {"aa": ["ka", "to", "mi", "ru"], "bb": ["sch", "ung", "keit", "ver"]}
+    rows = [(i, say(sounds[k], 80), k, "s", 1, None, None, None) for i in range(60) for k in [list(sounds)[i % 2]]]
+    rows.append((100, say(sounds["bb"], 50), None, "s", 1, None, None, None))
+    rows.append((101, "".join(rng.choice("abcdefghijlnopqwxyz") for _ in range(400)), None, "s", 1, None, None, None))
+    return rows
+
+
+def test_language_stage_follows_the_parse(spark, tmp_path, monkeypatch):
+    """Letters at random go, a null language is filled in, and another prediction changes what comes out."""
+    df, rows = documents(spark, tmp_path, language_rows())
+    got = {r.doc_id: r for r in corpus_pipeline.language_id(spark, df, str(tmp_path)).collect()}
+    assert set(got) == {i for i, *_ in rows} - {101} and got[100].lang == "bb" and all(got[i].lang == k for i, _, k, *_ in rows if k and i != 101)
+    swapped = corpus_pipeline.training_text(df.replace({"aa": "bb", "bb": "aa"}, subset=["lang"]), F.lit(True))
+    monkeypatch.setattr(corpus_pipeline, "training_text", lambda docs, usable: swapped)
+    assert {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, df, str(tmp_path)).collect()}[100] == "aa"
+    only = {"aa": swapped["bb"]}
+    monkeypatch.setattr(corpus_pipeline, "training_text", lambda docs, usable: only)
+    assert corpus_pipeline.language_id(spark, df, str(tmp_path)).count() < len(got)
+
+
+def test_empty_table(spark, tmp_path):
+    documents(spark, tmp_path, [])
+    (tmp_path / "docs.parquet").rename(tmp_path / "documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
