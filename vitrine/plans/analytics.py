@@ -372,7 +372,7 @@ def price_drift(spark, sf_dir):
 
 @query(
     "X44_visible_text",
-    """WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', ' ', 'g') AS t FROM pages),
+    r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', ' ', 'g') AS t FROM pages),
     b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</?(b|i|em|strong|span|a|u|small)(\s[^>]*)?>', '', 'g'), '<[^>]+>', '|', 'g') AS t FROM a),
     c AS (SELECT page_id, regexp_replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g') AS t FROM b) SELECT page_id, trim(regexp_replace(t, '(\s*\|\s*)+', ' | ', 'g')) AS text FROM c""",
 )
