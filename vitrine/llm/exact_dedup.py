@@ -22,6 +22,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vitrine.llm.common import stage
 
@@ -51,15 +52,15 @@ def with_row(docs: DataFrame, *cols: Column) -> DataFrame:
     """cols and _row, a number of the row: the place of its file among the files by name, and its place in the file.
 
     Both are facts of the files, so every read has the same numbers, however the files are split among tasks.
-    docs is from read_of_files(); one row a file is broadcast.
+    docs is from read_of_files().  The files' numbers are a staged table, whose size Spark knows when it plans the join.
     """
     place = docs.metadataColumn("_metadata")
-    paths = sorted(r[0] for r in docs.select(place.getField("file_path")).distinct().collect())
-    files = docs.sparkSession.createDataFrame([(p, k) for k, p in enumerate(paths)], "_file string, _number long")
+    files = docs.select(place.getField("file_path").alias("_file")).distinct()
+    files = stage(files.select("_file", F.row_number().over(Window.orderBy("_file")).cast("long").alias("_number")), "files")
     rows = docs.select(*cols, place.getField("file_path").alias("_file"), place.getField("row_index").alias("_at"))
     number = F.coalesce(F.col("_number"), F.raise_error(F.lit("a file was added during the job")).cast("long"))
     row = F.shiftleft(number, FILE_BITS) + F.col("_at")
-    return rows.join(F.broadcast(files), "_file", "left").select(*rows.columns[:-2], row.alias("_row"))
+    return rows.join(files, "_file", "left").select(*rows.columns[:-2], row.alias("_row"))
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
