@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import table
+from vitrine.llm.conversations import damage, repair
 from vitrine.llm.exact_dedup import exact_dedup
 from vitrine.llm.langid import held_out, predict_language, training_text
 from vitrine.llm.lexical import lexical_search
@@ -83,6 +84,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damage(table(spark, sf_dir, "conversations")), dropped=F.col("_dropped"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_substring_dedup": op2_substring_dedup,
@@ -96,6 +101,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op11_sharding": op11_sharding,
     "op12_ranked_search": op12_ranked_search,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL = {
