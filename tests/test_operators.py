@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vitrine import sources, streaming
 from vitrine.operators import catalog_query as C
 from vitrine.operators import feed, resolve, userdata
+from vitrine.sources import stores
 
 
 def plain_weave(items, rules, limit):
@@ -55,8 +56,21 @@ def test_weave(mode, brands):
 
 
 def test_query_urls_and_pages():
-    q = C.CatalogQuery(category="CEKET", colors=["siyah", "mor"], page=3, search="hot gear")
-    assert C.CatalogQuery.parse(q.url()) == q and C.CatalogQuery().url() == ""
+    q = C.CatalogQuery(
+        category="İÇ GİYİM", brands=["Oath İstanbul", "A & B"], colors=["siyah", "mor"], genders=["kadin"], sizes=["39,5", "4'LU SET", "135/54"], styles=["y2k"],
+        price="4k+", sort="TARİH", direction="desc", in_stock_only=False, page=3, search="hot gear",
+    )
+    roster = ["Oath İstanbul", "A & B", "C"]
+    assert C.CatalogQuery.parse(q.url(), roster) == q and C.CatalogQuery().url() == ""
+    assert "kategori=ic-giyim" in q.url() and "marka=oath-istanbul%2Ca-and-b" in q.url() and "stok=tumu" in q.url() and "yon=azalan" in q.url()
+    pairs = [
+        ("kategori=tisort", "cat=T%C4%B0%C5%9E%C3%96RT"), ("", "cat=T%C3%9CM+%C3%9CR%C3%9CNLER"), ("marka=oath-istanbul", "brand=OATH+ISTANBUL"), ("fiyat=2k-4k", "price=2"), ("fiyat=0-1k", "price=0"),
+        ("sirala=fiyat", "sort=F%C4%B0YAT&dir=asc"), ("sirala=fiyat&yon=azalan", "sort=F%C4%B0YAT&dir=desc"), ("stok=tumu", "tukenmis=1"), ("beden=M&beden=39,5", "size=M&size=39,5"),
+        ("sayfa=3", "page=3"), ("q=siyah+tee", "q=siyah tee"), ("kategori=ceket&marka=c&fiyat=4k%2B&sayfa=2", "cat=CEKET&brand=C&price=3&page=2"),
+    ]
+    for new, old in pairs:
+        assert C.CatalogQuery.parse(new, roster) == C.CatalogQuery.parse(old, roster), (new, old)
+    assert C.CatalogQuery.parse("sayfa=x").page == 1 and C.CatalogQuery.parse("marka=unheard-of").brands == ["unheard-of"] and not C.CatalogQuery.parse("stok=tumu").in_stock_only
     assert C.page_list(5, 20) == [1, "…", 4, 5, 6, "…", 20] and C.page_list(2, 5) == [1, 2, 3, 4, 5]
     assert C.cycle_sort("", "asc", "FİYAT") == ("FİYAT", "asc") and C.cycle_sort("FİYAT", "asc", "FİYAT") == ("FİYAT", "desc") and C.cycle_sort("FİYAT", "desc", "FİYAT") == ("", "asc")
 
@@ -107,8 +121,9 @@ def test_sources(spark, tmp_path):
     assert events.count() == 1
     (tmp_path / "b.csv").write_text("name,style,url\nOath,y2k;basic,https://o.example.com\n")
     assert sources.read_brands(spark, str(tmp_path / "b.csv")).first().styles == ["y2k", "basic"]
-    body = json.dumps({"products": [{"id": 7, "title": "Tee", "handle": "tee", "variants": [{"option1": "Red", "option2": "S", "price": "9.5", "available": False}, {"option1": "Red", "option2": "M", "price": "12", "available": True}, {"option1": "Blue", "option2": "S", "price": "8", "available": False}], "images": [{"src": "a.jpg"}]}]})
-    got = {r.color: (r.in_stock, r.price, r.sizes) for r in sources.shopify_records(spark.createDataFrame([("A", body)], "brand string, body string")).collect()}
+    options = [{"name": "Mint", "position": 2, "values": ["S", "M"]}, {"name": "Color", "position": 1, "values": ["Red", "Blue"]}]
+    body = json.dumps({"products": [{"id": 7, "title": "Tee", "handle": "tee", "options": options, "variants": [{"option1": "Red", "option2": "S", "price": "9.5", "available": False}, {"option1": "Red", "option2": "M", "price": "12", "available": True}, {"option1": "Blue", "option2": "S", "price": "8", "available": False}], "images": [{"src": "a.jpg"}]}]})
+    got = {r.color: (r.in_stock, r.price, r.sizes) for r in stores.shopify_records(spark.createDataFrame([("A", body)], "brand string, body string")).collect()}
     assert got == {"Red": (True, 12.0, ["M"]), "Blue": (False, 8.0, ["S"])}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,12 @@ def fold(c: Column) -> Column:
     return F.lower(F.translate(F.translate(c, TURKISH, PLAIN), ACCENTED, BASES))
 
 
+def slug_of(text: str) -> str:
+    """slugify() of a name that is at hand while a query is made."""
+    plain = text.translate(str.maketrans(TURKISH, PLAIN)).translate(str.maketrans(ACCENTED, BASES)).lower()
+    return re.sub("[^a-z0-9]+", "-", re.sub("['’`]", "", plain).replace("&", " and ")).strip("-")
+
+
 def slugify(c: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(fold(c), "['’`]", ""), "&", " and ")
     return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")
@@ -80,13 +88,20 @@ def looks_like_email(c: Column) -> Column:
     return (F.length(c) <= 254) & c.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$")
 
 
+#: Tags inside a line, which vanish; all others part sentences.
+INLINE_TAGS = ["span", "b", "strong", "em", "i", "u", "small", "font", "mark", "abbr", "label"]
+
+
 def visible_text(html: Column) -> Column:
-    """Text of a page: scripts and styles go, inline tags vanish, other tags become |."""
-    out = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " ")
-    out = F.regexp_replace(out, r"(?i)</?(b|i|em|strong|span|a|u|small)(\s[^>]*)?>", "")
-    out = F.regexp_replace(out, r"<[^>]+>", "|")
-    out = F.replace(F.replace(out, F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&"))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"(\s*\|\s*)+", " | "))
+    """Text of a page, after the announcements that stand in msg attributes; | stands where a tag parts sentences."""
+    announced = F.array_join(F.regexp_extract_all(html, F.lit(r'(?i)\smsg="([^"]{6,120})"'), F.lit(1)), " | ")
+    out = html
+    for pattern, instead in (
+        (r"(?i)<script[\s\S]*?</script>", " "), (r"(?i)<style[\s\S]*?</style>", " "), (rf"(?i)</?(?:{'|'.join(INLINE_TAGS)})\b[^>]*>", ""), (r"<[^>]+>", " | "),
+        (r"(?i)&nbsp;?", " "), (r"(?i)&amp;", "&"), (r"(?i)&#x27;|&#39;", "'"), (r"\s+", " "),
+    ):
+        out = F.regexp_replace(out, pattern, instead)
+    return F.concat(F.when(announced != "", F.concat(announced, F.lit(" | "))).otherwise(""), out)
 
 
 def has_word_start(text: Column, token: Column) -> Column:

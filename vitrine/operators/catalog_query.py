@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
-from urllib.parse import parse_qs, urlencode
+from urllib.parse import parse_qsl, urlencode
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vitrine.functions.classify import CATEGORY_GROUPS
+from vitrine.functions.text import slug_of
 from vitrine.operators.search import haystack, matches, parse_search, relevance
 
-#: Categories that the default view leaves out, price buckets, URL names, page size.
+#: Categories that the default view leaves out, price buckets, sort columns, URL names, page size.
 OUT_OF_FEED = ["AYAKKABI", "SAAT", "ÇANTA", "ÇORAP", "İÇ GİYİM", "GÖZLÜK", "CÜZDAN", "KEMER", "TAKI", "AKSESUAR", "DİĞER"]
 PRICES = {"0-1k": (0.0, 1000.0), "1k-2k": (1000.0, 2000.0), "2k-4k": (2000.0, 4000.0), "4k+": (4000.0, 1e12)}
-NAMES = {"category": "kategori", "brands": "marka", "price": "fiyat", "sort": "sirala", "direction": "yon", "in_stock_only": "stok", "colors": "renk", "styles": "tarz", "page": "sayfa"}
+SORTS = {"FİYAT": "price_min", "TARİH": "day", "MARKA": "brand"}
+CATEGORIES = [c for group in CATEGORY_GROUPS.values() for c in group] + ["AYAKKABI"]
+EVERYTHING = "TÜM ÜRÜNLER"
+#: What a URL calls a field, today's name first; the others are read from old links.
+NAMES = {
+    "category": ["kategori", "cat"], "search": ["q"], "styles": ["tarz", "style"], "genders": ["kim", "gender"], "brands": ["marka", "brand"], "colors": ["renk", "color"],
+    "sizes": ["beden", "size"], "price": ["fiyat", "price"], "sort": ["sirala", "sort"], "direction": ["yon", "dir"], "in_stock_only": ["stok", "tukenmis"], "page": ["sayfa", "page"],
+}
+DIRECTIONS = {"artan": "asc", "azalan": "desc"}
 PAGE = 40
 
 
@@ -36,23 +47,54 @@ class CatalogQuery:
     page: int = 1
 
     @classmethod
-    def parse(cls, query: str) -> CatalogQuery:
-        """From URL parameters under their short names."""
-        got = {k: v[0] for k, v in parse_qs(query).items()}
-        values: dict = {"search": got.get("q", "")}
-        for name, short in NAMES.items():
-            if short in got:
-                v = got[short]
-                values[name] = v.split(",") if name in ("brands", "colors", "styles") else int(v) if name == "page" else v != "0" if name == "in_stock_only" else v
-        return cls(**values)
+    def parse(cls, query: str, brands: Iterable[str] = ()) -> CatalogQuery:
+        """From URL parameters, in today's form (short names, slugs) or that of old links (full names, numbers).
+
+        brands: the roster that brand slugs are looked up in.  Sizes are no slugs and stand one to a parameter, as they
+        may hold commas.  A value that nothing is known about stays as it is, and a bad page is the first.
+        """
+        given: dict[str, list[str]] = {}
+        for key, value in parse_qsl(query.removeprefix("?")):
+            given.setdefault(key, []).append(value.strip())
+        found = {name: (key, given[key]) for name, keys in NAMES.items() for key in reversed(keys) if key in given}
+        known = {
+            "category": {slug_of(c): c for c in CATEGORIES} | {slug_of(EVERYTHING): ""}, "brands": {slug_of(b): b for b in brands},
+            "sort": {slug_of(s): s for s in SORTS}, "direction": DIRECTIONS, "price": dict(zip("0123", PRICES, strict=True)),
+        }
+        read = lambda name, v: known.get(name, {}).get(slug_of(v) if name != "price" else v, v)
+        out: dict = {}
+        for name, (key, values) in found.items():
+            if name == "sizes":
+                out[name] = values
+            elif name in ("brands", "colors", "styles", "genders"):
+                out[name] = [read(name, v.strip()) for v in values[0].split(",") if v.strip()]
+            elif name == "in_stock_only":
+                out[name] = values[0] != ("1" if key == "tukenmis" else "tumu")
+            elif name == "page":
+                out[name] = int(values[0]) if values[0].isdecimal() and int(values[0]) > 0 else 1
+            else:
+                out[name] = read(name, values[0])
+        return cls(**out)
 
     def url(self) -> str:
-        """As URL parameters; defaults are not written."""
-        base, out = CatalogQuery(), {"q": self.search} if self.search else {}
-        for name, short in NAMES.items():
+        """As URL parameters in today's form; defaults are not written."""
+        base, out = CatalogQuery(), []
+        for name, (short, *_) in NAMES.items():
             v = getattr(self, name)
-            if v != getattr(base, name):
-                out[short] = ",".join(v) if isinstance(v, list) else int(v) if isinstance(v, bool) else v
+            if v == getattr(base, name):
+                continue
+            if name == "sizes":
+                out += [(short, size) for size in v]
+            elif name in ("category", "sort"):
+                out.append((short, slug_of(v)))
+            elif name == "brands":
+                out.append((short, ",".join(map(slug_of, v))))
+            elif name == "direction":
+                out.append((short, "azalan"))
+            elif name == "in_stock_only":
+                out.append((short, "tumu"))
+            else:
+                out.append((short, ",".join(v) if isinstance(v, list) else v))
         return urlencode(out)
 
 
@@ -95,8 +137,8 @@ def ranked(df: DataFrame, q: CatalogQuery) -> DataFrame:
         text = haystack(F.col("name"), F.col("brand"), F.col("category"), F.col("styles"), F.col("color_tags"))
         df = df.withColumn("relevance", relevance(F.col("name"), F.col("brand"), text, full, groups))
         keys.append(F.desc("relevance"))
-    elif q.sort:
-        column = {"FİYAT": "price_min", "TARİH": "day", "MARKA": "brand"}[q.sort]
+    elif q.sort in SORTS:
+        column = SORTS[q.sort]
         keys.append(F.asc_nulls_last(column) if q.direction == "asc" else F.desc_nulls_last(column))
     first = q.page * PAGE
     keys.append(F.asc("pos"))

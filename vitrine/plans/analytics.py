@@ -370,14 +370,21 @@ def price_drift(spark, sf_dir):
 # -- pages ---------------------------------------------------------------------------------------------
 
 
+MESSAGE = '<p msg="2.500 TL ürüne ücretsiz kargo" class="x" msg="kısa"><font size=2>bu <mark>gün</mark></font>&NBSP;it&#39;s<noscript>aç</noscript></p>'
+
+
 @query(
     "X44_visible_text",
-    r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', ' ', 'g') AS t FROM pages),
-    b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</?(b|i|em|strong|span|a|u|small)(\s[^>]*)?>', '', 'g'), '<[^>]+>', '|', 'g') AS t FROM a),
-    c AS (SELECT page_id, regexp_replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g') AS t FROM b) SELECT page_id, trim(regexp_replace(t, '(\s*\|\s*)+', ' | ', 'g')) AS text FROM c""",
+    rf"""WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html || '{MESSAGE.replace("'", "''")}' ELSE html END AS html FROM pages),
+    a AS (SELECT page_id, array_to_string(regexp_extract_all(html, '(?i)\smsg="([^"]{{6,120}})"', 1), ' | ') AS msg, regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g') AS t FROM p),
+    b AS (SELECT page_id, msg, regexp_replace(regexp_replace(t, '(?i)</?(?:span|b|strong|em|i|u|small|font|mark|abbr|label)\b[^>]*>', '', 'g'), '<[^>]+>', ' | ', 'g') AS t FROM a),
+    c AS (SELECT page_id, msg, regexp_replace(regexp_replace(regexp_replace(t, '(?i)&nbsp;?', ' ', 'g'), '(?i)&amp;', '&', 'g'), '(?i)&#x27;|&#39;', chr(39), 'g') AS t FROM b)
+    SELECT page_id, CASE WHEN msg = '' THEN '' ELSE msg || ' | ' END || regexp_replace(t, '\s+', ' ', 'g') AS text FROM c""",
 )
 def page_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", visible_text(F.col("html")).alias("text"))
+    """Every third page carries an announcement in an attribute, tags that stand inside a line, and a noscript part."""
+    html = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit(MESSAGE))).otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", visible_text(html).alias("text"))
 
 
 @query("X50_page_probe", "SELECT page_id, regexp_matches(html, '<title>') AS title, regexp_matches(html, '<nav>') AS nav, regexp_matches(html, 'og:image') AS image, length(html) < 800 AS parked FROM pages")

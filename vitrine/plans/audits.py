@@ -239,8 +239,16 @@ def owner_check(spark, sf_dir):
     return resolve.publish(stored, asked).select("id", "accepted", F.size("ids").alias("items")).replace(-1, None, ["items"])
 
 
-@query("X36_category_groups", f"{P}, c AS (SELECT DISTINCT category FROM product) SELECT category, {sql_lookup(GROUP, 'category', "'DİĞER'")} AS grp, category NOT IN ('ÇANTA') AS has_sizes FROM c")
+@query(
+    "X36_category_groups",
+    """WITH c AS (SELECT p_partkey AS id, ['TAKI', 'GÖZLÜK', 'SAAT', 'CÜZDAN', 'AKSESUAR', 'ÇANTA', 'ŞAPKA', 'KEMER', 'ÇORAP', 'TİŞÖRT', 'JEAN', 'MONT', 'ETEK', 'İÇ GİYİM', 'DİĞER', 'AYAKKABI'][p_partkey % 16 + 1] AS category FROM part)
+    SELECT id, category, CASE WHEN category = 'TİŞÖRT' THEN 'ÜST GİYİM' WHEN category = 'JEAN' THEN 'ALT GİYİM' WHEN category = 'MONT' THEN 'DIŞ GİYİM' WHEN category = 'ETEK' THEN 'ELBİSE & TAKIM'
+    WHEN category = 'İÇ GİYİM' THEN 'İÇ GİYİM' WHEN category = 'DİĞER' THEN 'SINIFLANDIRILMAMIŞ' WHEN category <> 'AYAKKABI' THEN 'AKSESUAR' END AS grp,
+    category NOT IN ('TAKI', 'GÖZLÜK', 'SAAT', 'CÜZDAN', 'AKSESUAR') AS has_sizes FROM c""",
+)
 def category_groups(spark, sf_dir):
-    c = products(spark, sf_dir).select("category").distinct()
-    return c.select("category", lookup(GROUP, F.col("category"), "DİĞER").alias("grp"), (F.col("category") != "ÇANTA").alias("has_sizes"))
-
+    """The heading of each product's category, and whether it keeps sizes; archived categories stand under no heading."""
+    some = ["TAKI", "GÖZLÜK", "SAAT", "CÜZDAN", "AKSESUAR", "ÇANTA", "ŞAPKA", "KEMER", "ÇORAP", "TİŞÖRT", "JEAN", "MONT", "ETEK", "İÇ GİYİM", "DİĞER", "AYAKKABI"]
+    category = F.element_at(F.array(*map(F.lit, some)), (F.col("p_partkey") % len(some) + 1).cast("int"))
+    c = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), category.alias("category"))
+    return c.select("id", "category", classify.group_of_category(F.col("category")).alias("grp"), classify.cat_has_sizes(F.col("category")).alias("has_sizes"))

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.functions.classify import detect_genders
 from vitrine.operators.catalog_query import CatalogQuery
 
 SIZES = ["XS", "S", "M", "L", "XL", "2XL", "3XL"]
@@ -18,6 +19,8 @@ HEXES = ["#111111", "#f0efea", "#8a8a86", "#cdbfa2", "#b03030", "#d1789b", "#4a7
 STYLES = ["streetwear", "basic", "ravewear", "minimalist", "y2k", "techwear"]
 CATEGORY = {"ECONOMY": "TİŞÖRT", "SMALL": "HOODIE", "MEDIUM": "CEKET", "PROMO": "ÇANTA", "STANDARD": "PANTOLON", "LARGE": "ELBİSE"}
 GROUP = {"TİŞÖRT": "ÜST GİYİM", "HOODIE": "ÜST GİYİM", "CEKET": "DIŞ GİYİM", "ÇANTA": "AKSESUAR", "PANTOLON": "ALT GİYİM", "ELBİSE": "ELBİSE"}
+#: What stands after a product's name for the rules that find whom it is for.
+FOR_WHOM = ["erkek", "kadın", "unisex", "oversize", ""]
 CURRENCY = {"EUROPE": "EUR", "AMERICA": "USD"}
 
 
@@ -63,7 +66,8 @@ def part_condition(q: CatalogQuery) -> Column | None:
     types = [t for t, c in CATEGORY.items() if c == q.category]
     found = [F.col("p_type").isin(types)] if types else []
     found += [F.col("p_brand").isin(q.brands)] if q.brands else []
-    found += [F.greatest(*[F.shiftright("p_size", STYLES.index(s)).bitwiseAND(1) for s in q.styles if s in STYLES]) == 1] if len([s for s in q.styles if s in STYLES]) > 1 else []
+    styles = [F.shiftright("p_size", STYLES.index(s)).bitwiseAND(1) == 1 for s in q.styles if s in STYLES]
+    found += [reduce(lambda a, b: a | b, styles)] if styles else []
     return reduce(lambda a, b: a & b, found) if found else None
 
 
@@ -115,6 +119,7 @@ def products(spark: SparkSession, sf_dir: str, where: Column | None = None) -> D
             F.filter(bits, lambda s: s.isNotNull()).alias("styles"),
             F.element_at(F.array(*map(F.lit, HEXES)), (F.col("p_size") % 10 + 1).cast("int")).alias("hex"),
         )
+        .withColumn("genders", detect_genders(F.concat_ws(" ", "name", F.element_at(F.array(*map(F.lit, FOR_WHOM)), (F.col("pos") % 5 + 1).cast("int"))), F.col("category"), F.col("sizes")))
     )
 
 
@@ -136,14 +141,25 @@ product AS (
          coalesce(list_transform(lines, lambda x: {sql_list(SIZES)}[x]), []) AS sizes,
          coalesce(list_transform(cids, lambda x: {sql_list(COLORS)}[x]), []) AS color_tags,
          list_filter({sql_list(STYLES)}, lambda s, i: (p_size >> CAST(i - 1 AS INTEGER)) & 1 = 1) AS styles,
-         {sql_list(HEXES)}[p_size % 10 + 1] AS hex
+         {sql_list(HEXES)}[p_size % 10 + 1] AS hex,
+         CASE WHEN p_partkey % 5 = 0 THEN ['erkek'] WHEN p_partkey % 5 = 1 THEN ['kadin'] WHEN p_partkey % 5 <> 2 AND p_type = 'LARGE' THEN ['kadin'] WHEN p_partkey % 5 IN (2, 3) THEN ['kadin', 'erkek']
+              WHEN len(lines) >= 2 AND list_min(lines) >= 3 AND list_max(lines) >= 5 THEN ['erkek'] ELSE ['kadin', 'erkek'] END AS genders
   FROM part LEFT JOIN per ON pid = p_partkey)"""
 
 
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a product is called, from the part table alone: (id, name, brand, brand_slug, category)."""
+    slug = F.lower(F.replace("p_brand", F.lit("#"), F.lit("-")))
+    category = lookup(CATEGORY, F.col("p_type"), "DİĞER")
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), slug.alias("brand_slug"), category.alias("category")
+    )
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product views and click-outs: (pos, ts, day, measure, kind, session, product_id, product_name, brand, brand_slug, category)."""
     raw = table(spark, sf_dir, "events").filter(F.col("event_type").isin("view", "click", "purchase"))
-    cols = products(spark, sf_dir).select(F.col("id").alias("product_id"), F.col("name").alias("product_name"), "brand", "brand_slug", "category")
+    cols = named(spark, sf_dir).withColumnsRenamed({"id": "product_id", "name": "product_name"})
     view = F.col("event_type") == "view"
     return (
         raw.select(

@@ -15,6 +15,7 @@ from vitrine.plans.analytics import sql_band
 from vitrine.plans.catalog import PRODUCT_SQL, brand_score, products, rand_sql, sql_list, table
 from vitrine.plans.ranking import CAT_W, N_GRADED, case
 from vitrine.plans.state import RECORDS, records
+from vitrine.sources import stores
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -244,17 +245,37 @@ def merge_prefs(spark, sf_dir):
 
 @query(
     "S12_shop_records",
-    """SELECT p_partkey AS id, p_size % 2 = 0 OR p_size % 3 = 0 AS in_stock, CASE WHEN p_size % 2 <> 0 AND p_size % 3 = 0 THEN 12.0::DOUBLE ELSE 10.0::DOUBLE END AS price,
-    CASE WHEN p_size % 2 = 0 AND p_size % 3 <> 0 THEN 'S' WHEN p_size % 2 <> 0 AND p_size % 3 = 0 THEN 'M' ELSE 'M,S' END AS sizes FROM part""",
+    """WITH v AS (SELECT p_partkey AS id, p_partkey % 4 AS form, color, size, price, picture, (p_size >> k) & 1 = 1 AS live FROM part,
+        (VALUES ('Red', 'S', 10.0, 0, 'red.jpg'), ('Red', 'M', 12.0, 1, 'red.jpg'), ('Blue', 'S', 14.0, 2, 'blue.jpg'), ('Blue', 'M', 16.0, 3, 'blue.jpg')) AS t(color, size, price, k, picture)),
+    r AS (SELECT id, form, CASE WHEN form < 3 THEN color ELSE '' END AS color, bool_or(live) AS in_stock, coalesce(min(price) FILTER (live), min(price))::DOUBLE AS price,
+        array_to_string(CASE WHEN form = 2 THEN [] WHEN form = 3 THEN ['S', 'M'] WHEN bool_or(live) THEN list_sort(list(DISTINCT size) FILTER (live), 'DESC') ELSE ['S', 'M'] END, ',') AS sizes,
+        CASE WHEN form = 1 THEN any_value(picture) ELSE 'a.jpg' END AS image FROM v GROUP BY 1, 2, 3) SELECT id, color, in_stock, price, sizes, image FROM r""",
 )
 def shop_records(spark, sf_dir):
-    """Landed JSON pages flattened to one record a product and colour."""
-    variant = lambda size, price, live: F.struct(F.lit("Red").alias("option1"), F.lit(size).alias("option2"), F.lit(price).alias("price"), live.alias("available"))
-    variants = F.array(variant("S", "10", F.col("p_size") % 2 == 0), variant("M", "12", F.col("p_size") % 3 == 0))
-    images = F.array(F.struct(F.lit("a.jpg").alias("src")))
-    product = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.lit("h").alias("handle"), variants.alias("variants"), images.alias("images"))
+    """Landed product lists: sizes under a name that says nothing, before or after the colour, no sizes, no colour."""
+    text = F.lit
+    rows = [("Red", "S", "10", 0), ("Red", "M", "12.00", 1), ("Blue", "S", "14", 2), ("Blue", "M", "16", 3)]
+    form = F.col("p_partkey") % 4
+    option = lambda name, at, *v: F.struct(name.alias("name"), F.lit(at).alias("position"), F.array(*map(text, v)).alias("values"))
+    sizes, colors = ("S", "M"), ("Red", "Blue")
+    options = (
+        F.when(form == 0, F.array(option(text("Beyaz"), 1, *sizes), option(text("Colour"), 2, *colors)))
+        .when(form == 1, F.array(option(text("Renk"), 1, *colors), option(text("Boyut"), 2, *sizes)))
+        .when(form == 2, F.array(option(text("Renk"), 1, *colors)))
+        .otherwise(F.array(option(text("Boyut"), 1, *sizes)))
+    )
+
+    def variant(color: str, size: str, price: str, k: int):
+        one = F.when(form.isin(0, 3), size).otherwise(color)
+        two = F.when(form == 0, color).when(form == 1, size)
+        live = F.shiftright("p_size", k).bitwiseAND(1) == 1
+        return F.struct(F.lit(k).cast("long").alias("id"), one.alias("option1"), two.alias("option2"), text(price).alias("price"), live.alias("available"))
+
+    tied = lambda u, *ids: F.struct(text(u).alias("src"), F.when(form == 1, F.array(*map(F.lit, ids))).alias("variant_ids"))
+    images = F.array(tied("a.jpg", 99), tied("red.jpg", 0, 1), tied("blue.jpg", 2, 3))
+    product = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), text("h").alias("handle"), options.alias("options"), F.array(*(variant(*r) for r in rows)).alias("variants"), images.alias("images"))
     pages = parts(spark, sf_dir).select(F.col("p_brand").alias("brand"), F.to_json(F.struct(F.array(product).alias("products"))).alias("body"))
-    return sources.shopify_records(pages).select("id", "in_stock", "price", F.array_join("sizes", ",").alias("sizes"))
+    return stores.shopify_records(pages).select("id", "color", "in_stock", "price", F.array_join("sizes", ",").alias("sizes"), "image")
 
 
 @query("S15_minor_units", f"SELECT {ID}, (p_size * 100 + 5) / 100.0::DOUBLE AS price FROM part")

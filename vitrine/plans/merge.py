@@ -104,21 +104,33 @@ def color_tags(spark, sf_dir):
     return merge.with_color_tags(products(spark, sf_dir).select("id"), tags).select("id", F.array_join("color_tags", "|").alias("tags"))
 
 
-LINKS = """WITH e AS (SELECT p_partkey AS pos, p_brand AS brand_slug, string_split(p_name, ' ')[2] AS category, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' ' || ['kırmızı', 'ekru', 'buz mavi'][p_size % 3 + 1] ELSE '' END AS norm FROM part),
+#: What every third name ends in: colours, and words that are none.
+TAILS = [
+    "kırmızı", "ekru", "buz mavi", "lacivert", "kapşonlu", "islemeli", "dugmeli", "paca", "paçalı", "cocuk", "kadin", "buyuk", "kalin", "astarli", "şardonlu", "sardonlu",
+    "yikamali", "gomlek", "sort", "canta", "sapka", "corap", "siyah xl",
+]
+LINKS = f"""WITH e AS (SELECT p_partkey AS pos, 'b' || (p_partkey % 4) AS brand_slug, string_split(p_name, ' ')[2] AS category, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' ' || {sql_list(TAILS)}[p_partkey % {len(TAILS)} + 1] ELSE '' END AS norm FROM part),
     f AS (SELECT brand_slug, norm AS head, min(pos) AS base_pos, arg_min(category, pos) AS base_category FROM e GROUP BY 1, 2),
-    t AS (SELECT pos AS child_pos, brand_slug, category, k, array_to_string(w[len(w) - k + 1:], ' ') AS label, array_to_string(w[:len(w) - k], ' ') AS head FROM (SELECT *, string_split(norm, ' ') AS w FROM e), range(1, 3) r(k) WHERE k < len(w)),
-    m AS (SELECT child_pos, arg_min(base_pos, k) AS base_pos, arg_min(label, k) AS label FROM t JOIN f USING (brand_slug, head) WHERE base_category = category AND base_pos <> child_pos GROUP BY 1),
+    t AS (SELECT pos AS child_pos, brand_slug, category, k, w[len(w) - k + 1:] AS tail, array_to_string(w[:len(w) - k], ' ') AS head FROM (SELECT *, string_split(norm, ' ') AS w FROM e), range(1, 3) r(k) WHERE k < len(w)),
+    u AS (SELECT * EXCLUDE (tail), array_to_string(tail, ' ') AS label FROM t WHERE NOT list_has_any(tail, {sql_list(resolve.NOT_A_COLOR)}) AND NOT regexp_matches(array_to_string(tail, ' '), '(^| )[0-9]+( |$)')),
+    m AS (SELECT child_pos, arg_min(base_pos, k) AS base_pos, arg_min(label, k) AS label FROM u JOIN f USING (brand_slug, head) WHERE base_category = category AND base_pos <> child_pos GROUP BY 1),
     g AS (SELECT * FROM m WHERE base_pos NOT IN (SELECT child_pos FROM m)), l AS (SELECT * FROM g WHERE base_pos IN (SELECT base_pos FROM g GROUP BY 1 HAVING count(DISTINCT label) >= 2))"""
 
 
 def suffix_links(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(entries, links) of names that are another name with a colour after it."""
     p = table(spark, sf_dir, "part")
-    tail = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), F.element_at(F.array(F.lit("kırmızı"), F.lit("ekru"), F.lit("buz mavi")), (F.col("p_size") % 3 + 1).cast("int")))).otherwise("")
-    e = p.select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("brand_slug"), F.split("p_name", " ")[1].alias("category"), resolve.norm_name(F.concat("p_name", tail)).alias("norm"))
+    tail = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), F.element_at(F.array(*map(F.lit, TAILS)), (F.col("p_partkey") % len(TAILS) + 1).cast("int")))).otherwise("")
+    slug = F.concat(F.lit("b"), F.col("p_partkey") % 4)
+    e = p.select(F.col("p_partkey").alias("pos"), slug.alias("brand_slug"), F.split("p_name", " ")[1].alias("category"), resolve.norm_name(F.concat("p_name", tail)).alias("norm"))
     return e, resolve.link_suffixes(e)
 
 
+@query("J09_link_suffixes", f"{LINKS} SELECT base_pos, child_pos, label FROM l")
+def link_suffixes(spark, sf_dir):
+    return suffix_links(spark, sf_dir)[1]
+
+
 @query("J11_absorbed", f"{LINKS} SELECT pos, norm FROM e WHERE pos NOT IN (SELECT child_pos FROM l)")
 def absorbed(spark, sf_dir):
     e, links = suffix_links(spark, sf_dir)

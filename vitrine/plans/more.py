@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vitrine.functions.classify import cat_has_sizes
 from vitrine.functions.sizes import sort_sizes
 from vitrine.functions.text import seed_of
 from vitrine.plans.catalog import COLORS, GROUP, PRODUCT_SQL, SIZES, products, sql_list, table, variants
@@ -35,11 +36,16 @@ def live_brands(spark, sf_dir):
     return products(spark, sf_dir).groupBy("brand", "brand_slug").agg(F.max("in_stock").alias("live"))
 
 
-@query("P08_sizeless", f"{P} SELECT id, CASE WHEN category = 'ÇANTA' THEN 0 ELSE len(sizes) END AS n FROM product")
+#: Categories with and without sizes, dealt over the parts.
+SOME_CATEGORIES = ["TAKI", "GÖZLÜK", "SAAT", "CÜZDAN", "AKSESUAR", "ÇANTA", "ŞAPKA", "KEMER", "ÇORAP", "TİŞÖRT", "AYAKKABI"]
+
+
+@query("P08_sizeless", f"{P} SELECT id, CASE WHEN {sql_list(SOME_CATEGORIES)}[pos % 11 + 1] IN ('TAKI', 'GÖZLÜK', 'SAAT', 'CÜZDAN', 'AKSESUAR') THEN '' ELSE array_to_string(sizes, '|') END AS sizes FROM product")
 def sizeless(spark, sf_dir):
-    """Categories without sizes lose them."""
-    sizes = F.when(F.col("category") == "ÇANTA", F.array().cast("array<string>")).otherwise(F.col("sizes"))
-    return products(spark, sf_dir).select("id", F.size(sizes).alias("n"))
+    """Jewellery, glasses, watches, wallets and accessories lose their sizes; bags, caps, belts and socks keep them."""
+    category = F.element_at(F.array(*map(F.lit, SOME_CATEGORIES)), (F.col("pos") % len(SOME_CATEGORIES) + 1).cast("int"))
+    sizes = F.when(cat_has_sizes(category), F.col("sizes")).otherwise(F.array().cast("array<string>"))
+    return products(spark, sf_dir).select("id", F.array_join(sizes, "|").alias("sizes"))
 
 
 @query("N05_default_variant", f"""{P}, r AS (SELECT pid, sid, vprice, len(lines) AS n, row_number() OVER (PARTITION BY pid ORDER BY vstock DESC, CASE WHEN vstock THEN len(lines) ELSE 0 END DESC, sid) AS k FROM variant)

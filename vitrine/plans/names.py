@@ -190,7 +190,7 @@ def synonyms(spark, sf_dir):
 
 
 SHOWN = ["Gri Melanj", "Açık Mavi", "Siyah/Beyaz", "Siyah - mavisi", "-", "Nefti", "Kırmızı, Bordo", "black red", "Xyz", "", "koyu  yeşili"]
-COLOR_ROWS = ", ".join(f"('{n}', '{f}')" for f, ns in NAMES.items() for n in ns)
+COLOR_ROWS = ", ".join(f"('{n}', '{f}')" for n, f in NAMES.items())
 
 
 @query(

@@ -82,6 +82,7 @@ FILTERS = {
     "F01_category": (C.CatalogQuery(category="HOODIE", in_stock_only=False), "category = 'HOODIE'"),
     "F02_default_feed": (C.CatalogQuery(in_stock_only=False), FEED),
     "F03_styles": (C.CatalogQuery(styles=["y2k", "techwear"], in_stock_only=False), f"{FEED} AND list_has_any(styles, ['y2k', 'techwear'])"),
+    "F04_genders": (C.CatalogQuery(genders=["erkek"], in_stock_only=False), f"{FEED} AND list_contains(genders, 'erkek')"),
     "F05_brands": (C.CatalogQuery(brands=["Brand#2", "Brand#9"], in_stock_only=False), f"{FEED} AND brand IN ('Brand#2', 'Brand#9')"),
     "F06_colors_all": (C.CatalogQuery(colors=["siyah", "mor"], in_stock_only=False), f"{FEED} AND list_has_all(color_tags, ['siyah', 'mor'])"),
     "F07_sizes_any": (C.CatalogQuery(sizes=["XS", "3XL"], in_stock_only=False), f"{FEED} AND list_has_any(sizes, ['XS', '3XL'])"),
@@ -113,6 +114,38 @@ for _name, (_q, _order, _where) in SORTS.items():
     )(partial(lambda q, spark, sf_dir: C.run(products(spark, sf_dir), q).select("id", "brand", "place"), _q))
 
 
+#: Old and new forms of the same links.
+LINKS = [
+    ("kategori=ceket&marka=brand-2,brand-9&stok=tumu&beden=M&sirala=fiyat&yon=azalan", "cat=CEKET&brand=Brand%232,Brand%239&tukenmis=1&size=M&sort=F%C4%B0YAT&dir=desc"),
+    ("fiyat=2k-4k&renk=mavi&tarz=basic&kim=kadin&sirala=tarih&stok=tumu", "price=2&color=mavi&style=basic&gender=kadin&sort=TAR%C4%B0H&dir=asc&tukenmis=1&cat=T%C3%9CM+%C3%9CR%C3%9CNLER"),
+    ("q=hot&stok=tumu&sirala=marka&sayfa=2", "q=hot&tukenmis=1&sort=MARKA&page=2"),
+]
+WHERE = [
+    ("category = 'CEKET' AND brand IN ('Brand#2', 'Brand#9') AND list_contains(sizes, 'M')", "price_min DESC NULLS LAST", 1),
+    (f"{FEED} AND price_min <= 4000 AND price_max >= 2000 AND list_contains(color_tags, 'mavi') AND list_contains(styles, 'basic') AND list_contains(genders, 'kadin')", "day ASC NULLS LAST", 1),
+    ("contains(name, 'hot')", "brand ASC NULLS LAST", 2),
+]
+P01_SQL = " UNION ALL ".join(
+    f"SELECT {k} AS link, id, place FROM (SELECT id, row_number() OVER (ORDER BY in_stock DESC, {order}, pos) AS place FROM product WHERE {where}) WHERE place > {(page - 1) * C.PAGE} AND place <= {page * C.PAGE}"
+    for k, (where, order, page) in enumerate(WHERE)
+)
+
+
+def linked_pages(form: int, spark, sf_dir):
+    """The pages that product links lead to, in today's form (0) or as old links have it (1)."""
+    roster = [r[0] for r in table(spark, sf_dir, "part").select("p_brand").distinct().collect()]  # brands, not products
+    found = None
+    for k, link in enumerate(LINKS):
+        q = C.CatalogQuery.parse(link[form], roster)
+        page = C.run(products(spark, sf_dir, part_condition(q)), q).select(F.lit(k).alias("link"), "id", "place")
+        found = page if found is None else found.unionByName(page)
+    return found
+
+
+query("P01_product_links", f"{P} {P01_SQL}")(partial(linked_pages, 0))
+query("P01_old_links", f"{P} {P01_SQL}")(partial(linked_pages, 1))
+
+
 @query(
     "O06_page_count",
     f"{P} SELECT count(*) AS matched, CAST(ceil(count(*) / {C.PAGE}) AS BIGINT) AS pages FROM product WHERE {FEED} AND in_stock",

@@ -91,24 +91,6 @@ def color_suspects(spark, sf_dir):
     return resolve.color_suspects(v).groupBy("pid", "c").agg(F.count("*").alias("n"), F.max("color_suspect").alias("color_suspect"))
 
 
-@query("J09_link_suffixes")
-def link_suffixes(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    tail = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), F.element_at(F.array(F.lit("kırmızı"), F.lit("ekru"), F.lit("buz mavi")), (F.col("p_size") % 3 + 1).cast("int")))).otherwise("")
-    entries = p.select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("brand_slug"), F.split("p_name", " ")[1].alias("category"), resolve.norm_name(F.concat("p_name", tail)).alias("norm"))
-    return resolve.link_suffixes(entries)
-
-
-SQL["J09_link_suffixes"] = """WITH e AS (SELECT p_partkey AS pos, p_brand AS brand_slug, string_split(p_name, ' ')[2] AS category,
-    p_name || CASE WHEN p_partkey % 3 = 0 THEN ' ' || ['kırmızı', 'ekru', 'buz mavi'][p_size % 3 + 1] ELSE '' END AS norm FROM part),
-    f AS (SELECT brand_slug, norm AS head, min(pos) AS base_pos, arg_min(category, pos) AS base_category FROM e GROUP BY 1, 2),
-    t AS (SELECT pos AS child_pos, brand_slug, category, k, array_to_string(w[len(w) - k + 1:], ' ') AS label, array_to_string(w[:len(w) - k], ' ') AS head
-          FROM (SELECT *, string_split(norm, ' ') AS w FROM e), range(1, 3) r(k) WHERE k < len(w)),
-    m AS (SELECT child_pos, arg_min(base_pos, k) AS base_pos, arg_min(label, k) AS label FROM t JOIN f USING (brand_slug, head) WHERE base_category = category AND base_pos <> child_pos GROUP BY 1),
-    g AS (SELECT * FROM m WHERE base_pos NOT IN (SELECT child_pos FROM m))
-    SELECT base_pos, child_pos, label FROM g WHERE base_pos IN (SELECT base_pos FROM g GROUP BY 1 HAVING count(DISTINCT label) >= 2)"""
-
-
 @query("F13_route", "SELECT p_partkey AS id, CASE WHEN p_brand IN ('Brand#1', 'Brand#7') THEN 'MARKA' WHEN p_type = 'PROMO' THEN 'AYAKKABI' WHEN p_size <= 4 THEN 'COCUK' END AS archive_reason FROM part")
 def route(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(

@@ -38,26 +38,6 @@ def read_brands(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("styles", F.filter(F.split("style", ";"), lambda s: s != "")).drop("style")
 
 
-def shopify_records(pages: DataFrame) -> DataFrame:
-    """Landed product pages (brand, body JSON) to one record per product and colour.
-
-    Sizes and price come from the variants in stock, from all if none is.
-    """
-    variant = "struct<option1:string,option2:string,price:string,available:boolean>"
-    schema = f"products array<struct<id:long,title:string,handle:string,variants:array<{variant}>,images:array<struct<src:string>>>>"
-    p = pages.select("brand", F.explode(F.from_json("body", schema)["products"]).alias("p"))
-    v = p.select("brand", F.col("p.id").alias("id"), F.col("p.title").alias("name"), F.col("p.images.src").alias("images"), F.posexplode("p.variants").alias("at", "v"))
-    v = v.select("brand", "id", "name", "images", "at", F.coalesce("v.option1", F.lit("")).alias("color"), F.col("v.option2").alias("size"), F.col("v.price").cast("double").alias("price"), F.coalesce("v.available", F.lit(False)).alias("live"))
-    any_live = F.max("live")
-    g = v.groupBy("brand", "id", "name", "images", "color").agg(
-        any_live.alias("in_stock"),
-        F.min(F.when(F.col("live"), F.col("price"))).alias("live_price"), F.min("price").alias("any_price"),
-        F.array_sort(F.collect_set(F.when(F.col("live"), F.col("size")))).alias("live_sizes"), F.array_sort(F.collect_set("size")).alias("any_sizes"),
-    )
-    pick = lambda a, b: F.when(F.col("in_stock"), F.col(a)).otherwise(F.col(b))
-    return g.select("brand", "id", "name", "color", "images", "in_stock", pick("live_price", "any_price").alias("price"), pick("live_sizes", "any_sizes").alias("sizes"))
-
-
 def woo_price(minor: F.Column, digits: F.Column) -> F.Column:
     """A price in minor units."""
     return minor.cast("double") / F.pow(F.lit(10.0), digits)

@@ -50,6 +50,59 @@ def pick_sizes(options: Column, values: str = "values") -> Column:
     return let(like, lambda found: F.coalesce(first(F.filter(found, lambda o: o["name"].rlike(P.SIZE_NAME))), first(found)))
 
 
+# -- product lists of one shop system --------------------------------------------------------------------------
+
+COLOR_NAME = r"(?i)renk|color|colour"
+SHOP_VARIANT = "struct<id:long,option1:string,option2:string,option3:string,price:string,available:boolean,featured_image:struct<src:string>>"
+SHOP_PRODUCT = f"""struct<id:long,title:string,handle:string,product_type:string,options:array<struct<name:string,position:int,`values`:array<string>>>,
+    variants:array<{SHOP_VARIANT}>,images:array<struct<src:string,variant_ids:array<long>>>>"""
+
+
+def option_value(variant: Column, option: Column) -> Column:
+    """A variant's trimmed value of an option; empty without one."""
+    given = F.array(variant["option1"], variant["option2"], variant["option3"])
+    return F.trim(F.coalesce(F.try_element_at(given, option["position"]), F.lit("")))
+
+
+def shopify_records(pages: DataFrame) -> DataFrame:
+    """Landed product lists (brand, body JSON) to one record per product and colour.
+
+    The size option is found by its values, its name decides among several; the colour option by its name, never the
+    same option.  Colours are what the variants say, else the option's list.  Sizes and the least price come from the
+    colour's variants in stock, from all of them if none is; its pictures are those tied to its variants.  All of it is
+    array work within a product: no shuffle.
+    """
+    some = F.array().cast(f"array<{SHOP_VARIANT}>")
+    p = pages.select("brand", F.explode(F.from_json("body", f"products array<{SHOP_PRODUCT}>")["products"]).alias("p"))
+    p = p.select("brand", "p.*").filter(F.size("images") > 0).withColumn("variants", F.coalesce("variants", some)).withColumn("size_option", pick_sizes(F.col("options")))
+    is_color = lambda o: o["name"].rlike(COLOR_NAME) & ~F.coalesce(o["position"] == F.col("size_option.position"), F.lit(False))
+    p = p.withColumn("color_option", first(F.filter("options", is_color)))
+    colors = F.array_distinct(F.filter(F.transform("variants", lambda v: option_value(v, F.col("color_option"))), lambda c: c != ""))
+    colors = F.when(F.col("color_option").isNull(), no_texts()).when(F.size(colors) > 0, colors).otherwise(F.coalesce("color_option.values", no_texts()))
+    p = p.withColumn("colors", colors).withColumn("one", F.size("colors") == 0)
+    p = p.withColumn("color", F.explode(F.when(F.col("one"), F.array(F.lit(""))).otherwise(F.col("colors"))))
+    p = p.withColumn("mine", F.when(F.col("one"), F.col("variants")).otherwise(F.filter("variants", lambda v: option_value(v, F.col("color_option")) == F.col("color"))))
+    p = p.withColumn("live", F.filter("mine", lambda v: F.coalesce(v["available"], F.lit(False))))
+    p = p.withColumn("src", F.when(F.size("live") > 0, F.col("live")).otherwise(F.col("mine")))
+    sized = F.col("size_option").isNotNull()
+    sizes = (
+        F.when(sized & F.col("one"), normalize_sizes(F.col("size_option.values")))
+        .when(sized, normalize_sizes(F.transform("src", lambda v: option_value(v, F.col("size_option")))))
+        .when(F.col("one"), known_sizes(F.transform("variants", lambda v: F.trim(F.coalesce(v["option1"], F.lit(""))))))
+        .otherwise(no_texts())
+    )
+    every = F.col("images.src")
+    tied = F.filter("images", lambda i: F.arrays_overlap(F.coalesce(i["variant_ids"], F.array().cast("array<long>")), F.col("mine.id")))["src"]
+    tied = F.when(F.col("one"), no_texts()).otherwise(F.array_distinct(tied))
+    shown = first(F.filter(F.transform("mine", lambda v: v["featured_image"]["src"]), lambda u: u.isNotNull()))
+    image = F.coalesce(first(tied), F.when(~F.col("one"), shown), every[0])
+    prices = F.filter(F.transform("src", lambda v: parse_number(v["price"])), lambda x: x > 0)
+    return p.select(
+        "brand", "id", F.trim("title").alias("name"), "color", image.alias("image"), F.slice(F.array_distinct(F.concat(F.array(image), tied, every)), 1, MAX_IMAGES).alias("images"),
+        sizes.alias("sizes"), (F.size("live") > 0).alias("in_stock"), F.array_min(prices).alias("price"),
+    )
+
+
 # -- pages with structured data ------------------------------------------------------------------------------
 
 MODEL = """struct<productActive:boolean, productPriceStr:string, productPriceKDVIncluded:string, productPrice:string, totalStockAmount:string,
