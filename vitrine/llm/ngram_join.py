@@ -9,8 +9,9 @@ set moves on for every one of its shingles whose hash, drawn anew for the node,
 settled by brute force on small sketches; larger ones are split further; what is still large at the last
 level stays together.  Enough trees are grown that a pair at the threshold meets with probability
 `recall`.  What met is gathered into candidate clusters, and inside these every pair of sets is compared
-exactly, block by block, as products of membership matrices.  Blocks return links counted per set and a
-spanning forest, never pairs.
+whole, shingle by shingle, block by block, as products of membership matrices.  Blocks return links counted
+per set and a spanning forest, never pairs.  Shingles are told apart by 64-bit hashes throughout: of the
+million different ones that a block can hold, two are equal in about one block of 40 million.
 
 Result: one row per document with its class, the number of links of its set to different sets, and the
 number of documents with its set.
@@ -111,20 +112,19 @@ def first_level(docs: DataFrame, trees: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(_row, size, tokens, sketch): sets as sorted 32-bit hashes, and the least hash in each of 64 bins as a byte (0: none)."""
+    """(_row, size, tokens, sketch): sets as sorted 64-bit hashes, and the least hash in each of 64 bins as a byte (0: none)."""
 
     def run(batches):
         for whole in batches:
             for lot in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
                 size, sets, sketches = [], [], []
                 for _, tokens in shingle_sets(unpack(lot.column(1).to_pylist())):
-                    short = (tokens >> np.uint64(32)).astype(np.uint32)  # sorted as the tokens are
-                    bins = short >> np.uint32(26)
+                    bins = (tokens >> np.uint64(58)).astype(np.uint8)
                     lead = np.append(True, bins[1:] != bins[:-1])[: len(bins)]
                     sketch = np.zeros(BINS, np.uint8)
                     sketch[bins[lead]] = mix(tokens[lead]) % np.uint64(255) + np.uint64(1)
                     size.append(len(tokens))
-                    sets.append(short.tobytes())
+                    sets.append(tokens.tobytes())
                     sketches.append(sketch.tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [lot.column(0), pa.array(size, pa.int64()), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())],
@@ -218,7 +218,7 @@ def children(batches):
     for lot in batches:
         row, path = [], []
         for r, nodes, data in zip(lot.column(0).to_pylist(), lot.column(1).to_pylist(), lot.column(2).to_pylist(), strict=True):
-            tokens = mix(np.frombuffer(data, np.uint32).astype(np.uint64) + np.uint64(1 << 40))
+            tokens = mix(np.frombuffer(data, np.uint64) + np.uint64(1 << 40))
             found = chosen(tokens, np.array(nodes, np.int64).view(np.uint64))[1]
             row.append(np.full(len(found), r, np.int64))
             path.append(found.view(np.int64))
@@ -265,7 +265,7 @@ def compare(batches):
         block, i, j = (rows.column(c).to_numpy() for c in ("block", "i", "j"))
         tokens = rows.column("tokens")
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            sets = [np.frombuffer(x, np.uint32) for x in tokens.slice(a, b - a).to_pylist()]
+            sets = [np.frombuffer(x, np.uint64) for x in tokens.slice(a, b - a).to_pylist()]
             parts = tiles(np.flatnonzero(block[a:b] == i[a]), size[a:b])
             others = None if i[a] == j[a] else tiles(np.flatnonzero(block[a:b] == j[a]), size[a:b])
             out = []
