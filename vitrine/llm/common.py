@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="vitrine-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -81,11 +81,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def release(*staged: DataFrame) -> None:
     """Remove the files of results of stage() whose last reader has been written."""
     for df in staged:
-        _remove(df.sparkSession, df._vitrine_path)
-        _STAGED.remove((df.sparkSession, df._vitrine_path))
+        discard(df.sparkSession, df._vitrine_path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a path of new_path()."""
+    remove(spark, path)
+    _STAGED.remove((spark, path))
+
+
+def remove(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -95,27 +100,27 @@ def _remove_staged() -> None:
     """Best effort: a session that has already stopped leaves its folder to the cluster's clean-up."""
     for spark, path in _STAGED:
         try:
-            _remove(spark, path)
+            remove(spark, path)
         except Exception:  # noqa: BLE001
             return
 
 
 _SHIPPED: set[str] = set()
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, as --py-files would.
 
-    Rows here hold whole texts, so the default of 10,000 rows to an Arrow batch is lowered; a value that the
-    user has chosen stays.
+    Rows here hold whole texts, so the session's Arrow batches have 1000 rows from then on, unless their size was set.
     """
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(rows) == "10000":
-        spark.conf.set(rows, "1000")
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH_ROWS):
+        spark.conf.set(BATCH_ROWS, "1000")
     if spark.sparkContext.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parents[2]
-        base = Path(tempfile.mkdtemp(prefix="vitrine-"), "vitrine_package")
-        spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", root, "vitrine"))
+        folder = tempfile.mkdtemp(prefix="vitrine-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/vitrine_package", "zip", root, "vitrine"))
         _SHIPPED.add(spark.sparkContext.applicationId)
 
 

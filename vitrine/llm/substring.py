@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vitrine.llm.common import new_path, own_shuffles, packed, release, ship, stage, unpack
+from vitrine.llm.common import discard, new_path, own_shuffles, packed, release, remove, ship, stage, unpack
 from vitrine.llm.exact_dedup import exact_dedup, read_of_files, with_row
 from vitrine.llm.grams import Words, sliding_min, small_groups
 
@@ -51,8 +51,10 @@ KEY = ["h1", "h2"]
 class FingerprintIndex:
     """Immutable runs of (h1, h2, first), the smallest id known for each window, as bucketed and sorted tables.
 
-    folder: where the index is kept; one that is there is opened.  Without a folder it lasts as long as the
-    application.  buckets: of each run, fixed when the index is made (default: the number of shuffle partitions).
+    folder: where the index is kept; one that is there is opened.  Without a folder it goes when it is closed.
+    buckets: of each run, fixed when the index is made (default: the number of shuffle partitions).
+    Runs are in the session's catalogue while they are worked with; close() takes them out, and the files of
+    runs that a later version no longer lists go with it.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, most_runs: int = 4, buckets: int | None = None) -> None:
@@ -60,6 +62,7 @@ class FingerprintIndex:
         self.folder = folder or new_path(spark, "index")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
+        self.written: list[str] = []  # and not among the runs
         self.version = 0
         if folder:
             self._open()
@@ -73,12 +76,15 @@ class FingerprintIndex:
             return
         for r in newest:
             self.version, self.buckets = r["version"], r["buckets"]
-            self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {r['run']} (h1 BIGINT, h2 INT, first BIGINT, _new BOOLEAN, _hit BOOLEAN, _run BIGINT) USING parquet "
-                f"CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{r['run']}'"
-            )
             self.runs.append(r["run"])
 
+    def table(self, run: str) -> DataFrame:
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {run} (h1 BIGINT, h2 INT, first BIGINT, _new BOOLEAN, _hit BOOLEAN, _run BIGINT) USING parquet "
+            f"CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{run}'"
+        )
+        return self.spark.table(run)
+
     def _write(self, rows: DataFrame) -> str:
         name = f"vitrine_run_{uuid.uuid4().hex}"
         with own_shuffles(self.spark):
@@ -94,13 +100,14 @@ class FingerprintIndex:
             rows.coalesce(1).write.mode("append").json(f"{self.folder}/runs")
 
     def entries(self, run: str) -> DataFrame:
-        return self.spark.table(run).filter("_new").select(*KEY, "first")
+        return self.table(run).filter("_new").select(*KEY, "first")
 
     def merge(self, batch: DataFrame, last: bool = False) -> DataFrame:
         """batch: (_run, h1, h2, lo, hi), the smallest and largest id of each window in a run of rows.
 
         Returns (_run, h1, h2, first) for the windows that some document of the run has after an earlier
-        one, and adds the batch to the index, unless it is the last that there will be.
+        one, and adds the batch to the index, unless it is the last that there will be.  What it returns can be
+        read until the index is closed.
         """
         known = batch.repartition(self.buckets, *KEY)
         for k, run in enumerate(self.runs):
@@ -113,7 +120,9 @@ class FingerprintIndex:
         told = told.withColumn("first", F.least("_here", "_old"))
         told = told.select(*KEY, "first", new.alias("_new"), (F.col("first") < F.col("hi")).alias("_hit"), "_run")
         run = self._write(told.filter("_hit" if last else "_hit or _new"))
-        if not last:
+        if last:
+            self.written.append(run)
+        else:
             self.runs.append(run)
             if len(self.runs) > self.most_runs:
                 self.compact()
@@ -127,8 +136,20 @@ class FingerprintIndex:
             found = found.unionByName(self.entries(run))
         one = found.groupBy(*KEY).agg(F.min("first").alias("first"))
         one = one.select(*KEY, "first", F.lit(True).alias("_new"), F.lit(False).alias("_hit"), F.lit(None).cast("long").alias("_run"))
+        self.written += self.runs
         self.runs = [self._write(one)]
 
+    def close(self) -> None:
+        """Leave nothing in the catalogue, and no files but those of a kept index's runs."""
+        for run in [*self.runs, *self.written]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")  # its files stay where they are
+        for run in self.written:
+            remove(self.spark, f"{self.folder}/{run}")
+        self.written = []
+        if not self.kept:
+            discard(self.spark, self.folder)
+            self.runs = []
+
 
 def least_grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(least gram, valid) of each window."""
@@ -334,10 +355,8 @@ def remove_repeats(
         sides = packed(rows).groupBy("_run").cogroup(told.groupBy("_run"))
         sifted = stage(sides.applyInArrow(sift, OUT_DDL), "sifted")
         release(grams)
-    span = docs.agg(F.min(id_col).alias("a"), F.max(id_col).alias("b")).first()
-    low, high = span["a"] or 0, span["b"] or 0
-    bounds = sorted({low + (high - low + 1) * k // batches for k in range(1, batches)})
     open_rows = sifted.filter(F.col("kind") == OPEN)
+    bounds = batch_bounds(open_rows, batches)
     seen = index or FingerprintIndex(docs.sparkSession)
     hits = None
     for k, (a, b) in enumerate(zip([None, *bounds], [*bounds, None], strict=True)):
@@ -348,4 +367,13 @@ def remove_repeats(
     done = sifted.filter(F.col("kind") == DONE)
     kept_text = F.when(F.col("n_removed") > 0, F.coalesce(F.col("text").cast("string"), F.lit("")))
     both = [x.select(F.col("_id").alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_sha256"), *([kept_text.alias("kept_text")] if with_text else [])) for x in (done, cut_rows)]
-    return both[0].unionByName(both[1])
+    result = stage(both[0].unionByName(both[1]), "kept")
+    seen.close()
+    release(sifted)
+    return result
+
+
+def batch_bounds(rows: DataFrame, batches: int) -> list[int]:
+    """Ids that cut rows (_id) in batches of about as many rows each; fewer where an id has more than a batch."""
+    found = rows.agg(F.percentile_approx("_id", F.array(*(F.lit(k / batches) for k in range(1, batches))), F.lit(10_000)).alias("q")).first()["q"] if batches > 1 else []
+    return sorted(set(found or []))
