@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vitrine.llm.common import map_texts, stage
+from vitrine.llm.exact_dedup import read_of_files
 
 Config = tuple[int, ...]
 OUTSIDE = re.compile("[^\\x00-\u024f\u2000-\u206f]")
@@ -248,7 +249,9 @@ def pack(
     """
     spark, key = pieces.sparkSession, ["_len", "_bucket"]
     buckets = max(buckets, pieces.count() // 100_000)
-    bucket = F.pmod(F.xxhash64(*pieces.columns), F.lit(buckets)).cast("int").alias("_bucket")
+    pieces = read_of_files(pieces)
+    place = F.struct(pieces.metadataColumn("_metadata").getField("file_path"), pieces.metadataColumn("_metadata").getField("row_index"))
+    bucket = F.pmod(F.xxhash64(place), F.lit(buckets)).cast("int").alias("_bucket")  # repeated rows are dealt over all buckets
     cells = pieces.select(F.col(length_col).cast("long").alias("_len"), bucket).groupBy("_len", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # at most capacity x buckets cells, so one window over each length's buckets is small
     before = F.sum("_n").over(Window.partitionBy("_len").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -270,8 +273,8 @@ def pack(
     met = cells.join(slots_df, "_len").filter((F.col("_from") < F.col("_base") + F.col("_n")) & (F.col("_to") > F.col("_base")))
     met = met.groupBy("_len", "_bucket", "_base").agg(F.sort_array(F.collect_list(F.struct("_from", "_each", "_first", "_offset"))).alias("_slots"))
     names = [F.col(f"`{c}`") for c in pieces.columns]
-    numbered = pieces.select(F.struct(*names).alias("_piece"), F.col(length_col).cast("long").alias("_len"), bucket)
-    inside = F.row_number().over(Window.partitionBy(*key).orderBy("_piece")) - 1
+    numbered = pieces.select(F.struct(*names).alias("_piece"), F.col(length_col).cast("long").alias("_len"), bucket, place.alias("_place"))
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy("_place")) - 1
     # both sides are dealt by length and bucket, so the join moves no piece again
     placed = numbered.withColumn("_in", inside).join(met, key).withColumn("_rank", F.col("_base") + F.col("_in"))
     placed = placed.withColumn("_s", F.expr("element_at(filter(_slots, s -> s._from <= _rank), -1)"))
