@@ -36,10 +36,12 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
 
 
 def training_text(
-    docs: DataFrame, usable: Column, per_language: int = 24, enough_chars: int = 24_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, usable: Column, per_language: int = 24, enough_chars: int = 24_000, most_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> dict[str, str]:
     """A sample of at most per_language rows of each language: the bound of what is learned from.  Texts are learned whole.
 
+    Only the most_languages values of lang that most rows have are languages; a dirty column may hold any number of others.
+
     A text with letters goes by its hash to one of per_language buckets, and of each bucket the text with the
     smallest seed is picked, so copies of a text are one pick; a plain aggregation of narrow columns, so no
     language's rows meet in one task.  In the order of seeds, rows are taken until they have enough_chars
@@ -47,6 +49,8 @@ def training_text(
     """
     rows = docs.filter(usable).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{lang_col}`").alias("_lang"), F.col(f"`{text_col}`").alias("_text"))
     rows = rows.filter(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}") & F.col("_id").isNotNull()).withColumn("_hash", F.xxhash64("_text"))
+    common = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(most_languages).select("_lang")
+    rows = rows.join(F.broadcast(common), "_lang", "left_semi")  # most_languages rows
     seed = F.xxhash64("_hash", F.lit("train"))
     pick = F.struct(seed.alias("seed"), "_id", "_hash", F.length("_text").alias("n"))
     chosen = rows.groupBy("_lang", F.pmod(F.xxhash64("_hash", F.lit("bucket")), F.lit(per_language)).alias("_b")).agg(F.min(pick).alias("p"))
