@@ -27,7 +27,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import map_texts
@@ -271,16 +271,18 @@ def features(samples: bytes, found: list[tuple[int, int, str]]) -> str:
     return f"{kind}:{RATE}:{len(x)}:{int(x.sum(dtype=np.int64))}:{energy}:{crossings}:{inside}"
 
 
-def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None) -> DataFrame:
     """Store each text as media, sniff the stored bytes, read the payload back from them and describe both.
 
-    The stored column comes from a text column and is declared as one (declared_type); media_type is what the
-    bytes show, corrected whether that differs, n_carved how many media are embedded in them.
+    declared: the type that each row's media is said to have (null: none said; default: text, as the column was one);
+    media_type is what the bytes show, corrected whether that differs, n_carved how many media are embedded in them.
     """
+    said = (F.lit(DECLARED) if declared is None else declared).cast("string")
+    rows = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), said.alias("declared")).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
 
     def make():
         def run(texts):
-            out = {n: [] for n in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared_type", "media_type", "corrected", "n_carved")}
+            out = {n: [] for n in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "n_carved")}
             for t in texts:
                 raw = (t or "").encode("utf-8", "replace")
                 media = wave(padded(raw))
@@ -298,9 +300,7 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         len(media),
                         hashlib.sha256(media).hexdigest(),
                         features(payload, found),
-                        DECLARED,
                         kind,
-                        kind != DECLARED,
                         sum(s > 0 for s, _, _ in found),
                     ),
                     strict=True,
@@ -319,9 +319,8 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ("media_bytes", *long),
         ("media_sha256", *text),
         ("feature", *text),
-        ("declared_type", *text),
         ("media_type", *text),
-        ("corrected", "boolean", pa.bool_()),
         ("n_carved", *long),
     ]
-    return map_texts(docs, make, cols, id_col, text_col)
+    found = map_texts(rows, make, cols, "_row", "_text").select(F.col("_row.id").alias(id_col), F.col("_row.declared").alias("declared_type"), *(n for n, *_ in cols))
+    return found.withColumn("corrected", (F.col("media_type") != "unknown") & ~F.col("media_type").eqNullSafe(F.col("declared_type")))

@@ -44,7 +44,9 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(table(spark, sf_dir, "documents"))
+    """Declared types are right, wrong or missing, by the text alone."""
+    said = F.element_at(F.array(*map(F.lit, ["audio/wav", "text/plain", "image/png", None])), (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) % 4 + 1).cast("int"))
+    return media_digests(table(spark, sf_dir, "documents"), declared=said)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
