@@ -8,7 +8,8 @@ and checks.  More candidates (secrets, bank accounts, identity and local phone n
    (top-level domains, calling and area codes, issuers, account countries, key prefixes), words before it
    (context), and variety of its characters;
 2. the counts by kind, votes and features, a table whose size does not depend on the corpus, go to the driver,
-   where expectation-maximisation estimates each labeler's reliability and a probability for each vote;
+   where expectation-maximisation estimates each labeler's reliability and a probability for each vote; strict form
+   and gazetteer, which know much the same, are one witness with a joint table of outcomes;
 3. a logistic span classifier is fitted to those probabilities on kind, votes and features of the span itself
    (length, digits, separators, case, a context word close by), so it can also tell apart spans with equal votes;
    as a column expression it decides, in a second pass over the texts, which candidates are spans too.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -261,28 +263,40 @@ class SpanClassifier:
         return 1 / (1 + F.exp(-z))
 
 
+#: Labelers that look at the same thing are one witness, whose outcomes are judged jointly: form and gazetteer share most of
+#: what they know (for secrets one implies the other), so their agreement must not count twice.
+WITNESSES = [(0, 1), (2,), (3,)]
+
+
 def estimate(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 60) -> tuple[dict, list[tuple[float, float]]]:
-    """EM for two classes and independent labelers, a prior by kind; probabilities by entry, reliabilities by labeler."""
+    """EM for two classes and independent witnesses, a prior by kind; probabilities by entry, (hits, false alarms) by labeler.
+
+    A witness says one of 2 ** k outcomes; their shares in each class begin as if its labelers were independent and
+    are re-estimated as a whole, two pseudo-rows of that beginning added.
+    """
     kinds = {kind for kind, _ in counts}
     prior = dict.fromkeys(kinds, 0.7)
-    hit, alarm = [0.8] * LABELERS, [0.3] * LABELERS
+    start = [{o: math.prod(q if x else 1 - q for x in o) for o in product((0, 1), repeat=len(w))} for q in (0.8, 0.3) for w in WITNESSES]
+    shares = [start[: len(WITNESSES)], start[len(WITNESSES) :]]  # of the outcomes, where a span is personal data and where not
+    begun = [[dict(t) for t in side] for side in shares]
+    said = {v: [tuple(v[k] for k in w) for w in WITNESSES] for _, v in counts}
     p = {}
     for _ in range(rounds):
         for kind, v in counts:
-            yes, no = prior[kind], 1 - prior[kind]
-            for k in range(LABELERS):
-                yes *= hit[k] if v[k] else 1 - hit[k]
-                no *= alarm[k] if v[k] else 1 - alarm[k]
+            yes, no = (prior[kind], 1 - prior[kind])
+            for w, o in enumerate(said[v]):
+                yes, no = yes * shares[0][w][o], no * shares[1][w][o]
             p[kind, v] = yes / (yes + no) if yes + no else 0.5
         for kind in kinds:
             total = sum(n for (q, _), n in counts.items() if q == kind)
             prior[kind] = (sum(n * p[q, v] for (q, v), n in counts.items() if q == kind) + 1.4) / (total + 2)
-        yes = sum(n * p[x] for x, n in counts.items())
-        no = sum(n * (1 - p[x]) for x, n in counts.items())
-        for k in range(LABELERS):
-            hit[k] = (sum(n * p[x] for x, n in counts.items() if x[1][k]) + 1.6) / (yes + 2)
-            alarm[k] = (sum(n * (1 - p[x]) for x, n in counts.items() if x[1][k]) + 0.6) / (no + 2)
-    return p, list(zip(hit, alarm, strict=True))
+        for side, weight in enumerate((lambda x: p[x], lambda x: 1 - p[x])):
+            whole = sum(n * weight(x) for x, n in counts.items()) + 2
+            for w, table in enumerate(shares[side]):
+                for o in table:
+                    table[o] = (sum(n * weight(x) for x, n in counts.items() if said[x[1]][w] == o) + 2 * begun[side][w][o]) / whole
+    of = lambda side, k: sum(share for w, labelers in enumerate(WITNESSES) if k in labelers for o, share in shares[side][w].items() if o[labelers.index(k)])
+    return p, [(of(0, k), of(1, k)) for k in range(LABELERS)]
 
 
 def fit_spans(counts: dict[tuple[str, tuple[int, ...], tuple[int, ...]], int], steps: int = 400, rate: float = 0.5) -> SpanClassifier:
