@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import stage, table
+from vitrine.llm.common import release, stage, table
 from vitrine.llm.exact_dedup import drop_copies
 from vitrine.llm.langid import keep_identified, training_text
 from vitrine.llm.ngram_join import keep_one
@@ -55,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents.  A stage's documents go once the next stage's are written."""
     docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+    for k, (name, step) in enumerate(STAGES[:-1]):
+        before, docs = docs, stage(step(spark, docs, sf_dir), name)
+        if k:
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
