@@ -7,16 +7,19 @@ import re
 from collections import Counter, defaultdict
 from urllib.parse import unquote, urlparse
 
+import numpy as np
 import pytest
 from helpers import SCHEMA, documents, texts
 from pyspark.sql import functions as F
 
+from vitrine.llm import common
 from vitrine.llm import exact_dedup as exact_module
 from vitrine.llm import ngram_join as near_module
+from vitrine.llm.common import packed
 from vitrine.llm.components import components
 from vitrine.llm.exact_dedup import drop_copies, exact_dedup
-from vitrine.llm.ngram_join import keep_one, ngram_join, trees_for
-from vitrine.llm.substring import LONG, FingerprintIndex, remove_repeats
+from vitrine.llm.ngram_join import full_sets, keep_one, links_between, ngram_join, shingle_sets, trees_for
+from vitrine.llm.substring import LONG, FingerprintIndex, batch_bounds, remove_repeats
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -198,6 +201,29 @@ def test_runs_are_joined_where_they_lie(spark):
     assert text.count("SortMergeJoin") == 3 and text.count("Exchange") == 1
 
 
+def test_index_leaves_nothing_behind(spark, tmp_path):
+    """No table in the catalogue, no file of a run; of a kept index the runs of its last version alone."""
+    df, _ = documents(spark, tmp_path)
+    before = {p for _, p in common._STAGED}
+    remove_repeats(df, batches=6).collect()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("vitrine_run_")]
+    assert [p.split("/")[-1].split("-")[0] for _, p in common._STAGED if p not in before and "/index-" in p] == []
+    for _ in range(4):
+        index = FingerprintIndex(spark, f"{tmp_path}/index", most_runs=2, buckets=2)
+        remove_repeats(df, index=index).collect()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("vitrine_run_")]
+    assert sorted(x for x in os.listdir(f"{tmp_path}/index") if x.startswith("vitrine_run_")) == sorted(index.runs) and len(index.runs) <= 2
+
+
+def test_batches_are_cut_by_rows(spark):
+    """An id far away from all others takes no batch for itself, and one that has a third of the rows leaves fewer batches."""
+    ids = spark.createDataFrame([(k,) for k in [*range(600), 10**15]], "_id long")
+    bounds = batch_bounds(ids, 6)
+    assert len(bounds) == 5 and all(abs(b - 100 * (k + 1)) <= 2 for k, b in enumerate(bounds))
+    hot = spark.createDataFrame([(k if k < 400 else 777,) for k in range(800)], "_id long")
+    assert len(batch_bounds(hot, 6)) < 5 and batch_bounds(ids, 1) == [] and batch_bounds(ids.filter("false"), 6) == []
+
+
 def test_index_is_kept_between_calls(spark, tmp_path):
     """Three batches of documents through an index on disk, opened anew each time, as if all came at once."""
     rows = [(i, t, *[None] * 6) for i, t in enumerate(texts())]
@@ -244,6 +270,18 @@ def test_near(docs):
     assert got == Counter(near_brute(rows))
 
 
+def test_shingles_are_told_apart_by_all_their_bits(spark):
+    """Shingles whose hashes share their upper 32 bits are different ones: 9 of 11 in common is linked, 8 of 12 is not."""
+    hashes = lambda *low: np.array([(7 << 32) + x for x in low], np.uint64)
+    a, b, c = hashes(*range(10)), hashes(*range(1, 11)), hashes(*range(2, 12))
+    assert links_between([a, b, c], None).tolist() == [[False, True, False], [True, False, True], [False, True, False]]
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = spark.createDataFrame([(1, text)], "_row long, _text string")
+    got = full_sets(packed(rows)).first()
+    _, tokens = next(shingle_sets([text]))
+    assert np.frombuffer(got.tokens, np.uint64).tolist() == tokens.tolist() and len(tokens) == got["size"] == 36
+
+
 def test_near_large_nodes(docs):
     """With nodes of at most two sets everything goes down the trees to the last level."""
     df, rows = docs

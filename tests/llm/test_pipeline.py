@@ -6,6 +6,7 @@ from helpers import SCHEMA, documents
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from vitrine.llm import common
 from vitrine.llm.common import stage
 from vitrine.llm.langid import Model, training_text
 
@@ -30,7 +31,10 @@ def test_stages(spark, tmp_path):
 def test_run(spark, tmp_path):
     documents(spark, tmp_path)
     (tmp_path / "docs.parquet").rename(tmp_path / "documents.parquet")
+    before = len(common._STAGED)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    left = [path for _, path in common._STAGED[before:]]
+    assert not [x for x in left if "/language_id-" in x or "/exact_dedup-" in x or "/ngram_join-" in x] and [x for x in left if "/pii-" in x]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "ngram_join", "pii", "packing"]
 
 
@@ -58,6 +62,22 @@ def test_language_stage_follows_the_parse(spark, tmp_path, monkeypatch):
     assert corpus_pipeline.language_id(spark, df, str(tmp_path)).count() < len(got)
 
 
+def test_long_text_and_clashing_names(spark, tmp_path):
+    """A text of 20,000 words, and columns called as the stages call theirs, come through as they were."""
+    rng = random.Random(11)
+    long = " ".join("".join(rng.choice(["ka", "to", "mi", "ru"]) for _ in range(rng.randint(1, 4))) for _ in range(20_000))
+    names = ["_doc", "_text", "_id", "_run", "_t", "_sha", "_lang", "_media", "_piece"]
+    rows = [(i, t, "aa", "s", len(t), *(f"{n}{i}" for n in names)) for i, t in enumerate([long, long + " tail", long[:4000], long[4000:9000] + " mail a@b.co", long[9000:9900]])]
+    kinds = ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"{n} string" for n in names)])
+    spark.createDataFrame(rows, kinds).repartition(2).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = stage(step(spark, docs, str(tmp_path)), name)
+    got = {r.doc_id: r for r in docs.collect()}
+    assert set(got) == {0, 2, 3, 4} and got[0].text == long and got[3].text.endswith(" mail [EMAIL]") and got[3].n_chars == len(got[3].text)
+    assert all(got[i][n] == f"{n}{i}" for i in got for n in names)
+
+
 def test_empty_table(spark, tmp_path):
     documents(spark, tmp_path, [])
     (tmp_path / "docs.parquet").rename(tmp_path / "documents.parquet")

@@ -510,3 +510,70 @@ def test_queries_return_their_contract(spark, tmp_path, docs):
     packed = QUERIES["op6_best_fit_packing"](spark, str(tmp_path))
     assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and {r.doc_id for r in packed.collect()} == {i for i, *_ in rows}
     assert set(QUERIES) == {*columns, "op6_best_fit_packing"}
+
+
+def test_declared_types_of_a_column(spark, tmp_path):
+    """Right, wrong and missing declarations; the same text has the same values wherever it stands."""
+    df, _ = documents(spark, tmp_path)
+    said = F.when(F.col("doc_id") % 3 == 0, "audio/wav").when(F.col("doc_id") % 3 == 1, "image/png")
+    for r in media.media_digests(df, declared=said).collect():
+        want = None if r.doc_id is None or r.doc_id % 3 == 2 else "audio/wav" if r.doc_id % 3 == 0 else "image/png"
+        assert (r.declared_type, r.media_type, r.corrected) == (want, "audio/wav", want != "audio/wav")
+
+
+def test_reliabilities_by_plain_loops():
+    """Expectation-maximisation row by row, over the same witnesses; labelers that copy each other count once."""
+    import itertools
+
+
+    rng = random.Random(2)
+    rows = []
+    for _ in range(500):
+        true = rng.random() < 0.6
+        flip = lambda hit, alarm: int(rng.random() < (hit if true else alarm))  # noqa: E731, B023
+        form = flip(0.9, 0.3)
+        rows.append((rng.choice(["secret", "iban"]), (form, form if rng.random() < 0.95 else 1 - form, flip(0.7, 0.2), flip(0.95, 0.5))))
+    groups = [(0, 1), (2,), (3,)]
+    begin = {(side, g, o): math.prod(q if x else 1 - q for x in o) for side, q in ((1, 0.8), (0, 0.3)) for g in groups for o in itertools.product((0, 1), repeat=len(g))}
+    share, prior = dict(begin), {"secret": 0.7, "iban": 0.7}
+    for _ in range(60):
+        belief = []
+        for kind, v in rows:
+            like = {side: (prior[kind] if side else 1 - prior[kind]) * math.prod(share[side, g, tuple(v[k] for k in g)] for g in groups) for side in (0, 1)}
+            belief.append(like[1] / (like[0] + like[1]))
+        for kind in prior:
+            mine = [b for b, r in zip(belief, rows, strict=True) if r[0] == kind]
+            prior[kind] = (sum(mine) + 1.4) / (len(mine) + 2)
+        for side, g, o in begin:
+            weights = [b if side else 1 - b for b in belief]
+            met = sum(w for w, r in zip(weights, rows, strict=True) if tuple(r[1][k] for k in g) == o)
+            share[side, g, o] = (met + 2 * begin[side, g, o]) / (sum(weights) + 2)
+    p, reliability = pii.estimate(Counter(rows))
+    assert all(abs(p[r] - b) < 1e-9 for r, b in zip(rows, belief, strict=True))
+    for k, (hit, alarm) in enumerate(reliability):
+        g = next(g for g in groups if k in g)
+        for side, got in ((1, hit), (0, alarm)):
+            assert abs(got - sum(x for (s, h, o), x in share.items() if s == side and h == g and o[g.index(k)])) < 1e-9
+
+
+def test_runs_of_spaces_break_the_prefix_tables_premise():
+    """Why words with several spaces before them are merged: there a prefix's last piece does not follow from compatible pairs."""
+    vocab = pieces.vocabulary(pieces.default_model())
+
+    def by_table(word):
+        last = [None] * (len(word) + 1)
+        for end, (i, size) in vocab.automaton.iter(word):
+            end += 1
+            start = end - size
+            if last[end] is None and (start == 0 or last[start] is not None and vocab.compatible(last[start], i)):
+                last[end] = i
+        ids, n = [], len(word)
+        while n and last[n] is not None:
+            ids.append(last[n])
+            n -= len(vocab.pieces[last[n]])
+        return None if n else ids[::-1]
+
+    space = pieces.SPACE
+    runs = [space * k + w for k in range(2, 40) for w in ("", "a", "the", "word")]
+    assert [w for w in runs if by_table(w) != vocab.merge(w)]
+    assert all(by_table(w) == vocab.merge(w) for w in (space + "the", space + "word", "tion", space + "information"))
