@@ -113,10 +113,10 @@ class Vocabulary:
         """The ids of a word from its prefix table.
 
         The encoding of each prefix has one last piece: the match that ends there and is compatible
-        with the last piece of the prefix before it.  Ids are then read off from the end.
+        with the last piece of the prefix before it.  Ids are then read off from the end.  Runs of spaces,
+        whose pieces share one score, are words like others.  Were a prefix ever without a last piece, the word
+        would be merged by the definition.
         """
-        if SPACE * 2 in word:  # runs of spaces share one score, where the table's premise fails
-            return self.merge(word)
         n, fits, compatible = len(word), self.fits, self.compatible
         last = [-1] * (n + 1)
         if not self.chars.issuperset(word):
@@ -136,6 +136,8 @@ class Vocabulary:
         ids: list[int] = []
         while n:
             i = last[n]
+            if i == -1:
+                return self.merge(word)
             if i == UNKNOWN:
                 ids += self.fallback(word[n - 1])[::-1]
                 n -= 1
