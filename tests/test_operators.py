@@ -11,6 +11,7 @@ from vitrine import sources, streaming
 from vitrine.operators import catalog_query as C
 from vitrine.operators import feed, resolve, userdata
 from vitrine.sources import stores
+from vitrine.sources.runs import KeyedTable
 
 
 def plain_weave(items, rules, limit):
@@ -166,9 +167,9 @@ def test_streams(spark, tmp_path):
     votes = keyed.select(F.lit("p").alias("product_id"), F.col("key").alias("voter"), "at")
     assert run_stream(streaming.one_vote_each(votes), "votes", "append").count() == 4
     out = str(tmp_path / "table")
-    latest = streaming.upsert_batches(keyed, out, ["key"], "at", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    latest = streaming.upsert_batches(keyed, KeyedTable(spark, out, ["key"], "at"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     latest.awaitTermination(120)
-    assert spark.read.parquet(f"{out}/v0").count() == 4
+    assert KeyedTable(spark, out, ["key"], "at").read().count() == 4
 
 
 def landed_rows(spark, folder, rows, ddl):
@@ -202,6 +203,7 @@ def test_log_sinks_and_deletes(spark, tmp_path):
     for writer in streaming.log_sinks(stream, str(tmp_path / "logs"), str(tmp_path / "cp"), {"views": ["view"], "outbound": ["click"]}):
         writer.trigger(availableNow=True).start().awaitTermination()
     assert spark.read.json(str(tmp_path / "logs" / "views")).groupBy("day").count().count() == 2 and spark.read.json(str(tmp_path / "logs" / "outbound")).count() == 1
-    writer = streaming.upsert_batches(stream.select("key", "at", "gone"), str(tmp_path / "t"), ["key"], "at", str(tmp_path / "cp2"), deleted="gone")
+    table = KeyedTable(spark, str(tmp_path / "t"), ["key"], "at")
+    writer = streaming.upsert_batches(stream.select("key", "at", "gone"), table, str(tmp_path / "cp2"), deleted="gone")
     writer.trigger(availableNow=True).start().awaitTermination()
-    assert [r.key for r in spark.read.parquet(str(tmp_path / "t" / "v0")).collect()] == ["2"]
+    assert [r.key for r in table.read().collect()] == ["2"]

@@ -19,6 +19,11 @@ def latest(rows: DataFrame, keys: list[str], order: list[str], most: int | None
     return df
 
 
+def first_writers(writers: DataFrame, group: str, first: str, most: int = 500) -> DataFrame:
+    """writers (group, .., first), one row a writer of a group: the `most` of each group that wrote first; the rest find it full."""
+    return writers.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(first))).filter(F.col("_k") <= most).drop("_k")
+
+
 def toggled_votes(rows: DataFrame) -> DataFrame:
     """(product_id, votes) from presses (product_id, voter): an even number of presses takes the vote back."""
     per = rows.groupBy("product_id", "voter").agg(F.count("*").alias("presses"))

@@ -228,15 +228,25 @@ def suggestions(spark, sf_dir):
     return found.withColumn("rank", rank).filter("rank <= 6").select("needle", "kind", "v", "rank")
 
 
-@query("P14_owner_check", "SELECT o_orderkey AS id, o_orderkey % 3 <> 0 AS accepted, CASE WHEN o_orderkey % 3 <> 0 THEN 5 END AS items FROM orders")
+@query(
+    "P14_owner_check",
+    """WITH a AS (SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS foreign_, o_orderkey % 11 = 4 AS bare, o_orderkey % 7 = 1 AS new FROM orders),
+    s AS (SELECT count(*) AS n FROM a WHERE NOT new), k AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM a WHERE new AND NOT bare)
+    SELECT a.id, CASE WHEN bare THEN 'bos' WHEN NOT new AND foreign_ THEN 'sahip' WHEN new AND k > 40 THEN 'dolu' END AS error,
+           CASE WHEN error IS NULL THEN 5 END AS items, CASE WHEN error IS NULL THEN 'c0|c2|c3|c4' END AS covers FROM a LEFT JOIN k ON a.id = k.id""",
+)
 def owner_check(spark, sf_dir):
-    """A list is published anew only by its owner; ids once each, empty ones left out."""
+    """A list is published anew only by its owner, a new one while there is room for it; ids once each, four covers."""
     key = lambda c: F.sha2(c.cast("string"), 256)
     o = table(spark, sf_dir, "orders")
-    stored = o.select(F.col("o_orderkey").alias("id"), key(F.col("o_custkey")).alias("owner"))
+    stored = o.filter("o_orderkey % 7 <> 1").select(F.col("o_orderkey").alias("id"), key(F.col("o_custkey")).alias("owner"))
     ids = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.when(k == 7, "").otherwise((k % 5).cast("string")))
-    asked = o.select(F.col("o_orderkey").alias("id"), key(F.col("o_custkey") + F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)).alias("writer"), ids.alias("ids"))
-    return resolve.publish(stored, asked).select("id", "accepted", F.size("ids").alias("items")).replace(-1, None, ["items"])
+    asked = o.select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("pos"), key(F.col("o_custkey") + F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)).alias("writer"),
+        F.when(F.col("o_orderkey") % 11 == 4, F.array(F.lit(""))).otherwise(ids).alias("ids"), F.array(*map(F.lit, ["c0", "", "c2", "c3", "c4", "c5"])).alias("covers"),
+    )
+    found = resolve.publish(stored, asked, most_lists=stored.count() + 40)
+    return found.select("id", "error", F.when(F.col("accepted"), F.size("ids")).alias("items"), F.array_join("covers", "|").alias("covers"))
 
 
 @query(

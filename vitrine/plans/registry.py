@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vitrine.plans import analytics, audits, extra, files, merge, more, names, ranking, state, stores
+from vitrine.plans import analytics, audits, extra, files, landing, merge, more, names, ranking, state, stores
 
-PARTS = [analytics, ranking, state, more, extra, names, stores, merge, audits, files]
+PARTS = [analytics, ranking, state, more, extra, names, stores, merge, audits, files, landing]
 
 
 def queries() -> dict:

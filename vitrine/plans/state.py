@@ -99,14 +99,6 @@ def route(spark, sf_dir):
     return resolve.route(p, ["Brand#1", "Brand#7"]).select("id", "archive_reason")
 
 
-@query(
-    "N09_review_upsert",
-    "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_type, event_id FROM r WHERE k = 1",
-)
-def review_upsert(spark, sf_dir):
-    return userdata.latest(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
-
-
 @query(
     "T09_votes",
     """WITH p AS (SELECT json_extract_string(props, '$.k') AS product_id, user_id, count(*) AS n FROM events GROUP BY 1, 2) SELECT product_id, count(*) FILTER (n % 2 = 1) AS votes FROM p GROUP BY 1""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,8 +64,8 @@ def write_catalog(df: DataFrame, path: str, least: float = 0.6, force: bool = Fa
     return new
 
 
-def keep_last_good(old: DataFrame, new: DataFrame, least: float = 0.6) -> DataFrame:
-    """Per brand the new rows, or the old ones where the new ones are too few or lost their prices or sizes."""
+def brand_verdicts(old: DataFrame, new: DataFrame, least: float = 0.6) -> DataFrame:
+    """(brand_slug, keep_old): whether a brand's new rows are too few, or lost their prices or sizes, to replace its old ones."""
 
     def health(df: DataFrame, tag: str) -> DataFrame:
         known = F.count_if(F.col("price").isNotNull()), F.count_if(F.size("sizes") > 0)
@@ -73,11 +74,36 @@ def keep_last_good(old: DataFrame, new: DataFrame, least: float = 0.6) -> DataFr
     both = health(old, "o").join(health(new, "n"), "brand_slug", "full").na.fill(0)
     lost = lambda c: (F.col(f"o_{c}") / F.col("o_n") >= 0.5) & (F.col(f"n_{c}") / F.greatest(F.col("n_n"), F.lit(1)) < 0.2)
     bad = (F.col("o_n") > 0) & ((F.col("n_n") < least * F.col("o_n")) | lost("priced") | lost("sized"))
-    keep = both.select("brand_slug", bad.alias("keep_old"))
+    return both.select("brand_slug", bad.alias("keep_old"))
+
+
+def keep_last_good(old: DataFrame, new: DataFrame, least: float = 0.6) -> DataFrame:
+    """Per brand the new rows, or the old ones where the new ones are too few or lost their prices or sizes."""
+    keep = brand_verdicts(old, new, least)
     stay = old.join(keep.filter("keep_old"), "brand_slug", "left_semi")
     return stay.unionByName(new.join(keep.filter("keep_old"), "brand_slug", "left_anti"))
 
 
+def write_brands(new: DataFrame, path: str, report: str, least: float = 0.6) -> DataFrame:
+    """Replace the brands of a table that is partitioned by brand_slug, but for those whose new rows may not replace the old.
+
+    Only the partitions of accepted brands are written; files of refused brands, and of those that new has no rows of,
+    are not touched.  What was decided is written to `report` (brand_slug, keep_old) first, and returned.
+    """
+    spark = new.sparkSession
+    try:
+        old = spark.read.schema(new.schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        old = spark.createDataFrame([], new.schema)
+    brand_verdicts(old.join(new.select("brand_slug").distinct(), "brand_slug", "left_semi"), new, least).coalesce(1).write.mode("overwrite").parquet(report)
+    told = spark.read.parquet(report)
+    accepted = new.join(told.filter("not keep_old"), "brand_slug", "left_semi")
+    accepted.repartition("brand_slug").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("brand_slug").parquet(path)
+    return told
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of both by key; a new value wins where it is not null."""
     cols = [c for c in old.columns if c != key]

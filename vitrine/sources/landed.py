@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -134,12 +135,35 @@ def in_lots(todo: DataFrame, done_path: str, work: Callable[[DataFrame], DataFra
     done = _read(lambda: spark.read.parquet(done_path))
     left = todo if done is None else todo.join(done.select(key), key, "left_anti")
     lots = max(1, -(-left.count() // lot))
-    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(lots))
-    for k in range(lots):
-        work(left.filter(bucket == k)).write.mode("append").parquet(done_path)
+    dealt = f"{done_path.rstrip('/')}-lots-{uuid.uuid4().hex}"
+    # dealt once; a lot then reads its own partition
+    left.withColumn("_lot", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(lots))).repartition("_lot").write.partitionBy("_lot").parquet(dealt)
+    try:
+        for k in range(lots):
+            mine = spark.read.schema(left.schema).parquet(f"{dealt}/_lot={k}") if _exists(spark, f"{dealt}/_lot={k}") else None
+            if mine is not None:
+                work(mine).write.mode("append").parquet(done_path)
+    finally:
+        remove(spark, dealt)
     return spark.read.parquet(done_path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, where = _file_system(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that is no longer read."""
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
 def newest(rows: DataFrame, key: str, at: Column) -> DataFrame:
     """The newest row of each key, for read-through tables whose entries are written again when they run out."""
     names = [c for c in rows.columns if c != key]

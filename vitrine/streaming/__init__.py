@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vitrine.sources import EVENT
+from vitrine.sources.runs import KeyedTable
 
 LATE = 3600  # seconds that an event may come late; what is older than that is dropped
 
@@ -136,20 +138,80 @@ def log_sinks(events: DataFrame, folder: str, checkpoint: str, kinds: dict[str,
     ]
 
 
-def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, deleted: str | None = None):
-    """Keep the latest row of each key in a Parquet table, rewritten by micro-batch; returns the query's writer.
+def upsert_batches(stream: DataFrame, table: KeyedTable, checkpoint: str, deleted: str | None = None):
+    """Keep the latest row of each key in a keyed table; returns the query's writer.
 
-    deleted: a boolean column; a key whose latest row has it set leaves the table, and may come back.  Each batch
-    writes a new version folder; the version file of the batch id makes a repeated batch harmless.
+    deleted: a boolean column; a key whose latest row has it set leaves the table, and may come back.  A batch writes
+    itself and nothing else, and one that comes again changes nothing.
     """
-    from vitrine.operators.userdata import latest
+    return stream.writeStream.foreachBatch(lambda batch, number: table.append(batch, number, deleted) and None).option("checkpointLocation", checkpoint)
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number:
-            rows = spark.read.parquet(f"{path}/v{number - 1}").unionByName(batch)
-        kept = latest(rows, keys, [order])
-        (kept if deleted is None else kept.filter(~F.coalesce(deleted, F.lit(False)))).write.mode("overwrite").parquet(f"{path}/v{number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+class DeadImages(StatefulProcessor):
+    """Addresses marked dead for `ttl` seconds, the last `most` of a group of addresses; asks are answered by what is known.
+
+    State of a group: address -> (since when, turn), turn -> address, and the span of turns.  A mark that comes again
+    renews its time, not its turn.  With `most` known the address of the oldest turn leaves, and an event-time timer
+    takes out an address that was not marked again when its time is up; so state is bounded in size and in time.
+    """
+
+    def __init__(self, ttl: int = 12 * 3600, most: int = 20_000) -> None:
+        self.ttl, self.most = ttl, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getMapState("known", "url string", "at long, turn long")
+        self.turns = handle.getMapState("turns", "turn long", "url string")
+        self.span = handle.getValueState("span", "first long, next long, size long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        whole = pd.concat(list(rows)).sort_values(["at", "mark", "url"], kind="stable")
+        first, following, size = self.span.get() if self.span.exists() else (0, 0, 0)
+        asked = []
+        for url, when, at, mark in zip(whole["url"], whole["at"], whole["at"].astype("datetime64[us]").astype("int64"), whole["mark"], strict=True):
+            have = self.known.getValue((url,)) if self.known.containsKey((url,)) else None
+            if have is not None and at - have[0] > self.ttl * 1_000_000:  # its timer has not fired yet
+                self._forget(url, have[1])
+                size, have = size - 1, None
+            if not mark:
+                asked.append((url, when, have is not None))
+                continue
+            if have is None:
+                if size >= self.most:
+                    while not self.turns.containsKey((first,)):
+                        first += 1
+                    self._forget(self.turns.getValue((first,))[0], first)
+                    first, size = first + 1, size - 1
+                self.turns.updateValue((following,), (url,))
+                have, following, size = (at, following), following + 1, size + 1
+            self.known.updateValue((url,), (int(at), int(have[1])))
+            self.handle.registerTimer(int(at // 1000 + self.ttl * 1000 + 1))
+        self.span.update((first, following, size))
+        if asked:
+            yield pd.DataFrame({"url": [u for u, _, _ in asked], "at": [t for _, t, _ in asked], "dead": [d for _, _, d in asked]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        before = (expiredTimerInfo.getExpiryTimeInMs() - self.ttl * 1000) * 1000
+        first, following, size = self.span.get() if self.span.exists() else (0, 0, 0)
+        for (url,), (at, turn) in [(k, v) for k, v in self.known.iterator() if v[0] < before]:
+            self._forget(url, turn)
+            size -= 1
+        self.span.update((first, following, max(0, size)))
+        return iter([])
+
+    def _forget(self, url: str, turn: int) -> None:
+        self.known.removeKey((url,))
+        self.turns.removeKey((turn,))
+
+    def close(self) -> None:
+        pass
+
+
+def dead_images(rows: DataFrame, ttl: int = 12 * 3600, most: int = 20_000, groups: int = 64, late: str = "10 minutes") -> DataFrame:
+    """(url, at, dead) for asks, from rows (url, at, mark: whether it is a mark or an ask) of a stream.
+
+    Addresses are dealt to `groups` by their hash, each of which knows most / groups of them.  The state store has to
+    be RocksDB (spark.sql.streaming.stateStore.providerClass).
+    """
+    dealt = rows.withWatermark("at", late).withColumn("part", F.pmod(F.xxhash64("url"), F.lit(groups)).cast("int"))
+    return dealt.groupBy("part").transformWithStateInPandas(DeadImages(ttl, max(1, most // groups)), "url string, at timestamp, dead boolean", "Append", "EventTime")
