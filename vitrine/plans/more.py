@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vitrine.functions import logos
 from vitrine.functions.classify import cat_has_sizes
 from vitrine.functions.sizes import sort_sizes
 from vitrine.functions.text import seed_of
+from vitrine.operators import resolve
 from vitrine.plans.catalog import COLORS, GROUP, PRODUCT_SQL, SIZES, products, sql_list, table, variants
 
 Q: dict = {}
@@ -58,11 +60,77 @@ def default_variant(spark, sf_dir):
     return v.filter("k = 1").select("pid", "sid", F.col("vprice").alias("price"), F.size("lines").alias("n"))
 
 
-@query("O12_sorted_sizes", f"SELECT p_partkey AS id, array_to_string([{sql_list(SIZES)}[i] FOR i IN range(1, p_size % 7 + 2)], ',') AS sizes FROM part")
+#: Sizes of every kind, in their order.
+MIXED = ["XS", "S", "M", "3XL", "28", "36", "104", "Çok büyük", "dar", "ılık", "ince", "Şişman", "uzun", "Üst"]
+
+
+@query("O12_sorted_sizes", f"SELECT p_partkey AS id, array_to_string([{sql_list(MIXED)}[i] FOR i IN range(1, {len(MIXED) + 1}) IF (i + p_size) % 4 > 0], ',') AS sizes FROM part")
 def sorted_sizes(spark, sf_dir):
-    ladder = F.array(*map(F.lit, SIZES))
-    some = F.shuffle(F.slice(ladder, 1, (F.col("p_size") % 7 + 1).cast("int")))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(sort_sizes(some), ",").alias("sizes"))
+    """Shuffled sizes back in order: the ladder, numbers by value, then words, where ç, ı, ş and ü stand after c, before i, after s and u."""
+    some = F.filter(F.array(*map(F.lit, MIXED)), lambda x: (F.array_position(F.array(*map(F.lit, MIXED)), x) + F.col("p_size")) % 4 > 0)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(sort_sizes(F.shuffle(some)), ",").alias("sizes"))
+
+
+TOWNS = ["Çınar", "Cem", "Iğdır", "İnci", "Işık", "Ilgaz", "Öz", "Oz", "Şal", "Sal", "Ülkü", "Ulu", "Zil", "Ğ"]
+
+
+@query("O14_brand_index", f"WITH b AS (SELECT DISTINCT {sql_list(TOWNS)}[p_partkey % {len(TOWNS)} + 1] || ' ' || p_brand AS name FROM part) SELECT name, row_number() OVER (ORDER BY name COLLATE tr) AS place FROM b")
+def brand_index(spark, sf_dir):
+    """Brands in Turkish alphabetical order."""
+    name = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, TOWNS)), (F.col("p_partkey") % len(TOWNS) + 1).cast("int")), "p_brand")
+    names = table(spark, sf_dir, "part").select(name.alias("name")).distinct()
+    order = Window.partitionBy(F.lit(0)).orderBy(F.collate("name", "tr"))  # brands, not products
+    return names.withColumn("place", F.row_number().over(order))
+
+
+WRITTEN = ["SİYAH Tee", "Tee - AÇIK MAVİ", "Açık Yaka GRİ", "Ti\u0307şört Beyaz / Navy", "Kırmızı", "Gri̇ Gömlek", "SI\u0307YAH | Mont", "Mor  Bluz – Mor", "Yeşilimsi Kazak", "LACİVERT/haki Şort"]
+CLEAN = ["Tee", "Tee", "Açık Yaka", "Ti\u0307şört", "Kırmızı", "Gömlek", "Mont", "Bluz", "Yeşilimsi Kazak", "Şort"]
+
+
+@query("X08_clean_names", f"SELECT p_partkey AS id, {sql_list(CLEAN)}[p_partkey % 10 + 1] || ' ' || p_partkey AS name FROM part WHERE p_partkey % 10 <> 4 UNION ALL SELECT p_partkey, 'Kırmızı' FROM part WHERE p_partkey % 10 = 4")
+def clean_names(spark, sf_dir):
+    """Colour words cut from names as they are written, İ and combining dots among them; a name of colours only stays."""
+    raw = F.element_at(F.array(*map(F.lit, WRITTEN)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    shown = resolve.clean_name(F.when(F.col("p_partkey") % 10 == 4, raw).otherwise(F.regexp_replace(raw, "(Tee|Yaka|Ti\u0307şört|Gömlek|Mont|Bluz|Kazak|Şort)", F.concat(F.lit("$1 "), F.col("p_partkey").cast("string")))))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), shown.alias("name"))
+
+
+@query(
+    "A38_logo_inversion",
+    """WITH r AS (SELECT doc_id, doc_id % 4 AS form, length(coalesce(text, '')) % 256 AS n FROM documents)
+    SELECT doc_id, CASE form WHEN 0 THEN n / 255.0 > 0.5 WHEN 1 THEN n / 255.0 < 0.45 WHEN 2 THEN 0.2126 * n / 255.0 < 0.45 ELSE false END AS inverted FROM r""",
+)
+def logo_inversion(spark, sf_dir):
+    """Rasters made of documents: a box of one grey, a grey mark, a red mark, a bright coloured one, the last three on nothing."""
+    d = table(spark, sf_dir, "documents")
+    n = F.lpad(F.hex(F.length(F.coalesce("text", F.lit(""))) % 256), 2, "0")
+    form = F.col("doc_id") % 4
+    pixel = F.when(form < 2, F.concat(n, n, n, F.lit("FF"))).when(form == 2, F.concat(n, F.lit("0000FF"))).otherwise(F.concat(n, F.lit("FF00FF")))
+    clear = F.repeat(F.lit("00000000"), 96)
+    raster = F.unhex(F.when(form == 0, F.repeat(pixel, 256)).otherwise(F.concat(clear, F.repeat(pixel, 64), clear)))
+    return d.select("doc_id", logos.decide_invert(raster, F.lit(16)).alias("inverted"))
+
+
+HEADS = [
+    '<img class="site-logo" src="/a/mark.png?v=1" width="160"><link rel="apple-touch-icon" sizes="180x180" href="/touch.png"><meta property="og:image" content="/hero.jpg">',
+    "<img src='/img/LOGO.jpg' alt=x><img src=/pay/logo_visa.png><link rel='shortcut icon' href='data:x'><link rel=icon href=//c.com/i.ico>",
+    '<script type="application/ld+json">{"@graph":[{"@type":"Organization","logo":{"url":"https://c.com/l.svg"}}]}</script><img alt="Logo" srcset="s.png 100w, b.png 400w"><meta name="og:logo" content="touch.png">',
+    '<img id="logo" src="/brand-x.svg" width="32"><img id="logo" src="/brand-x.svg" width="400"><script type="application/ld+json">{no</script>',
+]
+RANKED = [
+    [("https://s.com/a/mark.png?v=1", 112), ("https://s.com/touch.png", 91), ("https://s.com/hero.jpg", 30), ("https://s.com/favicon.ico", 10)],
+    [("https://s.com/img/LOGO.jpg", 75), ("https://c.com/i.ico", 45), ("https://s.com/favicon.ico", 10)],
+    [("https://s.com/p/touch.png", 75), ("https://c.com/l.svg", 70), ("https://s.com/p/b.png", 43), ("https://s.com/favicon.ico", 10)],
+    [("https://s.com/brand-x.svg", 95), ("https://s.com/favicon.ico", 10)],
+]
+
+
+@query("O18_logo_candidates", " UNION ALL ".join(f"SELECT page_id, {k + 1} AS place, '{u}' AS url, {n} AS score FROM pages WHERE page_id % 4 = {m}" for m, rows in enumerate(RANKED) for k, (u, n) in enumerate(rows)))
+def ranked_logos(spark, sf_dir):
+    """Candidates of pages with pictures, icons, structured data and meta tags in their heads, the best first."""
+    head = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("page_id") % 4 + 1).cast("int"))
+    found = logos.logo_candidates(F.concat(head, "html"), F.lit("https://s.com/p/"), F.lit("brand-of"))
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("at", "c")).select("page_id", (F.col("at") + 1).alias("place"), "c.url", "c.score")
 
 
 @query("O10_public_lists", "WITH r AS (SELECT o_orderkey AS id, o_totalprice AS views, count(*) OVER () AS total, row_number() OVER (ORDER BY o_totalprice DESC, o_orderdate DESC, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F') SELECT * FROM r WHERE place BETWEEN 21 AND 40")
