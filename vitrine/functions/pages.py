@@ -212,3 +212,39 @@ def best_offer(offers: Column, own: Column) -> Column:
     return F.coalesce(least(live), least(offers), parse_number(own))
 
 
+SIZE_HINT = r"(?i)beden|size|numara|\bus\b|\beu\b|\buk\b"
+SIZE_WORD = r"(?i)<(?:button|label|li|span|a|div)\b[^>]*>\s*(?:xxs|xs|s|m|l|xl|xxl|xxxl|2xl|3xl|4xl)\s*</(?:button|label|li|span|a|div)>"
+
+
+def data_nodes(html: Column) -> Column:
+    """array<variant>: the top nodes of a page's structured data, of lists and graphs too; blocks that don't parse are left out."""
+    raw = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]+type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1))
+    parsed = F.filter(F.transform(raw, lambda b: F.try_parse_json(F.trim(b))), lambda v: v.isNotNull())
+    one = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$['@graph']", "array<variant>"), F.array(v))
+    return F.flatten(F.transform(parsed, one))
+
+
+def probe_page(html: Column) -> Column:
+    """struct of what can be read from a product page as it stands: its data node, price, currency, colour, sizes, picture and shop system."""
+    text = lambda v, path: F.try_variant_get(v, path, "string")
+    some = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+    kind = lambda v: (text(v, "$['@type']") == "Product") | F.coalesce(F.array_contains(F.try_variant_get(v, "$['@type']", "array<string>"), "Product"), F.lit(False))
+    node = F.try_element_at(F.filter(data_nodes(html), lambda v: F.coalesce(kind(v), F.lit(False))), F.lit(1))
+    meta = lambda name: F.nullif(F.regexp_extract(html, rf"(?i)<meta[^>]+(?:property|name)=[\"']{name}[\"'][^>]+content=[\"']([^\"']+)[\"']", 1), F.lit(""))
+    of_offer = lambda name: F.coalesce(text(node, f"$.offers[0].{name}"), text(node, f"$.offers.{name}"))
+    called = lambda pattern: F.exists(some(node, "$.additionalProperty"), lambda v: F.coalesce(text(v, "$.name"), F.lit("")).rlike(pattern))
+    has = lambda c: F.coalesce(c, F.lit(False))
+    sized = text(node, "$.size").isNotNull() | F.exists(some(node, "$.hasVariant"), lambda v: text(v, "$.size").isNotNull()) | called(SIZE_HINT)
+    return F.struct(
+        node.isNotNull().alias("jsonld"),
+        F.lower(meta("og:type")).alias("og_type"),
+        F.coalesce(of_offer("price"), of_offer("lowPrice"), text(node, "$.price"), meta("product:price:amount")).alias("price"),
+        F.coalesce(of_offer("priceCurrency"), meta("product:price:currency")).alias("currency"),
+        has(text(node, "$.color").isNotNull() | called("(?i)renk|color")).alias("color"),
+        has(sized).alias("size_in_data"),
+        F.exists(F.regexp_extract_all(html, F.lit(r"(?i)<select\b([^>]*)>"), F.lit(1)), lambda a: a.rlike(SIZE_HINT)).alias("size_select"),
+        html.rlike(SIZE_WORD).alias("size_button"),
+        (meta("og:image").isNotNull() | has(F.try_variant_get(node, "$.image", "variant").isNotNull())).alias("image"),
+        html.rlike("productDetailModel").alias("model"),
+        html.rlike(r"__IKAS|window\.__NEXT_DATA__").alias("state"),
+    )

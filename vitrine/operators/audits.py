@@ -66,3 +66,60 @@ def candidate_domains(names: DataFrame, endings: list[str]) -> DataFrame:
     forms = F.array_distinct(F.array(F.regexp_replace("slug", "-", ""), F.col("slug")))
     urls = F.flatten(F.transform(forms, lambda f: F.array(*[F.concat(F.lit("https://"), f, F.lit(e)) for e in endings])))
     return names.select("slug", F.posexplode(urls).alias("place", "url"))
+
+
+def import_histograms(products: DataFrame) -> DataFrame:
+    """(what, value, n): an import's categories, currencies and genders (two are unisex), from one pass over the products."""
+    gender = F.when(F.size("genders") >= 2, "unisex").otherwise(F.col("genders")[0])
+    entry = lambda what, value: F.struct(F.lit(what).alias("what"), value.alias("value"))
+    each = products.select(F.explode(F.array(entry("category", F.col("category")), entry("currency", F.col("currency")), entry("gender", gender))).alias("e"))
+    return each.groupBy("e.what", "e.value").agg(F.count("*").alias("n"))
+
+
+def scrape_totals(roster: DataFrame, records: DataFrame) -> DataFrame:
+    """One row: brands, records, and the brands of the roster (slug) that gave no records (slug), as their number and by name."""
+    per = roster.join(records.groupBy("slug").agg(F.count("*").alias("n")), "slug", "left").na.fill(0, ["n"])
+    none = F.array_sort(F.collect_list(F.when(F.col("n") == 0, F.col("slug"))))  # names of brands
+    return per.agg(F.count("*").alias("brands"), F.sum("n").alias("records"), F.count_if(F.col("n") == 0).alias("empty"), F.array_join(none, ",").alias("empty_brands"))
+
+
+def discovery_lift(head: DataFrame, live: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """One row: each measure's mean in the head of a feed against all that is live, the head's brands, and the largest share of one."""
+    means = lambda df, tag: df.agg(*(F.avg(c).alias(f"{tag}_{n}") for n, c in measures.items()))
+    brands = head.groupBy("brand_slug").agg(F.count("*").alias("n")).agg(F.count("*").alias("brands"), (F.max("n") / F.sum("n")).alias("largest_share"))
+    lifts = [F.when(F.col(f"all_{n}") > 0, F.col(f"head_{n}") / F.col(f"all_{n}")).otherwise(0.0).alias(n) for n in measures]
+    return means(head, "head").crossJoin(means(live, "all")).crossJoin(brands).select(*lifts, "brands", "largest_share")  # one row each
+
+
+def price_drift(products: DataFrame, live: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """live (id, live) outside its product's range (id, price, price_min, price_max) by more than the tolerance, on either side."""
+    met = live.join(products.select("id", "price", F.coalesce("price_min", "price").alias("low"), F.coalesce("price_max", "price").alias("high")), "id")
+    fits = (F.col("live") >= F.col("low") * (1 - tolerance)) & (F.col("live") <= F.col("high") * (1 + tolerance))
+    return met.filter(~fits)
+
+
+def outfit_totals(lines: DataFrame) -> DataFrame:
+    """(outfit, total, all_priced, currency) of lines (outfit, pos, price, currency); the currency is that of the first with a price."""
+    priced = F.col("price").isNotNull()
+    return lines.groupBy("outfit").agg(
+        F.coalesce(F.sum("price"), F.lit(0)).alias("total"), F.every(priced).alias("all_priced"), F.min_by("currency", F.when(priced, F.col("pos"))).alias("currency")
+    )
+
+
+def bump_views(stored: DataFrame, seen: DataFrame) -> DataFrame:
+    """stored (id, views) with the views since (id, one row each) added; views of lists that are not there don't count."""
+    since = seen.groupBy("id").agg(F.count("*").alias("_since"))
+    return stored.join(since, "id", "left").withColumn("views", F.col("views") + F.coalesce("_since", F.lit(0))).drop("_since")
+
+
+def dominant(rows: DataFrame, group: str, value: str, at: Column) -> DataFrame:
+    """(group, value, n): the most frequent value of each group, of equals the one that was seen first."""
+    counts = rows.groupBy(group, value).agg(F.count("*").alias("n"), F.min(at).alias("_first"))
+    return counts.groupBy(group).agg(F.max_by(value, F.struct(F.col("n"), -F.col("_first"))).alias(value), F.max("n").alias("n"))
+
+
+def chosen_brands(brands: DataFrame, only: list[str] | None = None, skip: list[str] | None = None, platform: str | None = None) -> DataFrame:
+    """brands (slug, platform) that a run is asked for."""
+    for wanted in ([F.col("slug").isin(only)] if only else []) + ([~F.col("slug").isin(skip)] if skip else []) + ([F.col("platform") == platform] if platform else []):
+        brands = brands.filter(wanted)
+    return brands

@@ -7,6 +7,7 @@ tail, all other rows, is ordered by window functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -101,11 +102,15 @@ def weave_rows(rows: pd.DataFrame, rules: Rules, limit: int) -> list[int]:
 TAIL_LOT = 100_000  # keys of the tail are about as many as its rows
 
 
-def weave(df: DataFrame, mode: str, seed: str, limit: int = 400) -> DataFrame:
-    """df with place (from 1): woven picks first, then the tail spread by stride."""
+def weave(df: DataFrame, mode: str, seed: str, limit: int = 400, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """df with place (from 1): woven picks first, then the tail spread by stride.
+
+    keep: stores what is read several times (the scored rows, the picks) and gives it back, so that each is worked out once.
+    """
     rules, limit = RULES[mode], min(WEAVE_LIMIT, max(limit, 400))
     within = Window.partitionBy("brand_slug").orderBy(F.desc("s"), "pos")
     df = df.withColumn("_lane", F.row_number().over(within)).withColumn("tone", tone_class(F.col("hex")))
+    df = keep(df.select("pos", "brand_slug", "category", "tone", "s", "_lane"), "scored")
     heads = df.filter(F.col("_lane") <= limit).select("brand_slug", "category", "tone", "s", "pos")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +119,7 @@ def weave(df: DataFrame, mode: str, seed: str, limit: int = 400) -> DataFrame:
         return pd.DataFrame({"pos": rows["pos"].iloc[picks].to_numpy(), "pick": range(1, len(picks) + 1)})
 
     # one group: at most `limit` rows of each brand, and each pick depends on all before it
-    picked = heads.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, "pos long, pick long")
+    picked = keep(heads.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, "pos long, pick long"), "picks")
     df = df.join(picked, "pos", "left")
     left = Window.partitionBy("brand_slug")
     tail = df.filter(F.col("pick").isNull()).withColumn("_i", F.row_number().over(left.orderBy("_lane")) - 1).withColumn("_n", F.count("*").over(left))

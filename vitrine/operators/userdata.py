@@ -70,3 +70,11 @@ def accept_versions(stored: DataFrame, writes: DataFrame) -> DataFrame:
     """writes with accepted: only those whose base version is the one stored."""
     s = stored.select("key", F.col("version").alias("stored"))
     return writes.join(s, "key", "left").withColumn("accepted", F.col("stored").isNull() | (F.col("stored") <= F.col("base")))
+
+
+def list_page(lists: DataFrame, order: str, page: int = 1, size: int = 20) -> DataFrame:
+    """(id, views, total, place) of a page of lists (id, views, at): the newest first ("new"), or by views, then date ("views")."""
+    keys = ([F.desc("views")] if order == "views" else []) + [F.desc("at"), F.asc("id")]
+    shown = lists.orderBy(*keys).limit(page * size)  # only these are numbered
+    placed = shown.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys))).filter(F.col("place") > (page - 1) * size)
+    return placed.crossJoin(lists.agg(F.count("*").alias("total"))).select("id", "views", "total", "place")  # one number

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vitrine.functions.pages import probe_page
 from vitrine.functions.sizes import BANDS, LADDER, band_of
 from vitrine.functions.text import looks_like_email, visible_text
+from vitrine.operators import audits as A
 from vitrine.plans.catalog import COLORS, CURRENCY, EVENT_SQL, GROUP, PRODUCT_SQL, STYLES, brand_score, events, lookup, products, rand_sql, sql_list, sql_lookup, table, variants
 
 Q: dict = {}
@@ -214,19 +216,19 @@ def brand_stats(spark, sf_dir):
 @query(
     "A12_dominant_currency",
     f"""WITH s AS (SELECT s_suppkey, {sql_lookup(CURRENCY, "r_name", "'TRY'")} AS cur FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-    c AS (SELECT p_brand AS brand, cur, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN s ON l_suppkey = s_suppkey GROUP BY ALL)
-    SELECT brand, arg_max(cur, (n, cur)) AS cur, max(n) AS n FROM c GROUP BY 1""",
+    c AS (SELECT p_partkey AS product, cur, count(*) AS n, min(l_orderkey * 8 + l_linenumber) AS first FROM lineitem JOIN part ON l_partkey = p_partkey JOIN s ON l_suppkey = s_suppkey GROUP BY ALL)
+    SELECT product, arg_max(cur, (n, -first)) AS cur, max(n) AS n FROM c GROUP BY 1""",
 )
 def dominant_currency(spark, sf_dir):
+    """The currency that most of a product's lines have; of equals the one that was seen first."""
     s = (
         table(spark, sf_dir, "supplier")
         .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("s_suppkey", lookup(CURRENCY, F.col("r_name"), "TRY").alias("cur"))
     )
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    counts = lines.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("p_brand").alias("brand"), "cur").agg(F.count(ONE).alias("n"))
-    return counts.groupBy("brand").agg(F.max_by("cur", F.struct("n", "cur")).alias("cur"), F.max("n").alias("n"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("product"), "l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"))
+    return A.dominant(lines.join(s, F.col("l_suppkey") == F.col("s_suppkey")), "product", "cur", F.col("at"))
 
 
 @query(
@@ -268,15 +270,16 @@ def size_tokens(spark, sf_dir):
 
 @query(
     "A33_outfit_total",
-    f"""SELECT o_orderkey AS k, round(sum(p_retailprice), 2) AS total, bool_and(p_retailprice IS NOT NULL) AS all_priced, count(*) AS n
-    FROM orders JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1""",
+    """SELECT o_orderkey AS outfit, round(coalesce(sum(p), 0), 2) AS total, bool_and(p IS NOT NULL) AS all_priced, arg_min(cur, l_linenumber * 100000000 + l_partkey) FILTER (p IS NOT NULL) AS currency
+    FROM orders JOIN (SELECT *, CASE WHEN p_partkey % 7 > 0 THEN p_retailprice END AS p, CASE p_partkey % 3 WHEN 0 THEN 'TRY' WHEN 1 THEN 'EUR' ELSE 'USD' END AS cur FROM lineitem JOIN part ON l_partkey = p_partkey) ON o_orderkey = l_orderkey GROUP BY 1""",
 )
 def outfit_total(spark, sf_dir):
-    lines = table(spark, sf_dir, "orders").select("o_orderkey").join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"))
-    priced = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"), "left")
-    return priced.groupBy(F.col("o_orderkey").alias("k")).agg(
-        F.round(F.sum("p_retailprice"), 2).alias("total"), F.every(F.col("p_retailprice").isNotNull()).alias("all_priced"), F.count(ONE).alias("n")
-    )
+    """An order's lines as an outfit; every seventh product has no price."""
+    cur = F.element_at(F.array(*map(F.lit, ["TRY", "EUR", "USD"])), (F.col("p_partkey") % 3 + 1).cast("int"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 > 0, F.col("p_retailprice")).alias("price"), cur.alias("currency"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("outfit"), (F.col("l_linenumber") * 100_000_000 + F.col("l_partkey")).alias("pos"), "l_partkey")
+    known = lines.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("outfit")), "outfit", "left_semi")
+    return A.outfit_totals(known.join(p, F.col("l_partkey") == F.col("p_partkey"))).withColumn("total", F.round("total", 2))
 
 
 @query(
@@ -358,13 +361,15 @@ def band_join(spark, sf_dir):
 
 @query(
     "J21_price_drift",
-    f"{P} SELECT pid AS id, sid, vprice, price_min FROM variant JOIN product ON pos = pid WHERE vprice > price_min * 1.02",
+    f"""{P}, l AS (SELECT pid, sid, vprice * CASE sid % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 1.1 WHEN 2 THEN 1.01 ELSE 0.99 END AS live FROM variant)
+    SELECT pid AS id, sid, live, live < price_min AS below FROM l JOIN product ON pos = pid WHERE NOT (live >= price_min * (1 - 0.02) AND live <= price_max * (1 + 0.02))""",
 )
 def price_drift(spark, sf_dir):
-    """Variants dearer than the product's range by over two per cent: equal key, then a range condition."""
-    p = products(spark, sf_dir).select("pos", "price_min")
-    v = variants(spark, sf_dir)
-    return v.join(p, F.col("pid") == F.col("pos")).filter(F.col("vprice") > F.col("price_min") * 1.02).select(F.col("pid").alias("id"), "sid", "vprice", "price_min")
+    """Live prices outside their product's range by over two per cent, below it or above."""
+    factor = F.element_at(F.array(*map(F.lit, [0.9, 1.1, 1.01, 0.99])), (F.col("sid") % 4 + 1).cast("int"))
+    live = variants(spark, sf_dir).select(F.col("pid").alias("id"), "sid", (F.col("vprice") * factor).alias("live"))
+    p = products(spark, sf_dir).select(F.col("pos").alias("id"), "price", "price_min", "price_max")
+    return A.price_drift(p, live).select("id", "sid", "live", (F.col("live") < F.col("low")).alias("below"))
 
 
 # -- pages ---------------------------------------------------------------------------------------------
@@ -387,10 +392,23 @@ def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", visible_text(html).alias("text"))
 
 
-@query("X50_page_probe", "SELECT page_id, regexp_matches(html, '<title>') AS title, regexp_matches(html, '<nav>') AS nav, regexp_matches(html, 'og:image') AS image, length(html) < 800 AS parked FROM pages")
+PROBED = [
+    '<meta property="og:type" content="Product"><script type="application/ld+json">{"@graph":[{"@type":"Product","offers":[{"price":12.5,"priceCurrency":"EUR"}],"color":"Red","hasVariant":[{"size":"M"}]}]}</script>',
+    '<meta property="product:price:amount" content="9,90"><select name="Beden"><option>1</select><button> XL </button><script>var productDetailModel = {}</script>',
+    '<script type="application/ld+json">[{"@type":["Thing","Product"],"offers":{"lowPrice":"7"},"image":["a.jpg"],"additionalProperty":[{"name":"Renk"},{"name":"Beden"}]}]</script>',
+    '<script type="application/ld+json">{"@type":"Product",</script><script>window.__NEXT_DATA__={}</script><select class="color">',
+]
+
+
+@query(
+    "X50_page_probe",
+    """SELECT page_id, m IN (0, 2) AS jsonld, CASE WHEN m = 0 THEN 'product' END AS og_type, CASE m WHEN 0 THEN '12.5' WHEN 1 THEN '9,90' WHEN 2 THEN '7' END AS price, CASE WHEN m = 0 THEN 'EUR' END AS currency,
+    m IN (0, 2) AS color, m IN (0, 2) AS size_in_data, m = 1 AS size_select, m = 1 AS size_button, m = 2 AS image, m = 1 AS model, m = 3 AS state FROM (SELECT page_id, page_id % 4 AS m FROM pages)""",
+)
 def page_probe(spark, sf_dir):
-    html = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", html.rlike("<title>").alias("title"), html.rlike("<nav>").alias("nav"), html.rlike("og:image").alias("image"), (F.length(html) < 800).alias("parked"))
+    """What product pages give away, in four forms that stores have."""
+    head = F.element_at(F.array(*map(F.lit, PROBED)), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", probe_page(F.concat(head, "html")).alias("p")).select("page_id", "p.*")
 
 
 @query("X33_emails", "SELECT doc_id, length(text) <= 254 AND regexp_matches(text, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]{2,}$') AS ok FROM documents")

@@ -9,6 +9,7 @@ from vitrine import sources
 from vitrine.functions import classify, rules
 from vitrine.functions.color import FAMILIES
 from vitrine.functions.text import fold, index_letter
+from vitrine.operators import audits as audits_op
 from vitrine.operators import resolve
 from vitrine.plans.catalog import CURRENCY, GROUP, PRODUCT_SQL, lookup, products, sql_list, sql_lookup, table, variants
 from vitrine.plans.names import COPIES, names, sql_fold, sql_hit, sql_tr, sql_turn, turn
@@ -40,24 +41,21 @@ HIST = f"{P}, r AS (SELECT category, {sql_lookup(CURRENCY, "['EUROPE', 'AMERICA'
 
 @query(
     "A22_histograms",
-    f"{HIST} SELECT 'category' AS what, category AS value, count(*) AS n FROM r GROUP BY 2 UNION ALL SELECT 'currency', currency, count(*) FROM r GROUP BY 2 UNION ALL SELECT 'gender', gender, count(*) FROM r GROUP BY 2",
+    f"""{P}, r AS (SELECT category, CASE pos % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' ELSE 'TRY' END AS currency, CASE WHEN len(genders) >= 2 THEN 'unisex' ELSE genders[1] END AS gender FROM product)
+    SELECT 'category' AS what, category AS value, count(*) AS n FROM r GROUP BY 2 UNION ALL SELECT 'currency', currency, count(*) FROM r GROUP BY 2 UNION ALL SELECT 'gender', gender, count(*) FROM r GROUP BY 2""",
 )
 def histograms(spark, sf_dir):
-    """The import report's three histograms from one pass over the catalogue."""
-    p = products(spark, sf_dir)
+    """The import report's three histograms; genders are what the rules find in the names."""
     region = F.element_at(F.array(*map(F.lit, ["EUROPE", "AMERICA", "ASIA"])), (F.col("pos") % 3 + 1).cast("int"))
-    gender = F.when(F.col("pos") % 5 == 0, "kadin").when(F.col("pos") % 5 == 1, "erkek").otherwise("unisex")
-    entry = lambda what, value: F.struct(F.lit(what).alias("what"), value.alias("value"))
-    each = p.select(F.explode(F.array(entry("category", F.col("category")), entry("currency", lookup(CURRENCY, region, "TRY")), entry("gender", gender))).alias("e"))
-    return each.groupBy("e.what", "e.value").agg(F.count("*").alias("n"))
+    return audits_op.import_histograms(products(spark, sf_dir).withColumn("currency", lookup(CURRENCY, region, "TRY")))
 
 
-@query("A24_scrape_totals", f"{P}, b AS (SELECT brand_slug, count(*) FILTER (price > 940) AS n FROM product GROUP BY 1) SELECT count(*) AS brands, CAST(sum(n) AS BIGINT) AS records, count(*) FILTER (n = 0) AS empty, coalesce(string_agg(brand_slug, ',' ORDER BY brand_slug) FILTER (n = 0), '') AS empty_brands FROM b")
+@query("A24_scrape_totals", "WITH b AS (SELECT s_name AS slug, count(l_orderkey) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_linenumber = 7 AND l_quantity > 44 GROUP BY 1) SELECT count(*) AS brands, CAST(sum(n) AS BIGINT) AS records, count(*) FILTER (n = 0) AS empty, coalesce(string_agg(slug, ',' ORDER BY slug) FILTER (n = 0), '') AS empty_brands FROM b")
 def scrape_totals(spark, sf_dir):
-    """Totals of a run, and the brands that gave nothing (one short name each)."""
-    b = products(spark, sf_dir).groupBy("brand_slug").agg(F.count_if(F.col("price") > 940).alias("n"))
-    none = F.array_sort(F.collect_list(F.when(F.col("n") == 0, F.col("brand_slug"))))
-    return b.agg(F.count("*").alias("brands"), F.sum("n").alias("records"), F.count_if(F.col("n") == 0).alias("empty"), F.array_join(none, ",").alias("empty_brands"))
+    """A run's records by store, and the stores of the roster that gave none."""
+    roster = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("slug"))
+    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_linenumber = 7 and l_quantity > 44").select("l_suppkey")
+    return audits_op.scrape_totals(roster.select("slug"), lines.join(roster, F.col("l_suppkey") == F.col("s_suppkey")).select("slug"))
 
 
 KNOWN_TAGS = sql_list(list(FAMILIES))
@@ -156,12 +154,11 @@ def brand_index(spark, sf_dir):
     return n.groupBy(index_letter(F.col("name")).alias("letter")).agg(F.countDistinct("name").alias("n"))
 
 
-@query("A40_list_views", "SELECT json_extract_string(props, '$.k') AS list_id, CAST(count(*) + 3 AS BIGINT) AS views FROM events WHERE event_type = 'view' GROUP BY 1")
+@query("A40_list_views", "SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(p_size + count(event_id) AS BIGINT) AS views FROM part LEFT JOIN events ON json_extract_string(props, '$.k') = CAST(p_partkey AS VARCHAR) AND event_type = 'view' GROUP BY p_partkey, p_size")
 def list_views(spark, sf_dir):
-    """Views added to a list's counter, here from 3 on; a pre-aggregated count, not an update for each view."""
-    seen = table(spark, sf_dir, "events").filter("event_type = 'view'").groupBy(F.get_json_object("props", "$.k").alias("list_id")).agg(F.count("*").alias("seen"))
-    stored = seen.select("list_id", F.lit(3).alias("views"))
-    return stored.join(seen, "list_id", "left").select("list_id", (F.col("views") + F.coalesce("seen", F.lit(0))).cast("long").alias("views"))
+    """Views since added to stored counters; lists without any keep theirs."""
+    stored = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_size").cast("long").alias("views"))
+    return audits_op.bump_views(stored, table(spark, sf_dir, "events").filter("event_type = 'view'").select(F.get_json_object("props", "$.k").alias("id")))
 
 
 @query("A43_scored_brands", "SELECT count(*) FILTER (score IS NOT NULL) AS n, count(*) AS brands FROM (SELECT p_brand, CASE WHEN min(p_partkey) % 4 > 0 THEN 3.0 END AS score FROM part GROUP BY 1)")

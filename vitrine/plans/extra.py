@@ -10,7 +10,8 @@ from vitrine import sources
 from vitrine.functions import html, score
 from vitrine.functions.sizes import band_of, known_sizes, looks_like_sizes, preview, size_kind
 from vitrine.functions.text import has_word_start, parse_number
-from vitrine.operators import resolve
+from vitrine.functions.classify import PRIOR_STYLES
+from vitrine.operators import audits, resolve
 from vitrine.plans.analytics import sql_band
 from vitrine.plans.catalog import PRODUCT_SQL, brand_score, products, rand_sql, sql_list, table
 from vitrine.plans.ranking import CAT_W, N_GRADED, case
@@ -120,17 +121,24 @@ def widest_source(spark, sf_dir):
 # -- filters of the refresh and of brands --------------------------------------------------------------------
 
 
-@query("F25_only_and_skip", f"{P} SELECT id FROM product WHERE brand IN ('Brand#1', 'Brand#2', 'Brand#3') AND brand NOT IN ('Brand#2')")
+@query("F25_only_and_skip", "WITH b AS (SELECT s_name AS slug, CASE s_nationkey % 3 WHEN 0 THEN 'shopify' WHEN 1 THEN 'jsonld' ELSE 'shopier' END AS platform FROM supplier) SELECT slug, platform FROM b WHERE platform = 'jsonld' AND slug NOT IN ('Supplier#000000002', 'Supplier#000000005') UNION ALL SELECT slug, 'only' FROM b WHERE slug IN ('Supplier#000000001', 'Supplier#000000002')")
 def only_and_skip(spark, sf_dir):
-    return products(spark, sf_dir).filter(F.col("brand").isin("Brand#1", "Brand#2", "Brand#3") & ~F.col("brand").isin("Brand#2")).select("id")
+    """The stores that a run is asked for: of one platform but for two, and two by name."""
+    kind = F.element_at(F.array(*map(F.lit, ["shopify", "jsonld", "shopier"])), (F.col("s_nationkey") % 3 + 1).cast("int"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("slug"), kind.alias("platform"))
+    two = audits.chosen_brands(b, only=["Supplier#000000001", "Supplier#000000002"]).withColumn("platform", F.lit("only"))
+    return audits.chosen_brands(b, skip=["Supplier#000000002", "Supplier#000000005"], platform="jsonld").unionByName(two)
 
 
 # -- joins with dimensions -------------------------------------------------------------------------------------
 
 
-@query("J02_prior_styles", f"{P} SELECT id, array_to_string(list_filter(styles, lambda s: s IN ('streetwear', 'y2k')), '|') AS prior FROM product")
+@query("J02_prior_styles", f"{P}, b AS (SELECT brand, arg_min(styles, pos) AS own FROM product WHERE pos % 25 <> 7 GROUP BY 1) SELECT id, array_to_string(list_filter(coalesce(own, []), lambda s: s IN ('streetwear', 'basic', 'ravewear', 'old-money', 'minimalist', 'y2k')), '|') AS prior FROM product LEFT JOIN b USING (brand)")
 def prior_styles(spark, sf_dir):
-    return products(spark, sf_dir).select("id", F.array_join(F.array_intersect("styles", words("streetwear", "y2k")), "|").alias("prior"))
+    """A brand's styles (here those of its first product) as far as they are a scene; brands without any give none."""
+    p = products(spark, sf_dir)
+    own = p.filter("pos % 25 <> 7").groupBy("brand").agg(F.min_by("styles", "pos").alias("own"))
+    return p.select("id", "brand").join(own, "brand", "left").select("id", F.coalesce(F.array_join(F.array_intersect("own", words(*PRIOR_STYLES)), "|"), F.lit("")).alias("prior"))
 
 
 PERK_KINDS = ["iade", "kargo", "taksit"]

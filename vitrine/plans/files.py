@@ -32,12 +32,19 @@ def shared(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; a temporary one on a single machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="vitrine-")
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df from a table in the shared folder: worked out once, however often it is read."""
+    path = shared(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def logged(spark, sf_dir) -> DataFrame:
     """Events in the logs' form."""
     return table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("session"), F.col("value").alias("price"))

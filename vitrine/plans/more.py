@@ -7,9 +7,10 @@ from pyspark.sql.window import Window
 
 from vitrine.functions import logos
 from vitrine.functions.classify import cat_has_sizes
-from vitrine.functions.sizes import sort_sizes
+from vitrine.functions.sizes import sort_sizes, toggle_band
 from vitrine.functions.text import seed_of
-from vitrine.operators import resolve
+from vitrine import sources
+from vitrine.operators import resolve, userdata
 from vitrine.plans.catalog import COLORS, GROUP, PRODUCT_SQL, SIZES, products, sql_list, table, variants
 
 Q: dict = {}
@@ -27,10 +28,28 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("P02_final_columns", f"{P} SELECT id, brand, brand_slug, name, category, price, array_to_string(sizes, '|') AS sizes, array_to_string(color_tags, '|') AS tags, array_to_string(styles, '|') AS styles, hex FROM product")
+@query(
+    "P02_final_columns",
+    f"""{P}, v AS (SELECT pid, string_agg(sid || ':' || vprice, ',' ORDER BY sid) AS variants FROM variant GROUP BY 1)
+    SELECT id, brand, brand_slug, name, category, array_to_string(list_sort(genders), '|') AS genders, array_to_string(styles, '|') AS styles, price, price_min, price_max, 'TRY' AS currency,
+           '/i/' || id || '-1.jpg' AS image, array_to_string(list_transform(range(1, least(n_images, 5) + 1), lambda k: '/i/' || id || '-' || k || '.jpg'), '|') AS images, array_to_string(sizes, '|') AS sizes,
+           array_to_string(color_tags, '|') AS colors, array_to_string(color_tags, '|') AS color_tags, coalesce(variants, '') AS variants, 'https://' || brand_slug || '.com/' || id AS product_url, in_stock, pop, day, 'live' AS source
+    FROM product LEFT JOIN v ON pid = pos""",
+)
 def final_columns(spark, sf_dir):
-    joined = [F.array_join(c, "|").alias(a) for c, a in (("sizes", "sizes"), ("color_tags", "tags"), ("styles", "styles"))]
-    return products(spark, sf_dir).select("id", "brand", "brand_slug", "name", "category", "price", *joined, "hex")
+    """All twenty-two fields of a product as it is stored; lists are joined to be compared."""
+    p = products(spark, sf_dir)
+    v = variants(spark, sf_dir).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("sid", "vprice"))).alias("v"))
+    picture = lambda k: F.concat(F.lit("/i/"), "id", F.lit("-"), k.cast("string"), F.lit(".jpg"))
+    shown = F.transform(F.sequence(F.lit(1), F.least("n_images", F.lit(resolve.MAX_IMAGES))), picture)
+    joined = lambda c: F.array_join(c, "|")
+    each = F.array_join(F.transform(F.coalesce("v", F.array().cast("array<struct<sid:bigint,vprice:double>>")), lambda x: F.concat_ws(":", x.sid.cast("string"), x.vprice.cast("string"))), ",")
+    return p.join(v, F.col("pid") == F.col("pos"), "left").select(
+        "id", "brand", "brand_slug", "name", "category", joined(F.array_sort("genders")).alias("genders"), joined("styles").alias("styles"), "price", "price_min", "price_max",
+        F.lit("TRY").alias("currency"), shown[0].alias("image"), joined(shown).alias("images"), joined("sizes").alias("sizes"), joined("color_tags").alias("colors"),
+        joined("color_tags").alias("color_tags"), each.alias("variants"), F.concat(F.lit("https://"), "brand_slug", F.lit(".com/"), "id").alias("product_url"), "in_stock", "pop", "day",
+        F.lit("live").alias("source"),
+    )
 
 
 @query("P03_live_brands", f"{P} SELECT brand, brand_slug, bool_or(in_stock) AS live FROM product GROUP BY 1, 2")
@@ -136,11 +155,17 @@ def ranked_logos(spark, sf_dir):
 @query("O10_public_lists", "WITH r AS (SELECT o_orderkey AS id, o_totalprice AS views, count(*) OVER () AS total, row_number() OVER (ORDER BY o_totalprice DESC, o_orderdate DESC, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F') SELECT * FROM r WHERE place BETWEEN 21 AND 40")
 def public_lists(spark, sf_dir):
     """A page by views, then date; the total is one number joined in."""
+    return userdata.list_page(published(spark, sf_dir), "views", page=2)
+
+
+@query("O10_newest_lists", "WITH r AS (SELECT o_orderkey AS id, o_totalprice AS views, count(*) OVER () AS total, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F') SELECT * FROM r WHERE place <= 20")
+def newest_lists(spark, sf_dir):
+    return userdata.list_page(published(spark, sf_dir), "new", page=1)
+
+
+def published(spark, sf_dir):
     o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
-    order = [F.desc("o_totalprice"), F.desc("o_orderdate"), F.asc("o_orderkey")]
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
-    page = o.orderBy(*order).limit(40).withColumn("place", place).filter("place > 20")
-    return page.crossJoin(o.agg(F.count("*").alias("total"))).select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("views"), "total", "place")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("views"), F.col("o_orderdate").alias("at"))
 
 
 @query("O09_reviews_newest", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events")
@@ -171,21 +196,24 @@ def overlap(spark, sf_dir):
     return a.select("id").intersect(b.select("id")).agg(F.count("*").alias("products")).crossJoin(a.select("brand").intersect(b.select("brand")).agg(F.count("*").alias("brands")))
 
 
-@query("U07_band_toggle", "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 0 ELSE 3 END AS n FROM part")
+@query("U07_band_toggle", "SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN '40' WHEN 1 THEN '40|34|32|36' ELSE '32|34|36' END AS chosen FROM part")
 def band_toggle(spark, sf_dir):
-    """A full band's tokens go, those of a partial or empty one are added."""
+    """A band that is chosen whole goes; of a partial or empty one what is missing is added."""
     band = F.array(F.lit("32"), F.lit("34"), F.lit("36"))
-    have = F.when(F.col("p_size") % 2 == 0, band).otherwise(F.array(F.lit("34")))
-    full = F.size(F.array_intersect(have, band)) == F.size(band)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.size(F.when(full, F.array_except(have, band)).otherwise(F.array_union(have, band))).alias("n"))
+    chosen = F.when(F.col("p_size") % 3 == 0, F.array(*map(F.lit, ["36", "40", "32", "34"]))).when(F.col("p_size") % 3 == 1, F.array(F.lit("40"), F.lit("34"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(toggle_band(chosen, band), "|").alias("chosen"))
 
 
-@query("J22_health_drop", f"{P}, o AS (SELECT brand_slug, count(*) AS n FROM product GROUP BY 1), w AS (SELECT brand_slug, count(*) AS n FROM product WHERE price < 960 GROUP BY 1) SELECT brand_slug, o.n AS old_n, coalesce(w.n, 0) AS new_n, coalesce(w.n, 0) < 0.6 * o.n AS keep_old FROM o LEFT JOIN w USING (brand_slug)")
+@query(
+    "J22_health_drop",
+    f"""{P}, o AS (SELECT brand_slug, count(*) AS n, count(price) AS p FROM product GROUP BY 1), w AS (SELECT brand_slug, count(*) AS n, count(CASE WHEN brand <> 'Brand#2' THEN price END) AS p FROM product WHERE price < 960 OR brand = 'Brand#2' GROUP BY 1)
+    SELECT brand_slug, coalesce(w.n, 0) < 0.6 * o.n OR (o.p >= 0.5 * o.n AND coalesce(w.p, 0) < 0.2 * greatest(coalesce(w.n, 0), 1)) AS keep_old FROM o LEFT JOIN w USING (brand_slug)""",
+)
 def health_drop(spark, sf_dir):
-    p = products(spark, sf_dir)
-    old = p.groupBy("brand_slug").agg(F.count("*").alias("old_n"))
-    new = p.filter("price < 960").groupBy("brand_slug").agg(F.count("*").alias("new_n"))
-    return old.join(new, "brand_slug", "left").na.fill(0, ["new_n"]).withColumn("keep_old", F.col("new_n") < 0.6 * F.col("old_n"))
+    """A brand's new records against its old ones: too few of them, or their prices gone (brand-2)."""
+    p = products(spark, sf_dir).select("brand_slug", "brand", "price", "sizes")
+    new = p.filter("price < 960 or brand = 'Brand#2'").withColumn("price", F.when(F.col("brand") != "Brand#2", F.col("price")))
+    return sources.brand_verdicts(p, new)
 
 
 @query("X24_seed", "SELECT event_id, epoch_ms(ts) // 10800000 AS w FROM events")

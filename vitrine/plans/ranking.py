@@ -11,8 +11,9 @@ from vitrine.functions import score as S
 from vitrine.functions.color import hex_to_tag, rgb_to_hsl, tone_class
 from vitrine.functions.text import fnv1a, rand01, slugify
 from vitrine.operators import catalog_query as C
-from vitrine.operators import feed
+from vitrine.operators import audits, feed
 from vitrine.operators.search import haystack, matches, parse_search, relevance
+from vitrine.plans.files import written
 from vitrine.plans.catalog import brand_score, fnv_sql, part_condition, PRODUCT_SQL, products, rand_sql, sql_list, STYLES, table
 
 Q: dict = {}
@@ -247,13 +248,13 @@ def round_robin(spark, sf_dir):
 
 @query("N01_weave")
 def weave(spark, sf_dir):
-    return feed.weave(feed.with_noise(scored(spark, sf_dir), "kesfet", SEED), "kesfet", SEED)
+    return feed.weave(feed.with_noise(scored(spark, sf_dir), "kesfet", SEED), "kesfet", SEED, keep=written)
 
 
 @query("N01_places", "SELECT count(*) AS n, count(*) AS places, count(*) AS last, least(count(*), 400) AS picks, 0 AS out_of_order FROM part")
 def weave_places(spark, sf_dir):
     """Every product has one place of its own, without gaps; picks come first, and the tail goes by its keys."""
-    w = feed.weave(feed.with_noise(scored(spark, sf_dir), "kesfet", SEED), "kesfet", SEED).withColumn("lot", F.floor(F.col("place") / 4096))
+    w = feed.weave(feed.with_noise(scored(spark, sf_dir), "kesfet", SEED), "kesfet", SEED, keep=written).withColumn("lot", F.floor(F.col("place") / 4096))
     before = F.lag("key").over(Window.partitionBy("lot").orderBy("place"))
     w = w.withColumn("bad", F.coalesce(before > F.col("key"), F.lit(False)) | (F.col("pick").isNotNull() & (F.col("pick") != F.col("place"))))
     return w.agg(F.count("*").alias("n"), F.countDistinct("place").alias("places"), F.max("place").alias("last"), F.count("pick").alias("picks"), F.count_if("bad").cast("int").alias("out_of_order"))
@@ -262,7 +263,7 @@ def weave_places(spark, sf_dir):
 @query("N12_category_feed")
 def category_feed(spark, sf_dir):
     df = scored(spark, sf_dir).filter("category = 'HOODIE'")
-    return feed.weave(feed.with_noise(df, "kategori", SEED), "kategori", SEED)
+    return feed.weave(feed.with_noise(df, "kategori", SEED), "kategori", SEED, keep=written)
 
 
 @query(
@@ -296,17 +297,18 @@ def brand_page(spark, sf_dir):
 
 @query(
     "A26_lift",
-    f"""{SCORED}, n AS (SELECT *, row_number() OVER (ORDER BY base DESC, pos) AS place FROM scored)
-    SELECT round(avg(len(sizes)) FILTER (place <= 200) / avg(len(sizes)), 6) AS size_lift, round(avg(n_images) FILTER (place <= 200) / avg(n_images), 6) AS image_lift,
-    count(DISTINCT brand) FILTER (place <= 200) AS brands FROM n""",
+    f"""{SCORED}, n AS (SELECT *, row_number() OVER (ORDER BY base DESC, pos) AS place FROM scored), h AS (SELECT brand_slug, count(*) AS c FROM n WHERE place <= 200 GROUP BY 1)
+    SELECT round(avg(len(sizes)) FILTER (place <= 200) / avg(len(sizes)), 6) AS sizes, round(avg(n_images) FILTER (place <= 200) / avg(n_images), 6) AS images,
+    round(avg(n_variants) FILTER (place <= 200) / avg(n_variants), 6) AS variants, round(avg((price_min IS NOT NULL)::INT) FILTER (place <= 200) / avg((price_min IS NOT NULL)::INT), 6) AS priced,
+    round(avg(brand01) FILTER (place <= 200) / avg(brand01), 6) AS score, (SELECT count(*) FROM h) AS brands, round((SELECT max(c) / sum(c) FROM h), 6) AS largest_share FROM n""",
 )
 def lift(spark, sf_dir):
-    """What stands out among the 200 best against all."""
-    df = scored(spark, sf_dir)
+    """What stands out among the 200 best against all: sizes, pictures, variants, prices, the brand's score, and how many brands share it."""
+    df = scored(spark, sf_dir).withColumn("score01", score01())
     head = df.orderBy(F.desc("base"), "pos").limit(200)
-    a = head.agg(F.avg(F.size("sizes")).alias("hs"), F.avg("n_images").alias("hi"), F.countDistinct("brand").alias("brands"))
-    b = df.agg(F.avg(F.size("sizes")).alias("s"), F.avg("n_images").alias("i"))
-    return a.crossJoin(b).select(F.round(F.col("hs") / F.col("s"), 6).alias("size_lift"), F.round(F.col("hi") / F.col("i"), 6).alias("image_lift"), "brands")
+    measures = {"sizes": F.size("sizes"), "images": F.col("n_images"), "variants": F.col("n_variants"), "priced": F.col("price_min").isNotNull().cast("int"), "score": F.col("score01")}
+    found = audits.discovery_lift(head, df, measures)
+    return found.select(*(F.round(c, 6).alias(c) for c in measures), "brands", F.round("largest_share", 6).alias("largest_share"))
 
 
 assert set(STYLES) <= {"streetwear", "basic", "ravewear", "minimalist", "y2k", "techwear"}
