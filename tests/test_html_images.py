@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.functions import html, images
+from vitrine.functions import html, images, logos, text
+from vitrine.operators import resolve
 
 PAGE = """<html><head><meta property="og:image" content="o.jpg?a=1&amp;b=2">
 <script type="application/ld+json">{"@graph": [{"@type": "WebPage"}, {"@type": "Product", "name": "Tee", "image": ["i.jpg"],
@@ -55,3 +56,56 @@ def test_raster_colors(spark):
     assert rows[0].t == ["siyah"] and rows[0].d == "#141414"
     assert sorted(rows[1].t) == ["kirmizi", "mavi"] and rows[2].t == [] and rows[2].d == "#fafafa" and rows[3].t == [] and rows[3].d is None and rows[4].t == []
     assert "cok-renkli" in rows[5].t
+
+
+def test_tidy_golden(spark):
+    golden = {
+        "  | 2.500 TL ve üzeri  ücretsiz kargo ·": "2.500 TL ve üzeri ücretsiz kargo", "iade edebilir ya da": "iade edebilir", "kargo için ve ile da": "kargo için", "** %10 indirim,,": "%10 indirim",
+        "x" * 100: "x" * 90, "14 gün içinde iade |": "14 gün içinde iade", "Ve": "Ve", "": "",
+    }
+    df = spark.createDataFrame(list(golden.items()), "t string, want string")
+    assert not [r for r in df.select("t", "want", html.tidy(F.col("t")).alias("got")).collect() if r.got != r.want]
+
+
+def test_visible_text_golden(spark):
+    page = '<p msg="2.500 TL ücretsiz kargo" msg="kısa">a<b>b</b><FONT x>c</FONT><a href=x>d</a></p><script>x</script><noscript>n</noscript>&nbsp;e&amp;f&#39;s'
+    got = spark.createDataFrame([(page,), ("<div>plain</div>",)], "h string").select(text.visible_text(F.col("h")).alias("t")).collect()
+    assert [r.t for r in got] == ["2.500 TL ücretsiz kargo |  | abc | d | | | n | e&f's", " | plain | "]
+
+
+def rgba(kind, n=16):
+    px = np.zeros((n, n, 4), np.uint8)
+    if kind in ("dark box", "light box", "dark mark on light box"):
+        px[:] = (20, 20, 20, 255) if kind == "dark box" else (240, 240, 240, 255)
+        if kind == "dark mark on light box":
+            px[3:13, 3:13, :3] = 10
+    elif kind != "nothing":
+        px[4:12, 4:12] = {"dark": (10, 10, 10, 255), "light": (240, 240, 240, 255), "bright colour": (250, 160, 30, 255), "dark colour": (60, 0, 40, 255), "faint": (0, 0, 0, 90)}[kind]
+    return px.tobytes()
+
+
+def test_logo_inversion_golden(spark):
+    golden = {"dark box": False, "light box": True, "dark mark on light box": True, "dark": True, "light": False, "bright colour": False, "dark colour": True, "faint": False, "nothing": False}
+    df = spark.createDataFrame([(k, bytearray(rgba(k))) for k in golden] + [("broken", bytearray(b"abc")), ("null", None)], "k string, r binary")
+    got = {r.k: r.i for r in df.select("k", logos.decide_invert("r", F.lit(16)).alias("i")).collect()}
+    assert got == golden | {"broken": None, "null": None}
+
+
+def test_logo_candidates_golden(spark):
+    html_ = """<IMG class="hdr-logo" srcset="/l-200.webp 200w, /l-800.webp 800w" width=90><img src="/odeme/logo_visa.png"><img src="x.png" alt="Brand Logo">
+      <link rel="icon" sizes="32x32" href="/fav.png"><link rel="apple-touch-icon" href="/touch.png"><link rel="stylesheet" href="/s.css">
+      <script type="application/ld+json">[{"@type":"WebSite","publisher":{"@type":"Organization","logo":"https://c.com/deep.svg"}}]</script><meta property="og:image" content="/l-800.webp">"""
+    got = spark.createDataFrame([(html_,), (None,), ("",)], "h string").select(logos.logo_candidates(F.coalesce("h", F.lit("")), F.lit("https://www.s.com/a/b.html"), F.lit("brand-co")).alias("c")).collect()
+    assert [(x.url.removeprefix("https://www.s.com"), x.score, x.kind) for x in got[0].c] == [
+        ("/l-800.webp", 102, "img"), ("/touch.png", 80, "icon"), ("https://c.com/deep.svg", 70, "jsonld"), ("/fav.png", 47, "icon"), ("/a/x.png", 43, "img"), ("/favicon.ico", 10, "icon"),
+    ]
+    assert [x.url for x in got[1].c] == [x.url for x in got[2].c] == ["https://www.s.com/favicon.ico"]
+
+
+def test_names_are_cut_as_written(spark):
+    golden = {
+        "SİYAH Hoodie": "Hoodie", "Hoodie - AÇIK  MAVİ": "Hoodie", "Açık Yaka Gri\u0307 Tee": "Açık Yaka Tee", "I\u0307nce Beyaz/Navy Şort": "I\u0307nce / Şort", "Kırmızı": "Kırmızı", "Grimsi Mor": "Grimsi",
+        "Tee | Mavi | Slim": "Tee | Slim", "a Mavi": "a Mavi", "GRI Tee": "GRI Tee", "SI\u0307YAH Tee": "SI\u0307YAH Tee", "Gri\u0307 Tee": "Tee",
+    }
+    df = spark.createDataFrame(list(golden.items()), "n string, want string")
+    assert not [r for r in df.select("n", "want", resolve.clean_name(F.col("n")).alias("got")).collect() if r.got != r.want]

@@ -10,25 +10,22 @@ from vitrine.functions.text import parse_number
 
 OFFER = "struct<price:string,lowPrice:string,availability:string,priceCurrency:string>"
 NODE = f"struct<`@type`:string,name:string,image:array<string>,offers:array<{OFFER}>,price:string>"
-def _more(n: int) -> str:
-    """Up to n words that go with a perk."""
-    return rf"(?:\s+[^\s|.!?•]+){{0,{n}}}"
 
 
 #: Perk patterns in order of preference, by kind.
 PERKS = [
-    ("kargo", rf"[0-9][0-9.,]*\s*(?:tl|₺)[^\s|]*{_more(4)}\s+(?:ücretsiz|bedava)\s*kargo"),
-    ("kargo", rf"(?:ücretsiz|bedava)\s*kargo{_more(3)}\s+[0-9][0-9.,]*\s*(?:tl|₺){_more(2)}"),
+    ("kargo", r"[0-9][0-9.,]*\s*(?:tl|₺)[^\s|]*(?:\s+[^\s|.!?•]+){0,4}\s+(?:ücretsiz|bedava)\s*kargo"),
+    ("kargo", r"(?:ücretsiz|bedava)\s*kargo(?:\s+[^\s|.!?•]+){0,3}\s+[0-9][0-9.,]*\s*(?:tl|₺)(?:\s+[^\s|.!?•]+){0,2}"),
     ("kargo", r"(?:ücretsiz|bedava)\s*kargo"),
     ("kargo", r"kargo\s*(?:bedava|ücretsiz)"),
     ("hizli", r"(?:aynı gün|1 gün(?:de)?|24 saat(?:te)?|ertesi gün)\s*(?:içinde\s*)?kargo(?:ya verilir)?"),
-    ("taksit", rf"[0-9]{{1,2}}\s*taksit{_more(3)}"),
-    ("taksit", rf"taksit(?:li)?\s*(?:seçenek|imkan|avantaj)[^\s|.!?•]*{_more(2)}"),
-    ("kapida", rf"kapıda ödeme{_more(2)}"),
-    ("iade", rf"[0-9]{{1,2}}\s*(?:iş\s*)?gün(?:ü)?{_more(3)}\s+(?:iade|değişim){_more(3)}"),
-    ("iade", rf"(?:koşulsuz|ücretsiz|kolay)\s*iade{_more(3)}"),
-    ("indirim", rf"(?:ilk|yeni)\s*(?:üyelik|üye|üyelere|alışveriş|sipariş){_more(6)}\s+(?:indirim|kupon){_more(2)}"),
-    ("indirim", rf"%\s?[0-9]{{1,2}}\s*indirim\s*kupon{_more(3)}"),
+    ("taksit", r"[0-9]{1,2}\s*taksit(?:\s+[^\s|.!?•]+){0,3}"),
+    ("taksit", r"taksit(?:li)?\s*(?:seçenek|imkan|avantaj)[^\s|.!?•]*(?:\s+[^\s|.!?•]+){0,2}"),
+    ("kapida", r"kapıda ödeme(?:\s+[^\s|.!?•]+){0,2}"),
+    ("iade", r"[0-9]{1,2}\s*(?:iş\s*)?gün(?:ü)?(?:\s+[^\s|.!?•]+){0,3}\s+(?:iade|değişim)(?:\s+[^\s|.!?•]+){0,3}"),
+    ("iade", r"(?:koşulsuz|ücretsiz|kolay)\s*iade(?:\s+[^\s|.!?•]+){0,3}"),
+    ("indirim", r"(?:ilk|yeni)\s*(?:üyelik|üye|üyelere|alışveriş|sipariş)(?:\s+[^\s|.!?•]+){0,6}\s+(?:indirim|kupon)(?:\s+[^\s|.!?•]+){0,2}"),
+    ("indirim", r"%\s?[0-9]{1,2}\s*indirim\s*kupon(?:\s+[^\s|.!?•]+){0,3}"),
 ]
 
 
@@ -37,13 +34,16 @@ APART, STAND_IN = "ıİ", "\ua840\ua841"
 _STAND_IN = str.maketrans(APART, STAND_IN)
 
 
+MOST_PERK, MOST_DANGLING = 90, 3
+
+
 def tidy(c: Column) -> Column:
-    """A perk of at most 90 characters, without loose ends."""
-    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"^[^\p{L}\p{N}₺%]+", ""), "[|•·,]+$", "")
-    c = F.substring(F.trim(c), 1, 90)
-    for _ in range(3):
-        c = F.regexp_replace(c, rf"(?iu)\s+(?:{'|'.join(DANGLING).translate(_STAND_IN)})$", "")
-    return F.trim(c)
+    """What is shown of a perk: from its first letter, digit, ₺ or % on, one space between words, at most MOST_PERK
+    characters, without marks at its end, and without the last words that lead nowhere (up to MOST_DANGLING of them)."""
+    shown = F.regexp_extract(F.regexp_replace(c, r"\s+", " "), r"([\p{L}\p{N}₺%].*?)[|•·,]*$", 1)
+    shown = F.substring(F.trim(shown), 1, MOST_PERK)
+    loose = "|".join(DANGLING).translate(_STAND_IN)
+    return F.trim(F.regexp_replace(shown, rf"(?iu)(?:\s+(?:{loose})){{1,{MOST_DANGLING}}}$", ""))
 
 
 def entities(c: Column) -> Column:

@@ -103,7 +103,7 @@ def brand_index(spark, sf_dir):
 
 
 WRITTEN = ["SİYAH Tee", "Tee - AÇIK MAVİ", "Açık Yaka GRİ", "Ti\u0307şört Beyaz / Navy", "Kırmızı", "Gri̇ Gömlek", "SI\u0307YAH | Mont", "Mor  Bluz – Mor", "Yeşilimsi Kazak", "LACİVERT/haki Şort"]
-CLEAN = ["Tee", "Tee", "Açık Yaka", "Ti\u0307şört", "Kırmızı", "Gömlek", "Mont", "Bluz", "Yeşilimsi Kazak", "Şort"]
+CLEAN = ["Tee", "Tee", "Açık Yaka", "Ti\u0307şört", "Kırmızı", "Gömlek", "SI\u0307YAH | Mont", "Bluz", "Yeşilimsi Kazak", "Şort"]
 
 
 @query("X08_clean_names", f"SELECT p_partkey AS id, {sql_list(CLEAN)}[p_partkey % 10 + 1] || ' ' || p_partkey AS name FROM part WHERE p_partkey % 10 <> 4 UNION ALL SELECT p_partkey, 'Kırmızı' FROM part WHERE p_partkey % 10 = 4")
