@@ -12,7 +12,7 @@ from vitrine.functions.pages import probe_page
 from vitrine.functions.sizes import BANDS, LADDER, band_of
 from vitrine.functions.text import looks_like_email, visible_text
 from vitrine.operators import audits as A
-from vitrine.plans.catalog import COLORS, CURRENCY, EVENT_SQL, GROUP, PRODUCT_SQL, STYLES, brand_score, events, lookup, products, rand_sql, sql_list, sql_lookup, table, variants
+from vitrine.plans.catalog import COLORS, CURRENCY, EVENT_SQL, GROUP, PRODUCT_SQL, SIZES, STYLES, brand_score, events, facet, lookup, named, products, rand_sql, sql_list, sql_lookup, table, variants
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -159,20 +159,24 @@ def rate_limit(spark, sf_dir):
 # -- facets and brand statistics ------------------------------------------------------------------------
 
 
+#: Which line items stand for a size and for a colour, as in the product view.
+F_LINE, F_SHADE = "l_linenumber", f"l_suppkey % {len(COLORS)} + 1"
+
+
 @query(
     "A06_categories",
     f"""{P} SELECT category, count(*) AS n FROM product GROUP BY 1 UNION ALL SELECT 'ALL', count(*) FROM product UNION ALL SELECT 'BRANDS', count(DISTINCT brand) FROM product""",
 )
 def categories(spark, sf_dir):
-    p = products(spark, sf_dir)
+    p = named(spark, sf_dir)
     rows = p.select("category", "brand").cube("category").agg(F.count(ONE).alias("n"))
     brands = p.agg(F.countDistinct("brand").alias("n")).select(F.lit("BRANDS").alias("category"), "n")
     return rows.select(F.coalesce("category", F.lit("ALL")).alias("category"), "n").unionByName(brands)
 
 
-for _id, _col in (("A07_sizes", "sizes"), ("A09_colors", "color_tags")):
+for _id, _col, _values, _number in (("A07_sizes", "sizes", SIZES, F_LINE), ("A09_colors", "color_tags", COLORS, F_SHADE)):
     query(_id, f"{P} SELECT t, count(*) AS n FROM (SELECT unnest({_col}) AS t FROM product) GROUP BY 1")(
-        partial(lambda col, spark, sf_dir: products(spark, sf_dir).select(F.explode(col).alias("t")).groupBy("t").agg(F.count(ONE).alias("n")), _col)
+        partial(lambda values, number, spark, sf_dir: facet(spark, sf_dir, values, F.expr(number)), _values, _number)
     )
 
 

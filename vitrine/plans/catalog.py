@@ -93,12 +93,11 @@ def products(spark: SparkSession, sf_dir: str, where: Column | None = None) -> D
             F.array_sort(F.collect_set(F.col("sid") % len(COLORS) + 1)).alias("cids"),
         )
     )
-    newest = table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate").alias("newest"))  # one row
+    newest = table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate").alias("newest"))  # looked up only where `day` is wanted
     bits = F.array(*[F.when(F.shiftright("p_size", k).bitwiseAND(1) == 1, F.lit(s)) for k, s in enumerate(STYLES)])
     empty = F.array().cast("array<string>")
     return (
         parts.join(per, F.col("p_partkey") == F.col("pid"), "left")
-        .crossJoin(F.broadcast(newest))
         .select(
             F.col("p_partkey").alias("pos"),
             F.col("p_partkey").cast("string").alias("id"),
@@ -111,7 +110,7 @@ def products(spark: SparkSession, sf_dir: str, where: Column | None = None) -> D
             "price_max",
             F.coalesce("in_stock", F.lit(False)).alias("in_stock"),
             F.coalesce("pop", F.lit(0)).alias("pop"),
-            F.coalesce(F.datediff("newest", "shipped") % 60, F.lit(30)).cast("int").alias("day"),
+            F.coalesce(F.datediff(newest.scalar(), "shipped") % 60, F.lit(30)).cast("int").alias("day"),
             (1 + F.col("p_size") % 7).cast("int").alias("n_images"),
             F.coalesce("n_variants", F.lit(0)).alias("n_variants"),
             F.coalesce(pick(SIZES, F.col("lines")), empty).alias("sizes"),
@@ -156,6 +155,16 @@ def named(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def facet(spark: SparkSession, sf_dir: str, values: list[str], number: Column) -> DataFrame:
+    """(t, n): of how many products some line item has each value; number: a line item's value, from 1.
+
+    The same counts as the lists of products() would give, from distinct pairs of product and value.
+    """
+    known = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"))
+    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", number.cast("int").alias("k")).distinct().join(known, "l_partkey", "left_semi")
+    return pairs.groupBy("k").agg(F.count(F.lit(1)).alias("n")).select(F.element_at(F.array(*map(F.lit, values)), F.col("k")).alias("t"), "n")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product views and click-outs: (pos, ts, day, measure, kind, session, product_id, product_name, brand, brand_slug, category)."""
     raw = table(spark, sf_dir, "events").filter(F.col("event_type").isin("view", "click", "purchase"))
