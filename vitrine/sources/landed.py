@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vitrine.functions.text import primary_name, slugify
 from vitrine.sources import EVENT, read_catalog, upsert
@@ -54,6 +55,18 @@ def read_groups(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return whole.withColumn("file", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1)).filter(F.col("_broken").isNull()).drop("_broken")
 
 
+def write_arrays(rows: DataFrame, path: str, lot: str, record: str, compression: str = "none") -> None:
+    """Records as JSON arrays, one file a lot in a folder of its own, written a record a line; no lot is gathered anywhere."""
+    text = F.to_json(F.col(record))
+    lines = rows.select(lot, F.xxhash64(text).alias("_k"), text.alias("_t"))
+    first = F.row_number().over(Window.partitionBy(lot).orderBy("_k", "_t")) == 1
+    lines = lines.select(lot, F.lit(1).alias("_o"), (~first).alias("_later"), F.concat(F.when(first, "").otherwise(","), "_t").alias("value"))
+    edges = rows.select(lot).distinct().select(lot, F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit("[").alias("v")), F.struct(F.lit(2).alias("o"), F.lit("]").alias("v")))).alias("e"))
+    every = lines.unionByName(edges.select(lot, F.col("e.o").alias("_o"), F.lit(False).alias("_later"), F.col("e.v").alias("value")))
+    every = every.repartition(lot).sortWithinPartitions(lot, "_o", "_later").select(lot, "value")
+    every.write.partitionBy(lot).option("compression", compression).text(path)
+
+
 def read_dimension(spark: SparkSession, path: str, value: str, key_name: str = "slug", value_name: str = "value") -> DataFrame:
     """A JSON object of entries as rows (key, value of the type given); a missing file has none.
 
