@@ -55,7 +55,7 @@ def test_hot_slot_is_cut(spark, tmp_path):
     total = place_rules(got, [(r[0], r[1]) for r in rows])
     assert len(total) == SHARDS and max(total.values()) - min(total.values()) <= 2 * max(r["size"] for r in got)
     hot = {r.part for r in got if r.doc_id is None}
-    assert PARTS * SHARDS / 3 < len(hot) < PARTS * SHARDS and {r.part for r in got if r.doc_id is not None} == {0}
+    assert PARTS * SHARDS / 3 < len(hot) < PARTS * SHARDS and sum(r.part > 0 for r in got if r.doc_id is not None) < 10  # such as share the slot
 
 
 def test_versions_and_growth(spark, tmp_path):
