@@ -131,10 +131,19 @@ def list_union(spark, sf_dir):
     return o.select("c", F.array_join(userdata.union_items(F.col("a"), b, 12).cast("array<string>"), ",").alias("items"))
 
 
-@query("J15_merge_lists")
+@query(
+    "J15_merge_lists",
+    """WITH o AS (SELECT o_orderkey AS pos, 'r' || (o_orderkey % 499) AS id, 'List ' || o_custkey AS name, CAST(o_orderkey AS VARCHAR) AS item, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS t FROM orders),
+    r AS (SELECT * FROM o WHERE pos % 2 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos DESC) = 1), l AS (SELECT * FROM o WHERE pos % 2 = 1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos DESC) = 1),
+    n AS (SELECT name, arg_max(id, pos) AS name_id FROM r GROUP BY 1), m AS (SELECT l.*, coalesce(x.id, name_id) AS want FROM l LEFT JOIN r x ON x.id = l.id LEFT JOIN n ON n.name = l.name),
+    k AS (SELECT * EXCLUDE (want), CASE WHEN row_number() OVER (PARTITION BY want ORDER BY pos) = 1 THEN want END AS goal FROM m)
+    SELECT coalesce(r.id, k.id) AS id, CASE WHEN coalesce(k.t > r.t, r.t IS NULL) THEN k.name ELSE r.name END AS name, concat_ws(',', r.item, k.item) AS items, least(k.t, r.t) AS created, greatest(k.t, r.t) AS updated
+    FROM k FULL JOIN r ON goal = r.id""",
+)
 def merge_lists(spark, sf_dir):
+    """Lists of two devices: met by id, else by name, each remote list by the first local one that comes for it."""
     o = table(spark, sf_dir, "orders")
-    cols = lambda d, k: d.select(F.col("o_orderkey").alias("pos"), F.concat(F.lit(k), F.col("o_orderkey") % 500).alias("id"), F.concat(F.lit("List "), F.col("o_custkey").cast("string")).alias("name"), F.array(F.col("o_orderkey").cast("string")).alias("items"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("created"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("updated"))  # noqa: E731, E501
+    cols = lambda d, k: d.select(F.col("o_orderkey").alias("pos"), F.concat(F.lit(k), F.col("o_orderkey") % 499).alias("id"), F.concat(F.lit("List "), F.col("o_custkey").cast("string")).alias("name"), F.array(F.col("o_orderkey").cast("string")).alias("items"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("created"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("updated"))  # noqa: E731, E501
     remote = userdata.latest(cols(o.filter("o_orderkey % 2 = 0"), "r"), ["id"], ["pos"])
     local = userdata.latest(cols(o.filter("o_orderkey % 2 = 1"), "r"), ["id"], ["pos"])
     return userdata.merge_lists(remote, local).select("id", "name", F.array_join("items", ",").alias("items"), "created", "updated")
