@@ -502,6 +502,7 @@ def test_queries_return_their_contract(spark, tmp_path, docs):
         "op8_toxicity": ["doc_id", "held_out", "score", "predicted"],
         "op9_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
         "op10_sentencepiece": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        "op11_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     }
     for name, wanted in columns.items():
         got = QUERIES[name](spark, str(tmp_path))
@@ -509,7 +510,8 @@ def test_queries_return_their_contract(spark, tmp_path, docs):
         assert Counter(r.doc_id for r in got.collect()) == Counter(i for i, *_ in rows), name
     packed = QUERIES["op6_best_fit_packing"](spark, str(tmp_path))
     assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and {r.doc_id for r in packed.collect()} == {i for i, *_ in rows}
-    assert set(QUERIES) == {*columns, "op6_best_fit_packing"}
+    other_tables = {"op12_ranked_search", "op13_conversation_repair"}  # in test_layout
+    assert set(QUERIES) == {*columns, "op6_best_fit_packing", *other_tables}
 
 
 def test_declared_types_of_a_column(spark, tmp_path):
