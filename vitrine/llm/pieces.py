@@ -198,13 +198,22 @@ def whole(word: str) -> str:
 
 
 class _WordIds(BoundedCache):
+    """The ids of words, in two generations: a word that is asked for again moves from the old one to the new, so
+    frequent words are worked out once, however many rare ones pass through."""
+
     def __init__(self, vocab: Vocabulary) -> None:
-        super().__init__()
+        super().__init__(400_000)
         self.vocab = vocab
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        self.room(1)
-        found = self[word] = np.array(self.vocab.encode_word(whole(word)), np.int32).tobytes()
+        found = self.before.get(word)
+        if found is None:
+            found = np.array(self.vocab.encode_word(whole(word)), np.int32).tobytes()
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[word] = found
         return found
 
 
