@@ -56,15 +56,17 @@ def read_groups(spark: SparkSession, path: str, ddl: str) -> DataFrame:
 
 
 def write_arrays(rows: DataFrame, path: str, lot: str, record: str, compression: str = "none") -> None:
-    """Records as JSON arrays, one file a lot in a folder of its own, written a record a line; no lot is gathered anywhere."""
+    """Records as JSON arrays, one file a lot in a folder of its own, written a record a line; no lot is gathered anywhere.
+
+    The brackets stand in the first and last record's line, so that a lot's lines are all of one shuffle.
+    """
     text = F.to_json(F.col(record))
     lines = rows.select(lot, F.xxhash64(text).alias("_k"), text.alias("_t"))
-    first = F.row_number().over(Window.partitionBy(lot).orderBy("_k", "_t")) == 1
-    lines = lines.select(lot, F.lit(1).alias("_o"), (~first).alias("_later"), F.concat(F.when(first, "").otherwise(","), "_t").alias("value"))
-    edges = rows.select(lot).distinct().select(lot, F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit("[").alias("v")), F.struct(F.lit(2).alias("o"), F.lit("]").alias("v")))).alias("e"))
-    every = lines.unionByName(edges.select(lot, F.col("e.o").alias("_o"), F.lit(False).alias("_later"), F.col("e.v").alias("value")))
-    every = every.repartition(lot).sortWithinPartitions(lot, "_o", "_later").select(lot, "value")
-    every.write.partitionBy(lot).option("compression", compression).text(path)
+    order = Window.partitionBy(lot).orderBy("_k", "_t")
+    lines = lines.select(lot, "_t", F.row_number().over(order).alias("_n"), F.lead(F.lit(True)).over(order).isNull().alias("_last"))
+    value = F.concat(F.when(F.col("_n") == 1, "[").otherwise(","), "_t", F.when(F.col("_last"), "]").otherwise(""))
+    lines = lines.repartition(lot).sortWithinPartitions(lot, "_n").select(lot, value.alias("value"))
+    lines.write.partitionBy(lot).option("compression", compression).text(path)
 
 
 def read_dimension(spark: SparkSession, path: str, value: str, key_name: str = "slug", value_name: str = "value") -> DataFrame:
