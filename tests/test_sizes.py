@@ -29,3 +29,10 @@ def test_arrays_of_many_rows(spark, tmp_path):
     """A lot is one file whose brackets stand around all of its records."""
     files = arrays(spark, f"{tmp_path}/a", "txt")
     assert len(files) == 5 and sorted(r["id"] for f in files for r in json.loads(f.read_text())) == list(range(20_000))
+
+
+def test_gzip_arrays_of_many_rows(spark, tmp_path):
+    """The same compressed, through the catalogue's reader, which takes whole arrays only."""
+    assert len(arrays(spark, f"{tmp_path}/a", "gz", compression="gzip")) == 5
+    got = landed.CatalogCache(spark).get(f"{tmp_path}/a")
+    assert got.count() == 20_000 and got.select("id").distinct().count() == 20_000
