@@ -44,3 +44,14 @@ def test_equal_places(spark, tmp_path):
     df = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string")
     df.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {(r.slug, r.url) for r in registry.queries()["S31_first_valid"](spark, str(tmp_path)).collect()} == {(7, 5), (8, 6)}
+
+
+def test_lists_of_many_pages(spark, tmp_path):
+    """A list is read to its end, however many pages it has; an option bounds it."""
+    spark.dataSource.register(paged.LandedPages)
+    for page in range(1, 71):
+        at = Path(tmp_path, "brand=long", f"page={page}")
+        at.mkdir(parents=True)
+        (at / "part-0.txt").write_text(json.dumps({"products": [{"variants": [{"price": "5"}]}] * (3 if page < 70 else 1)}))
+    read = spark.read.format("landed_pages").option("path", str(tmp_path)).option("full", "3")
+    assert read.load().count() == 70 and read.option("most", "5").load().count() == 5

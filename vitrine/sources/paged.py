@@ -22,6 +22,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import count
 from urllib.parse import quote, unquote
 
 from pyarrow import fs
@@ -31,7 +32,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.window import Window
 
 SCHEMA = "brand string, page int, products int, body string, note string"
-FULL_PAGE, MOST_PAGES = 250, 60
+FULL_PAGE, WRITERS = 250, 64
 MISSING, PRICELESS = "missing", "priceless"
 
 
@@ -73,13 +74,13 @@ class Pages:
         return None
 
 
-def walk(pages: Pages, brand: str, full: int, most: int, first: int = 1) -> Iterator[tuple[str, int, int, str, str | None]]:
+def walk(pages: Pages, brand: str, full: int, most: int | None, first: int = 1) -> Iterator[tuple[str, int, int, str, str | None]]:
     """A brand's pages from `first` on, each held back until it is known how the list goes on."""
     there = pages.pages(brand)
     products_of = lambda body: body and json.loads(body).get("products")
     opening = priced(products_of(pages.body(there[1])) or []) if first > 1 and 1 in there else 0
     held = None
-    for number in range(first, most + 1):
+    for number in count(first) if most is None else range(first, most + 1):
         body = pages.body(there[number]) if number in there else None
         try:
             products = products_of(body)
@@ -114,7 +115,7 @@ class BrandPages(InputPartition):
 
 
 class PageReader(DataSourceReader):
-    def __init__(self, path: str, full: int, most: int) -> None:
+    def __init__(self, path: str, full: int, most: int | None) -> None:
         self.path, self.full, self.most = path, full, most
         self.wanted: set[str] | None = None
 
@@ -141,7 +142,7 @@ class PageReader(DataSourceReader):
 class PageStreamReader(DataSourceStreamReader):
     """Offsets are how many pages of each brand have landed; a page is read once, in the batch it is first seen in."""
 
-    def __init__(self, path: str, full: int, most: int) -> None:
+    def __init__(self, path: str, full: int, most: int | None) -> None:
         self.path, self.full, self.most = path, full, most
 
     def initialOffset(self) -> dict:
@@ -152,7 +153,7 @@ class PageStreamReader(DataSourceStreamReader):
         found = {}
         for brand in pages.brands():
             there, n = pages.pages(brand), 0
-            while n + 1 in there and n < self.most:
+            while n + 1 in there and (self.most is None or n < self.most):
                 n += 1
             if n:
                 found[brand] = n
@@ -162,12 +163,12 @@ class PageStreamReader(DataSourceStreamReader):
         return [BrandPages(b, start.get(b, 0) + 1, n) for b, n in sorted(end.items()) if n > start.get(b, 0)]
 
     def read(self, partition: BrandPages) -> Iterator[tuple]:
-        for row in walk(Pages(self.path), partition.brand, self.full, min(self.most, partition.last), partition.first):
+        for row in walk(Pages(self.path), partition.brand, self.full, partition.last, partition.first):
             yield row
 
 
 class LandedPages(DataSource):
-    """Options: path, full (products of a page that is not the last; 250), most (pages of a brand; 60)."""
+    """Options: path, full (products of a page that is not the last; 250), most (pages of a brand; all)."""
 
     @classmethod
     def name(cls) -> str:
@@ -177,7 +178,8 @@ class LandedPages(DataSource):
         return SCHEMA
 
     def _made(self, kind: type):
-        return kind(self.options["path"], int(self.options.get("full", FULL_PAGE)), int(self.options.get("most", MOST_PAGES)))
+        most = self.options.get("most")
+        return kind(self.options["path"], int(self.options.get("full", FULL_PAGE)), None if most is None else int(most))
 
     def reader(self, schema) -> PageReader:
         return self._made(PageReader)
@@ -193,4 +195,4 @@ def land_pages(products: DataFrame, path: str, full: int = FULL_PAGE) -> None:
         products = products.withColumn("page", (F.floor(place / full) + 1).cast("int"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", "product"))), lambda x: x["product"])  # a page's at most
     bodies = products.groupBy("brand", "page").agg(F.to_json(F.struct(rows.alias("products"))).alias("value"))
-    bodies.repartition("brand").write.partitionBy("brand", "page").mode("append").text(path)
+    bodies.repartition(WRITERS, "brand", "page").write.partitionBy("brand", "page").mode("append").text(path)
