@@ -55,3 +55,10 @@ def test_lists_of_many_pages(spark, tmp_path):
         (at / "part-0.txt").write_text(json.dumps({"products": [{"variants": [{"price": "5"}]}] * (3 if page < 70 else 1)}))
     read = spark.read.format("landed_pages").option("path", str(tmp_path)).option("full", "3")
     assert read.load().count() == 70 and read.option("most", "5").load().count() == 5
+
+
+def test_records_of_many_pages(spark, tmp_path):
+    """A list of 70 pages gives all its records."""
+    p = spark.range(1400).select(F.col("id").alias("p_partkey"), F.lit("Brand#5").alias("p_brand"), F.lit("x").alias("p_name"), F.lit(9.0).alias("p_retailprice"))
+    p.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert registry.queries()["S13_paged_records"](spark, str(tmp_path)).select("id").distinct().count() == 1400
