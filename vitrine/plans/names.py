@@ -13,7 +13,7 @@ from vitrine.functions import classify, html, rules
 from vitrine.functions.color import NAMES, name_to_tags
 from vitrine.functions.text import ACCENTED, BASES, PLAIN, TURKISH, fold, tr_lower
 from vitrine.operators import search
-from vitrine.plans.catalog import sql_list, table
+from vitrine.plans.catalog import spread, sql_list, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -54,7 +54,7 @@ def names(spark, sf_dir) -> DataFrame:
     """id, name, source_text, sizes, brand."""
     sizes = F.element_at(F.array(*[F.array(*map(F.lit, s)).cast("array<string>") for s in EDGE_SIZES]), (F.col(KEY) % len(EDGE_SIZES) + 1).cast("int"))
     name = F.trim(F.concat_ws(" ", turn(BEFORE, 1), "p_name", turn(AFTER, 1)))
-    return table(spark, sf_dir, "part").select(F.col(KEY).alias("id"), name.alias("name"), turn(SOURCE, 3).alias("source_text"), sizes.alias("sizes"), F.col("p_brand").alias("brand"))
+    return spread(table(spark, sf_dir, "part"), KEY).select(F.col(KEY).alias("id"), name.alias("name"), turn(SOURCE, 3).alias("source_text"), sizes.alias("sizes"), F.col("p_brand").alias("brand"))
 
 
 NAME_SQL = f"""WITH n AS (SELECT {KEY} AS id, trim({sql_turn(BEFORE, 1)} || ' ' || p_name || ' ' || {sql_turn(AFTER, 1)}) AS name, {sql_turn(SOURCE, 3)} AS source_text,
