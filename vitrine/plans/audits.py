@@ -12,6 +12,7 @@ from vitrine.functions.text import fold, index_letter
 from vitrine.operators import audits as audits_op
 from vitrine.operators import resolve
 from vitrine.plans.catalog import CURRENCY, GROUP, PRODUCT_SQL, lookup, products, sql_list, sql_lookup, table, variants
+from vitrine.plans.files import written
 from vitrine.plans.names import COPIES, names, sql_fold, sql_hit, sql_tr, sql_turn, turn
 
 Q: dict = {}
@@ -108,9 +109,10 @@ def gender_accuracy(spark, sf_dir):
 def archive_audit(spark, sf_dir):
     """What the archive router would take, by reason, signal and brand; the eight largest brands of each."""
     n = names(spark, sf_dir).withColumn("category", classify.categorize(F.col("name"))).withColumn("kids", classify.kids_reason(F.col("name"), F.col("sizes"), F.col("brand")))
-    routed = resolve.route(n, ["Brand#1", "Brand#7"]).filter(F.col("archive_reason").isNotNull())
+    routed = resolve.route(n, ["Brand#1", "Brand#7"])
     signal = F.when(F.col("archive_reason") == "COCUK", F.col("kids")).otherwise("-")
-    g = routed.groupBy(F.col("archive_reason").alias("reason"), signal.alias("signal"), "brand").agg(F.count("*").alias("n"))
+    # rows without a reason count nothing: a filter on the reason would work it out once more, before rows are dealt over the cores
+    g = routed.groupBy(F.col("archive_reason").alias("reason"), signal.alias("signal"), "brand").agg(F.count("archive_reason").alias("n")).filter("n > 0")
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("reason", "signal").orderBy(F.desc("n"), "brand"))).filter("rank <= 8")
 
 
@@ -212,7 +214,9 @@ def every_kth(spark, sf_dir):
 def suggestions(spark, sf_dir):
     """For each needle at most five brands, then categories, six in all; needles under two characters have none."""
     n = names(spark, sf_dir)
-    kinds = [(0, "brand", n.select(F.col("brand").alias("v")).distinct()), (1, "category", n.select(classify.categorize(F.col("name")).alias("v")).distinct())]
+    both = F.array(*(F.struct(F.lit(kind).alias("kind"), v.alias("v")) for kind, v in (("brand", F.col("brand")), ("category", classify.categorize(F.col("name"))))))
+    every = written(n.select(F.explode(both).alias("e")).select("e.*").distinct(), "suggested")
+    kinds = [(place, kind, every.filter(F.col("kind") == kind).select("v")) for place, kind in enumerate(("brand", "category"))]
     found = None
     for needle in ("nd#1", "ka", "k"):
         if len(needle) < 2:
