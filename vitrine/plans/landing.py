@@ -211,7 +211,7 @@ def review_upsert(spark, sf_dir):
     SELECT event_id, EXISTS (SELECT 1 FROM m WHERE m.user_id = e.user_id AND m.ts < e.ts AND epoch_us(e.ts) - epoch_us(m.ts) <= 43200000000) AS dead FROM events e WHERE event_type = 'view'""",
 )
 def dead_images(spark, sf_dir):
-    """A stream of marks (errors) and asks (views): dead is what was marked in the last twelve hours."""
+    """A stream of marks (errors) and asks (views): dead is what was marked in the last twelve hours, however many addresses that are."""
     landed, out = shared(spark, "marks"), shared(spark, "dead")
     ev = table(spark, sf_dir, "events").filter(F.col("event_type").isin("error", "view"))
     ev = ev.select(F.col("user_id").cast("string").alias("url"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "error").alias("mark"), "event_id")
@@ -221,8 +221,8 @@ def dead_images(spark, sf_dir):
     before = spark.conf.get(store)
     spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        streaming.dead_images(stream, groups=8).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+        streaming.dead_images(stream, most=None, groups=8).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(store, before)
-    told = spark.read.schema("url string, at timestamp, dead boolean").parquet(out)
+    told = spark.read.schema("url string, at timestamp, dead boolean").parquet(out).distinct()  # asks of one address at one time have one answer
     return ev.filter("not mark").join(told, ["url", "at"]).select("event_id", "dead")

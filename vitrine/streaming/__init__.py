@@ -148,14 +148,16 @@ def upsert_batches(stream: DataFrame, table: KeyedTable, checkpoint: str, delete
 
 
 class DeadImages(StatefulProcessor):
-    """Addresses marked dead for `ttl` seconds, the last `most` of a group of addresses; asks are answered by what is known.
+    """Addresses marked dead for `ttl` seconds, the last `most` of a group of addresses (None: all); asks are answered by what is known.
 
     State of a group: address -> (since when, turn), turn -> address, and the span of turns.  A mark that comes again
     renews its time, not its turn.  With `most` known the address of the oldest turn leaves, and an event-time timer
-    takes out an address that was not marked again when its time is up; so state is bounded in size and in time.
+    takes out addresses that were not marked again when their time is up; so state is bounded in time, and in size by most.
+    A batch asks the state once for each of its addresses and writes each changed one once.  A group has one timer at a
+    time, for the address that is first to run out; it takes out all that have.
     """
 
-    def __init__(self, ttl: int = 12 * 3600, most: int = 20_000) -> None:
+    def __init__(self, ttl: int = 12 * 3600, most: int | None = 20_000) -> None:
         self.ttl, self.most = ttl, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -167,51 +169,88 @@ class DeadImages(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         whole = pd.concat(list(rows)).sort_values(["at", "mark", "url"], kind="stable")
         first, following, size = self.span.get() if self.span.exists() else (0, 0, 0)
+        known: dict = {}  # of this batch's addresses, None: not known; written back below
+        turns: dict = {}
+        before: dict = {}
         asked = []
-        for url, when, at, mark in zip(whole["url"], whole["at"], whole["at"].astype("datetime64[us]").astype("int64"), whole["mark"], strict=True):
-            have = self.known.getValue((url,)) if self.known.containsKey((url,)) else None
+
+        def state_of(url):
+            if url not in known:
+                known[url] = before[url] = tuple(self.known.getValue((url,))) if self.known.containsKey((url,)) else None
+            return known[url]
+
+        for url, at, mark in zip(whole["url"], whole["at"].astype("datetime64[us]").astype("int64"), whole["mark"], strict=True):
+            have = state_of(url)
             if have is not None and at - have[0] > self.ttl * 1_000_000:  # its timer has not fired yet
-                self._forget(url, have[1])
+                known[url], turns[have[1]] = None, None
                 size, have = size - 1, None
             if not mark:
-                asked.append((url, when, have is not None))
+                asked.append(have is not None)
                 continue
             if have is None:
-                if size >= self.most:
-                    while not self.turns.containsKey((first,)):
+                if self.most is not None and size >= self.most:
+                    while True:
+                        oldest = turns[first] if first in turns else self.turns.getValue((first,))[0] if self.turns.containsKey((first,)) else None
+                        if oldest is not None:
+                            break
                         first += 1
-                    self._forget(self.turns.getValue((first,))[0], first)
+                    state_of(oldest)
+                    known[oldest], turns[first] = None, None
                     first, size = first + 1, size - 1
-                self.turns.updateValue((following,), (url,))
                 have, following, size = (at, following), following + 1, size + 1
-            self.known.updateValue((url,), (int(at), int(have[1])))
-            self.handle.registerTimer(int(at // 1000 + self.ttl * 1000 + 1))
+                turns[have[1]] = url
+            known[url] = (int(at), int(have[1]))
+        for url, now in known.items():
+            if now is not None and now != before[url]:
+                self.known.updateValue((url,), now)
+            elif now is None and before[url] is not None:
+                self.known.removeKey((url,))
+        if self.most is not None:  # without a bound nobody's turn comes
+            gone = {have[1] for have in before.values() if have is not None}
+            for turn, url in turns.items():
+                if url is not None:
+                    self.turns.updateValue((turn,), (url,))
+                elif turn in gone:
+                    self.turns.removeKey((turn,))
         self.span.update((first, following, size))
+        live = [now[0] for now in known.values() if now is not None]
+        if live and next(iter(self.handle.listTimers()), None) is None:
+            self._set_timer(min(live))
         if asked:
-            yield pd.DataFrame({"url": [u for u, _, _ in asked], "at": [t for _, t, _ in asked], "dead": [d for _, _, d in asked]})
+            asks = whole[~whole["mark"].astype(bool)]
+            yield pd.DataFrame({"url": asks["url"].to_numpy(), "at": asks["at"].to_numpy(), "dead": asked})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        before = (expiredTimerInfo.getExpiryTimeInMs() - self.ttl * 1000) * 1000
+        before = (max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) - self.ttl * 1000) * 1000
         first, following, size = self.span.get() if self.span.exists() else (0, 0, 0)
-        for (url,), (at, turn) in [(k, v) for k, v in self.known.iterator() if v[0] < before]:
-            self._forget(url, turn)
-            size -= 1
-        self.span.update((first, following, max(0, size)))
+        gone, soonest = [], None
+        for (url,), (at, turn) in self.known.iterator():
+            if at < before:
+                gone.append((url, turn))
+            else:
+                soonest = at if soonest is None else min(soonest, at)
+        for url, turn in gone:
+            self.known.removeKey((url,))
+            if self.most is not None:
+                self.turns.removeKey((turn,))
+        self.span.update((first, following, max(0, size - len(gone))))
+        if soonest is not None:
+            self._set_timer(soonest)
         return iter([])
 
-    def _forget(self, url: str, turn: int) -> None:
-        self.known.removeKey((url,))
-        self.turns.removeKey((turn,))
+    def _set_timer(self, at: int) -> None:
+        self.handle.registerTimer(int(at // 1000 + self.ttl * 1000 + 1))
 
     def close(self) -> None:
         pass
 
 
-def dead_images(rows: DataFrame, ttl: int = 12 * 3600, most: int = 20_000, groups: int = 64, late: str = "10 minutes") -> DataFrame:
+def dead_images(rows: DataFrame, ttl: int = 12 * 3600, most: int | None = 20_000, groups: int = 64, late: str = "10 minutes") -> DataFrame:
     """(url, at, dead) for asks, from rows (url, at, mark: whether it is a mark or an ask) of a stream.
 
-    Addresses are dealt to `groups` by their hash, each of which knows most / groups of them.  The state store has to
-    be RocksDB (spark.sql.streaming.stateStore.providerClass).
+    Addresses are dealt to `groups` by their hash, each of which knows most / groups of them; most None: all that are
+    marked within ttl.  The state store has to be RocksDB (spark.sql.streaming.stateStore.providerClass).
     """
     dealt = rows.withWatermark("at", late).withColumn("part", F.pmod(F.xxhash64("url"), F.lit(groups)).cast("int"))
-    return dealt.groupBy("part").transformWithStateInPandas(DeadImages(ttl, max(1, most // groups)), "url string, at timestamp, dead boolean", "Append", "EventTime")
+    kept = None if most is None else max(1, most // groups)
+    return dealt.groupBy("part").transformWithStateInPandas(DeadImages(ttl, kept), "url string, at timestamp, dead boolean", "Append", "EventTime")
