@@ -5,56 +5,74 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.errors import StreamingQueryException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.sources.runs import KeyedTable
 
-OUT_OF_TIME = "the time of this run is up"
 PLAN = "slug string, lane int, place long"
+LOTS = f"{PLAN}, lot long"
 
 
-class _OutOfTime(Exception):
-    pass
+def _kept(spark, path: str, schema: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
 
 
 def queue(plan: DataFrame, path: str, lot: int = 20) -> int:
-    """Write the plan (slug, lane, place) as lots, one file each in the order in which they are due; returns their number."""
-    lanes = [r for r in plan.groupBy("lane").agg(F.max("place").alias("n")).orderBy("lane").collect()]
-    written = 0
-    for lane, n in lanes:
-        for k in range(0, n, lot):
-            mine = plan.filter((F.col("lane") == lane) & (F.col("place") > k) & (F.col("place") <= k + lot))
-            mine.select("slug", F.col("lane").cast("int").alias("lane"), F.col("place").cast("long").alias("place")).coalesce(1).write.mode("append").parquet(path)
-            written += 1
+    """Write the plan (slug, lane, place) as numbered lots in the order in which they are due, after those queued before; returns their number."""
+    have = _kept(plan.sparkSession, path, LOTS)
+    start = 0 if have is None else (have.agg(F.max("lot")).first()[0] + 1)
+    number, written = F.lit(None).cast("long"), 0
+    for lane, n in plan.groupBy("lane").agg(F.max("place").alias("n")).orderBy("lane").collect():  # a row a lane
+        number = F.when(F.col("lane") == lane, start + written + F.floor((F.col("place") - 1) / lot)).otherwise(number)
+        written += -(-n // lot)
+    lots = plan.select("slug", F.col("lane").cast("int").alias("lane"), F.col("place").cast("long").alias("place"), number.cast("long").alias("lot"))
+    lots.repartitionByRange("lot").sortWithinPartitions("lot").write.mode("append").parquet(path)
     return written
 
 
 def refresh(
-    spark, lots: str, checkpoint: str, state: KeyedTable, work: Callable[[DataFrame], DataFrame], budget: float, clock: Callable[[], float] = time.monotonic
+    spark, lots: str, checkpoint: str, state: KeyedTable, work: Callable[[DataFrame], DataFrame], budget: float, clock: Callable[[], float] = time.monotonic, at_once: int = 1
 ) -> bool:
     """Work through the queued lots, and whether all are done.
 
-    lots: what queue() wrote.  work: a lot (slug, lane, place) to the state's rows of its stores.  The stream takes all
-    lots that are there, one a batch; a batch is done when the state has it.  Before a lot of the slow lane (1 or more)
-    the clock is looked at: once `budget` is spent the run ends, the lot stays, and another run with the same checkpoint
-    begins with it.  A lot that was cut short is done again; the state knows its number, so it counts once.
+    lots: what queue() wrote.  work: lots (slug, lane, place) to the state's rows of their stores.  Lots are done when
+    the state has them; its last number less what `checkpoint` says it was before the first lot tells where to go on.
+    Before a lot of the slow lane (1 or more) the clock is looked at: once `budget` is spent the run ends, the lot
+    stays, and another run with the same checkpoint begins with it.
+
+    at_once: so many lots may be worked on together: fast ones always; of slow ones, after a first, as many as the time
+    that is left has room for at the pace of those before, one at least.
     """
     started = clock()
-
-    def one(batch: DataFrame, number: int) -> None:
-        slow = batch.agg(F.max("lane")).first()[0] or 0
-        if slow and clock() - started > budget:
-            raise _OutOfTime(OUT_OF_TIME)
-        state.append(work(batch), number)
-
-    stream = spark.readStream.schema(PLAN).option("maxFilesPerTrigger", 1).parquet(lots)
-    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    except StreamingQueryException as e:
-        if OUT_OF_TIME not in str(e):
-            raise
-        return False
+    queued = _kept(spark, lots, LOTS)
+    if _kept(spark, checkpoint, "before long") is None:
+        spark.createDataFrame([(state.manifest()["last"],)], "before long").coalesce(1).write.parquet(checkpoint)
+    offset = _kept(spark, checkpoint, "before long").first()[0] + 1
+    last = queued.agg(F.max("lot")).first()[0]
+    following, slow_done, slow_time = state.manifest()["last"] + 1 - offset, 0, 0.0
+    while last is not None and following <= last:
+        ahead = queued.filter(F.col("lot").between(following, following + at_once - 1))
+        slow, turn = ahead.agg(
+            F.max(F.when(F.col("lot") == following, F.col("lane"))).alias("lane"), F.struct(F.min(F.when(F.col("lane") == 0, F.col("lot"))).alias("fast"), F.min(F.when(F.col("lane") > 0, F.col("lot"))).alias("slow"))
+        ).first()
+        left = budget - (clock() - started)
+        if slow and left < 0:
+            return False
+        pace = slow_time / slow_done if slow_done else None
+        many = at_once if not slow else 1 if pace is None else at_once if pace <= 0 else max(1, int(min(at_once, left / pace)))
+        other = turn.fast if slow else turn.slow  # lots of the other kind wait
+        until = min(following + many - 1, last, following + at_once - 1 if other is None or other < following else other - 1)
+        mine = queued.filter(F.col("lot").between(following, until))
+        since = clock()
+        state.append(work(mine.select("slug", "lane", "place")), offset + until)
+        if slow:
+            slow_done, slow_time = slow_done + until - following + 1, slow_time + clock() - since
+        following = until + 1
     return True

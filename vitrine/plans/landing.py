@@ -189,7 +189,7 @@ def refresh_runs(spark, sf_dir):
 
     for run, budget in ((1, 1.5), (2, 1e9)):
         turns |= {"run": run, "slow": 0}
-        R.refresh(spark, f"{path}/lots", f"{path}/checkpoint", state, work, budget, clock=lambda: float(turns["slow"]))
+        R.refresh(spark, f"{path}/lots", f"{path}/checkpoint", state, work, budget, clock=lambda: float(turns["slow"]), at_once=10_000)
     return state.read().select("slug", "run")
 
 
