@@ -6,6 +6,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from vitrine.functions.color import hex_to_tag, tone_class
+from vitrine.operators import merge
 from vitrine.operators import refresh as R
 from vitrine.sources import landed, paged
 from vitrine.sources.runs import KeyedTable
@@ -110,3 +112,17 @@ def test_asks_at_one_time(spark, tmp_path):
     ev.select("event_id", "user_id", "event_type", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     got = registry.queries()["T07_dead_images"](spark, str(tmp_path)).collect()
     assert sorted((r.event_id, r.dead) for r in got) == [(2, True), (3, True), (4, False), (5, False)]
+
+
+@pytest.mark.parametrize("name", ["X10_better_hex", "X52_swatches", "S12_shop_records", "S14_graph_records", "S17_market_records", "S18_site_records", "X42_page_records"])
+def test_parts_are_dealt(spark, parts, name):
+    """Heavy work on each part is not left to the few splits of a small table."""
+    assert "RepartitionByExpression" in registry.queries()[name](spark, parts)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_colours_are_read_once(spark):
+    """The digits of a shade and the families of a name stand in the plan once each."""
+    df = spark.range(1).select(F.lit("x").alias("h"), F.lit("y").alias("n")).repartition(2)
+    plan = lambda c: df.select(c.alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan(hex_to_tag(F.col("h"))).count("regexp_extract") == 1 and plan(tone_class(F.col("h"))).count("regexp_extract") == 1
+    assert plan(merge.better_hex(F.col("h"), F.col("h"), F.col("n"))).count("translate(") == 1

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.color import hex_to_tag, name_to_tags
+from vitrine.functions.sizes import let
 from vitrine.functions.text import tr_lower
 
 MAX_TAGS = 3
@@ -77,11 +78,10 @@ def unknown_shade(name: Column) -> Column:
 
 def color_to_hex(name: Column) -> Column:
     """The shade of a colour name: as a whole, else of its first known part, else of its first known word, else a grey."""
-    key = F.trim(tr_lower(F.coalesce(name, F.lit(""))))
     shades = F.create_map(*[F.lit(x) for shade, names in SHADES.items() for n in names for x in (n, shade)])
     known = lambda words: F.try_element_at(F.filter(F.transform(words, lambda w: F.try_element_at(shades, F.trim(w))), lambda s: s.isNotNull()), F.lit(1))
-    grey = unknown_shade(F.when(key == "", "default").otherwise(key))
-    return F.coalesce(F.try_element_at(shades, key), known(F.split(key, r"[/\-,|]")), known(F.split(key, r"\s+")), grey)
+    grey = lambda key: unknown_shade(F.when(key == "", "default").otherwise(key))
+    return let(F.trim(tr_lower(F.coalesce(name, F.lit("")))), lambda key: F.coalesce(F.try_element_at(shades, key), known(F.split(key, r"[/\-,|]")), known(F.split(key, r"\s+")), grey(key)))
 
 
 def colors_to_hex(names: Column, most: int = 3) -> Column:
@@ -97,9 +97,8 @@ def variant_key(color: Column, hex_: Column) -> Column:
 
 def better_hex(have: Column, new: Column, name: Column) -> Column:
     """The shade that agrees with the colour's name, the one at hand if both or neither do."""
-    families = name_to_tags(name)
-    agrees = lambda h: F.coalesce(F.array_contains(families, hex_to_tag(h)), F.lit(False))
-    return F.when((F.size(families) > 0) & ~agrees(have) & agrees(new), new).otherwise(have)
+    agrees = lambda families, h: F.coalesce(F.array_contains(families, hex_to_tag(h)), F.lit(False))
+    return let(name_to_tags(name), lambda f: F.when((F.size(f) > 0) & ~agrees(f, have) & agrees(f, new), new).otherwise(have))
 
 
 def swatch(measured: Column, own: Column, name: Column, suspect: Column) -> Column:
@@ -107,12 +106,15 @@ def swatch(measured: Column, own: Column, name: Column, suspect: Column) -> Colu
 
     A name that tells nothing, or that stands at several variants (suspect), has no say.
     """
-    families = name_to_tags(F.coalesce(name, F.lit("")))
     filled = lambda c: F.when(c != "", c)
-    choices = F.array(filled(measured), filled(own), color_to_hex(name))
-    agreeing = F.filter(choices, lambda h: h.isNotNull() & F.coalesce(F.array_contains(families, hex_to_tag(h)), F.lit(False)))
     plain = F.coalesce(filled(measured), own, F.lit(""))
-    return F.when(suspect | (F.size(families) == 0), plain).otherwise(F.coalesce(F.try_element_at(agreeing, F.lit(1)), filled(own), measured, F.lit("")))
+
+    def shown(families: Column) -> Column:
+        choices = F.array(filled(measured), filled(own), color_to_hex(name))
+        agreeing = F.filter(choices, lambda h: h.isNotNull() & F.coalesce(F.array_contains(families, hex_to_tag(h)), F.lit(False)))
+        return F.when(F.size(families) == 0, plain).otherwise(F.coalesce(F.try_element_at(agreeing, F.lit(1)), filled(own), measured, F.lit("")))
+
+    return F.when(suspect, plain).otherwise(let(name_to_tags(name), shown))
 
 
 def tags_from_names(names: Column) -> Column:
