@@ -13,7 +13,7 @@ from vitrine.functions.text import has_word_start, parse_number
 from vitrine.functions.classify import PRIOR_STYLES
 from vitrine.operators import audits, resolve
 from vitrine.plans.analytics import sql_band
-from vitrine.plans.catalog import PRODUCT_SQL, brand_score, products, rand_sql, sql_list, table
+from vitrine.plans.catalog import PRODUCT_SQL, brand_score, products, rand_sql, spread, sql_list, table
 from vitrine.plans.ranking import CAT_W, N_GRADED, case
 from vitrine.plans.state import RECORDS, records
 from vitrine.sources import stores
@@ -44,7 +44,7 @@ def sql_cycle(values: list[str], key: str = "p_partkey") -> str:
 
 
 def parts(spark, sf_dir):
-    return table(spark, sf_dir, "part").withColumn("id", F.col("p_partkey"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").withColumn("id", F.col("p_partkey"))
 
 
 # -- rules on names, sizes, numbers and images -------------------------------------------------------------

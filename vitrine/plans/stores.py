@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import pages as P
 from vitrine.operators.audits import allowed_image_host, looks_parked
-from vitrine.plans.catalog import table
+from vitrine.plans.catalog import spread, table
 from vitrine.sources import stores as S
 
 Q: dict = {}
@@ -33,7 +33,7 @@ def fill(template: str, **values: Column) -> Column:
 
 
 def part(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "part").withColumn("id", F.col("p_partkey")).withColumn("brand_slug", F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").withColumn("id", F.col("p_partkey")).withColumn("brand_slug", F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))))
 
 
 #: Pages by p_partkey % 5: plain node, node in a graph, node three levels down, broken block and meta tags only, model with colours.
