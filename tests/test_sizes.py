@@ -126,3 +126,15 @@ def test_colours_are_read_once(spark):
     plan = lambda c: df.select(c.alias("c"))._jdf.queryExecution().analyzed().toString()
     assert plan(hex_to_tag(F.col("h"))).count("regexp_extract") == 1 and plan(tone_class(F.col("h"))).count("regexp_extract") == 1
     assert plan(merge.better_hex(F.col("h"), F.col("h"), F.col("n"))).count("translate(") == 1
+
+
+def test_pages_are_landed_by_the_source(spark, tmp_path):
+    """A page is one file, not four and a folder's renames; names that need escapes are found again; a page landed again replaces the older."""
+    at = f"{tmp_path}/lists"
+    for price in ("5", "7"):
+        p = spark.range(7).select(F.when(F.col("id") < 6, "a:b %41").alias("brand"), F.col("id").alias("pos"), F.struct("id", F.array(F.struct(F.lit(price).alias("price"))).alias("variants")).alias("product"))
+        paged.land_pages(p, at, full=4)
+    assert sorted(str(f.relative_to(at)) for f in Path(at).rglob("*") if f.is_file()) == [f"brand=a%3Ab %2541/page={n}/body.txt" for n in (1, 2)]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    got = spark.read.format("landed_pages").option("path", at).option("full", "4").load().filter("brand = 'a:b %41'").orderBy("page").collect()
+    assert [(r.page, r.products, r.note) for r in got] == [(1, 4, None), (2, 2, None)] and '"price":"7"' in got[0].body

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,8 +53,7 @@ def landed_lists(spark, sf_dir) -> str:
 
 
 def landed_pages(spark, path: str) -> DataFrame:
-    cloudpickle.register_pickle_by_value(sys.modules[paged.__name__])
-    spark.dataSource.register(paged.LandedPages)
+    paged.register(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("landed_pages").option("path", path).option("full", str(FULL)).load()
 

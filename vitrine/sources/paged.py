@@ -4,6 +4,8 @@
     spark.read.format("landed_pages").option("path", folder).load()        # a batch
     spark.readStream.format("landed_pages").option("path", folder).load()  # pages as they land
 
+    bodies.write.format("landed_pages").mode("append").option("path", folder).save()  # (brand, page, body)
+
 The folder holds brand=<slug>/page=<number>/ with one JSON body of {"products": [..]} in each.  A list ends with the
 first page that is short, empty or not there.  A store that tires answers with bodies whose variants have no price: when
 the first page has prices and a later one has none, that page and what follows is not data, and is not returned.
@@ -20,19 +22,22 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import count
 from urllib.parse import quote, unquote
 
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.window import Window
 
 SCHEMA = "brand string, page int, products int, body string, note string"
-FULL_PAGE, WRITERS = 250, 64
+FULL_PAGE = 250
 MISSING, PRICELESS = "missing", "priceless"
 
 
@@ -63,8 +68,13 @@ class Pages:
     def brands(self) -> list[str]:
         return sorted(self._folders(self.root, "brand="))
 
+    def _of(self, brand: str) -> str:
+        """A brand's folder, its name escaped as Spark escapes those of partitions."""
+        name = re.sub(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda c: f"%{ord(c[0]):02X}", brand)
+        return f"{self.root}/brand={name}"
+
     def pages(self, brand: str) -> dict[int, str]:
-        return {int(n): path for n, path in self._folders(f"{self.root}/brand={brand}", "page=").items() if n.isdecimal()}
+        return {int(n): path for n, path in self._folders(self._of(brand), "page=").items() if n.isdecimal()}
 
     def body(self, folder: str) -> str | None:
         for f in sorted(self.files.get_file_info(fs.FileSelector(folder)), key=lambda f: f.base_name):
@@ -73,6 +83,15 @@ class Pages:
                     return stream.read().decode("utf-8")
         return None
 
+    def land(self, brand: str, page: int, body: str) -> None:
+        """Put a page in its place, whole or not at all; one that is landed again takes the place of the older."""
+        folder = f"{self._of(brand)}/page={page}"
+        self.files.create_dir(folder, recursive=True)
+        made = f"{folder}/_{uuid.uuid4().hex}"
+        with self.files.open_output_stream(made) as stream:
+            stream.write(body.encode("utf-8"))
+        self.files.move(made, f"{folder}/body.txt")
+
 
 def walk(pages: Pages, brand: str, full: int, most: int | None, first: int = 1) -> Iterator[tuple[str, int, int, str, str | None]]:
     """A brand's pages from `first` on, each held back until it is known how the list goes on."""
@@ -167,6 +186,19 @@ class PageStreamReader(DataSourceStreamReader):
             yield row
 
 
+class PageWriter(DataSourceWriter):
+    """Each task lands its own pages, each at once at its own address; a task that is run again lands the same ones."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
+        pages = Pages(self.path)
+        for row in iterator:
+            pages.land(row.brand, row.page, row.body)
+        return WriterCommitMessage()
+
+
 class LandedPages(DataSource):
     """Options: path, full (products of a page that is not the last; 250), most (pages of a brand; all)."""
 
@@ -187,12 +219,31 @@ class LandedPages(DataSource):
     def streamReader(self, schema) -> PageStreamReader:
         return self._made(PageStreamReader)
 
+    def writer(self, schema, overwrite: bool) -> PageWriter:
+        if overwrite:
+            raise ValueError("pages are landed beside those that are there: mode append")
+        return PageWriter(self.options["path"])
+
+
+def register(spark: SparkSession) -> None:
+    """Make the source known to a session; its code goes with it, as executors need not have this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    spark.dataSource.register(LandedPages)
+
 
 def land_pages(products: DataFrame, path: str, full: int = FULL_PAGE) -> None:
-    """Write products (brand, pos, product: struct) as landed pages, `full` to a page in the order of pos, or by a column `page`."""
+    """Write products (brand, pos, product: struct) as landed pages, `full` to a page in the order of pos, or by a column `page`.
+
+    Written by the source itself: as Spark's text files each page would be a checksum and two renames more, some of them the
+    driver's.  As many tasks as cores, since starting one takes longer than landing thousands of pages.  Products without a
+    brand are in no list.
+    """
+    register(products.sparkSession)
+    tasks = products.sparkSession.sparkContext.defaultParallelism
+    products = products.filter(F.col("brand").isNotNull())
     if "page" not in products.columns:
         place = F.row_number().over(Window.partitionBy("brand").orderBy("pos")) - 1
         products = products.withColumn("page", (F.floor(place / full) + 1).cast("int"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", "product"))), lambda x: x["product"])  # a page's at most
-    bodies = products.groupBy("brand", "page").agg(F.to_json(F.struct(rows.alias("products"))).alias("value"))
-    bodies.repartition(WRITERS, "brand", "page").write.partitionBy("brand", "page").mode("append").text(path)
+    bodies = products.groupBy("brand", "page").agg(F.to_json(F.struct(rows.alias("products"))).alias("body"))
+    bodies.repartition(tasks, "brand", "page").write.format("landed_pages").mode("append").option("path", path).save()
