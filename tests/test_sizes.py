@@ -1,6 +1,7 @@
 """What only shows in larger tables: files of many rows, lists of many pages, ties, and work done once a row."""
 
 import json
+import os
 import re
 from pathlib import Path
 
@@ -16,6 +17,7 @@ from vitrine.sources.runs import KeyedTable
 from vitrine.plans import registry
 
 
+FOLDER = "/root/testdata/sf0.001"
 SMALL = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
 
 
@@ -45,6 +47,15 @@ def test_gzip_arrays_of_many_rows(spark, tmp_path):
     assert got.count() == 20_000 and got.select("id").distinct().count() == 20_000
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
+def test_snapshot_files_stay_small(spark, tmp_path, monkeypatch):
+    """More products are more files, not larger ones."""
+    monkeypatch.setattr("vitrine.plans.files.LOT", 10)
+    monkeypatch.setattr("vitrine.plans.files.shared", lambda spark, name: f"{tmp_path}/{name}")
+    got = registry.queries()["S27_gzip_snapshot"](spark, FOLDER)
+    assert got.select("id").distinct().count() == 200 and len(list(tmp_path.rglob("*.gz"))) == 20
+
+
 def test_equal_places(spark, tmp_path):
     """Of candidates at one place the first row's counts, as in the order of the table."""
     rows = [(1, 7, k, 1, "R") for k in (5, 3, 9, 4)] + [(0, 7, 2, 1, "N"), (2, 8, 6, 1, "R"), (2, 8, 1, 1, "R")]

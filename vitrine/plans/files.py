@@ -179,11 +179,16 @@ def migrated_lists(spark, sf_dir):
     return landed.migrate_lists(lists, c).select("device", "name", F.size("ids").alias("items"))
 
 
+#: Products in a file of the snapshot: an array is written and read by one task, so there are more files, not larger ones.
+LOT = 10_000
+
+
 @query("S27_gzip_snapshot", f"{P} SELECT id, name, price FROM product")
 def gzip_snapshot(spark, sf_dir):
     """A catalogue written as gzip JSON and read through the catalogue's reader and cache; the second read is the kept one."""
     path = shared(spark, "snapshot")
-    rows = products(spark, sf_dir).select((F.col("pos") % 8).alias("lot"), F.struct("id", "name", "price").alias("r"))
+    lots = max(8, -(-table(spark, sf_dir, "part").count() // LOT))
+    rows = products(spark, sf_dir).select((F.col("pos") % lots).alias("lot"), F.struct("id", "name", "price").alias("r"))
     landed.write_arrays(rows, path, "lot", "r", compression="gzip")
     cache = landed.CatalogCache(spark)
     first = cache.get(path)
